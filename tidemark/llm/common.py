@@ -118,3 +118,138 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         seen = then
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def emit_hashes(found: Iterator[np.ndarray], bits: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows ``(bucket, keys, many)`` of a task's 48-bit hashes, packed by bucket: each once, with a bit that tells
+    whether the task has met it more than once. Memory stays within ``most`` hashes."""
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
+        raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        rows = [(b, raw[i:j].tobytes(), np.packbits(n[i:j] > 1).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "many"])
+
+    held, n = [], 0
+    for h in found:
+        if len(h):
+            held.append(h & np.uint64(0xFFFFFFFFFFFF))
+            n += len(h)
+        if n > most:
+            yield pack(held)
+            held, n = [], 0
+    if held:
+        yield pack(held)
+
+
+def unpack48(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+class HashShards:
+    """Sorted 48-bit hashes in files of the shared folder, one per bucket, mapped into memory by workers."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self._open = folder, bits, None
+
+    def __getstate__(self) -> dict:
+        return {"folder": self.folder, "bits": self.bits, "_open": None}
+
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes are there; queries are sorted first so that reads go through the files in order."""
+        if self._open is None:
+            self._open = {}
+        keys, back = np.unique(hashes & np.uint64(0xFFFFFFFFFFFF), return_inverse=True)
+        hit = np.zeros(len(keys), bool)
+        cut = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(48 - self.bits))
+        for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if i == j:
+                continue
+            if b not in self._open:
+                path = f"{self.folder}/{b:06d}.npy"
+                self._open[b] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            if len(there := self._open[b]):
+                at = np.minimum(np.searchsorted(there, keys[i:j]), len(there) - 1)
+                hit[i:j] = there[at] == keys[i:j]
+        return hit[back]
+
+
+def repeated_hashes(rows: DataFrame, hashes_of, spark: SparkSession) -> HashShards:
+    """Which 48-bit hashes occur at least twice among all that ``hashes_of(record batches)`` yields.
+
+    A task sends each hash once, six bytes and a bit, so a hash that fills a third of the input costs one entry a task.
+    """
+    bits = buckets_for(spark).bit_length() - 1
+    shards = HashShards(local_path(shared_dir(spark)), bits)
+    folder = shards.folder
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from emit_hashes(hashes_of(batches), bits)
+
+    def meet(key, group):
+        import pandas as pd
+
+        keys = np.concatenate([unpack48(x) for x in group["keys"]])
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(k) // 6] for k, m in zip(group["keys"], group["many"])])
+        order = np.argsort(keys, kind="stable")
+        keys, many = keys[order], many[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.append(first, len(keys))) + np.add.reduceat(many.astype(np.int64), first)
+        write_array(folder, f"{key[0]:06d}", keys[first][n > 1])
+        return pd.DataFrame({"bucket": [key[0]], "n": [int((n > 1).sum())]})
+
+    sent = rows.mapInArrow(send, "bucket int, keys binary, many binary")
+    sent.groupBy("bucket").applyInPandas(meet, "bucket int, n long").agg(F.sum("n")).collect()
+    return shards
+
+
+class Links:
+    """A small union-find."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def verified_links(members: DataFrame, features, similar, block: int = 128) -> DataFrame:
+    """Links between the members of candidate groups, compared block by block.
+
+    ``members(node long, root long, text string)``; ``features(texts) -> list`` prepares texts of a task,
+    ``similar(features, i, js) -> bool array`` tells which of ``js`` are like ``i``. A group of any size is dealt into
+    blocks by hash and each pair of blocks is a task's group, so no task holds more than two blocks. Pairs that are
+    already joined within a task are left out: classes come out whole, and at most two blocks' worth of links leave a task.
+    """
+    import pandas as pd
+
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
+    dealt = members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    pairs = dealt.select("root", "node", "text", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    pairs = pairs.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "text")
+
+    def compare(key, group):
+        group = group.sort_values("node")
+        nodes, own, texts = group["node"].to_numpy(), group["b"].to_numpy(), group["text"].tolist()
+        made, links, out = features(texts), Links(len(nodes)), []
+        for i in range(len(nodes) - 1):
+            js = np.arange(i + 1, len(nodes))
+            if key[1] != key[2]:
+                js = js[own[js] != own[i]]
+            if len(js):
+                for j in js[similar(made, i, js, links)].tolist():
+                    if links.join(i, j):
+                        out.append((nodes[i], nodes[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .fingerprints import op1_imatch
+from .mixing import op6_pivotal_mixing
+from .near_dedup import op4_bag_minhash
 from .packing import op2_pattern_packing
+from .paragraph_dedup import op10_paragraph_minhash
+from .suffix_dedup import op9_column_wise_dedup
 from .token_counts import op7_token_counts
+from .toxicity import op3_recurrent_toxicity
 
-QUERIES = {q.__name__: q for q in (op2_pattern_packing, op7_token_counts)}
+QUERIES = {
+    q.__name__: q
+    for q in (op1_imatch, op2_pattern_packing, op3_recurrent_toxicity, op4_bag_minhash, op6_pivotal_mixing, op7_token_counts, op9_column_wise_dedup, op10_paragraph_minhash)
+}
 SQL: dict[str, str] = {}
