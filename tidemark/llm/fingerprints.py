@@ -4,7 +4,7 @@ The lexicon holds the terms (runs of letters and digits, lower case) whose docum
 ``HIGH`` of all documents: a band of inverse document frequency. With at most N * m term occurrences in N documents of m
 distinct terms on average, the lexicon has at most m / LOW terms, whatever N; so it goes into the plan as one constant, a
 hash table of arrays. A text's fingerprint hashes its sorted distinct lexicon terms, cut down by randomised subsets of
-the lexicon: each subset takes a term by a few bits of its hash. The subsets' rate halves from class to class, and a text
+the lexicon: each of the 16 subsets takes a term by a few bits of its hash. The subsets' rate halves from class to class, and a text
 uses the class in which a subset keeps about one of its terms and the next finer one, so that texts of any length have
 informative subsets. Two fingerprints' likeness is the share of equal subset hashes in the classes that both use, among
 subsets that keep a term of either.
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from . import common
 
 LOW, HIGH = 0.002, 0.1
-SUBSETS = 12
+SUBSETS = 16
 BITS = 12
 
 
@@ -54,20 +54,33 @@ def fingerprint(text: Column, table: Column, bits: int = BITS, subsets: int = SU
     mask = (1 << bits) - 1
     found = F.filter(term_hashes(text), lambda h: F.array_contains(F.element_at(table, (h.bitwiseAND(F.lit(mask)) + 1).cast("int")), h))
 
-    def one_class(terms: Column, c: Column) -> Column:
-        wanted = (F.pow(F.lit(2.0), c) - 1).cast("long")
+    def low_bits(n: Column) -> Column:
+        return (F.pow(F.lit(2.0), n) - 1).cast("long")
+
+    def sampled(terms: Column, c: Column) -> Column:
+        """The terms that any subset of class c takes: one pass over the text's terms."""
+        wanted = low_bits(F.greatest(F.lit(0), c - 4))
+        return F.filter(terms, lambda h: F.shiftrightunsigned(h, 12).bitwiseAND(wanted) == 0)
+
+    def one_class(taken: Column, c: Column) -> Column:
+        part = low_bits(F.least(F.lit(4), c))
 
         def one(k: int) -> Column:
-            kept = F.filter(terms, lambda h: F.xxhash64(h, F.lit(k)).bitwiseAND(wanted) == 0)
-            return F.when(F.size(kept) == 0, F.lit("")).otherwise(F.lower(F.hex(F.hash(kept, F.lit(k)))))
+            kept = F.filter(taken, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(part) == F.lit(k).cast("long").bitwiseAND(part))
+            return F.when(F.size(kept) == 0, F.lit("")).otherwise(F.substring(F.lower(F.hex(F.xxhash64(kept, F.lit(k)))), -8, 8))
 
         return F.concat(c.cast("string"), F.lit(":"), F.concat_ws(",", *[one(k) for k in range(subsets)]))
 
+    def bound(value: Column, use) -> Column:
+        """``use(value)``, with the value worked out once."""
+        return F.transform(F.array(value), use)[0]
+
     def whole(terms: Column) -> Column:
         c = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(terms), F.lit(1)))).cast("int"))
-        return F.when(F.size(terms) == 0, F.concat(F.lit("-:"), F.lower(F.hex(F.xxhash64(text))))).otherwise(F.concat(one_class(terms, c), F.lit(";"), one_class(terms, c + 1)))
+        some = bound(F.struct(c.alias("c"), sampled(terms, c).alias("t")), lambda x: F.concat(one_class(x["t"], x["c"]), F.lit(";"), bound(sampled(x["t"], x["c"] + 1), lambda t: one_class(t, x["c"] + 1))))
+        return F.when(F.size(terms) == 0, F.concat(F.lit("-:"), F.lower(F.hex(F.xxhash64(text))))).otherwise(some)
 
-    return F.transform(F.array(F.sort_array(F.array_distinct(found))), whole)[0]
+    return bound(F.sort_array(F.array_distinct(found)), whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
