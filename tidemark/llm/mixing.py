@@ -89,11 +89,16 @@ def settle(level: DataFrame, number: int, seed: int) -> tuple[DataFrame, DataFra
     return done, rest
 
 
+def row_key(id_: Column, text_hash: Column, source: Column) -> Column:
+    """Tells rows apart that are not equal."""
+    return F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("-")), text_hash, F.coalesce(F.xxhash64(source), F.lit(0)), source.isNull())
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = COPIES, weights: tuple[int, ...] = WEIGHTS, seed: int = 5) -> DataFrame:
     """``(doc_id, size, source, source_size, target, copies, taken)`` of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h"))
     twin = F.row_number().over(W.partitionBy("doc_id", "h", "source").orderBy("size"))  # equal rows only
-    rows = common.materialize(rows.withColumn("key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "h", F.coalesce(F.xxhash64("source"), F.lit(0)), F.col("source").isNull(), twin)).drop("h"))
+    rows = common.materialize(rows.withColumn("key", F.concat_ws("/", row_key(F.col("doc_id"), F.col("h"), F.col("source")), twin)).drop("h"))
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), copies, weights)
     joined = rows.join(aims.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -115,5 +120,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
 
 
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The input's rows as often as the mix takes them."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    by_key = taken.groupBy(F.regexp_replace("key", "/[^/]*$", "").alias("_key")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    keyed = docs.withColumn("_key", row_key(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(source_col).cast("string")))
+    twin = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))  # numbers equal rows
+    counted = keyed.join(by_key, "_key").withColumn("_n", F.element_at("_copies", twin)).where("_n > 0")
+    return counted.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from .fingerprints import op1_imatch
+from .lm import op5_kneser_ney
 from .mixing import op6_pivotal_mixing
 from .near_dedup import op4_bag_minhash
 from .packing import op2_pattern_packing
 from .paragraph_dedup import op10_paragraph_minhash
+from .quality import op8_perplexity_bands
 from .suffix_dedup import op9_column_wise_dedup
 from .token_counts import op7_token_counts
 from .toxicity import op3_recurrent_toxicity
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_imatch, op2_pattern_packing, op3_recurrent_toxicity, op4_bag_minhash, op6_pivotal_mixing, op7_token_counts, op9_column_wise_dedup, op10_paragraph_minhash)
-}
+    for q in (
+        op1_imatch, op2_pattern_packing, op3_recurrent_toxicity, op4_bag_minhash, op5_kneser_ney,
+        op6_pivotal_mixing, op7_token_counts, op8_perplexity_bands, op9_column_wise_dedup, op10_paragraph_minhash,
+    )
+}
+#: None of the operators can be written in SQL: they train models, draw by hashes, or compare bytes and shingles. The
+#: tests hold each query against a brute-force version.
 SQL: dict[str, str] = {}

@@ -242,8 +242,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """The input's columns with ``n_bytes, n_removed, n_spans, kept_sha256`` and, on demand, the ``kept`` bytes."""
-    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
+    """The input's columns with ``n_bytes, n_removed, n_spans, kept_sha256`` and, on demand, ``kept_text``: what is left, without
+    the characters of which only a part is."""
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
     rows = docs.drop(*results, "_spans")
     spans = repeated_spans(rows, length, id_col=id_col, text_col=text_col).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("spans").alias("_spans"))
     keyed = rows.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_hash", F.xxhash64(text_col))
@@ -266,13 +267,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
                 count.append(len(m))
                 digest.append(hashlib.sha256(rest).hexdigest())
                 if keep_text:
-                    kept.append(rest)
+                    kept.append(rest.decode("utf-8", "ignore"))
             more = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
             if keep_text:
-                more.append(pa.array(kept, pa.binary()))
+                more.append(pa.array(kept, pa.string()))
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in kept_names), *more], names=[*kept_names, *results])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in kept_names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in kept_names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return joined.mapInArrow(cut, schema)
 
 

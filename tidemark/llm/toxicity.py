@@ -279,33 +279,61 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
+def judge_of(net: Network):
+    """A function that scores texts in a task; a worker keeps what it has learned about words."""
+    params = net.p
+    name = xxhash.xxh3_64_hexdigest(b"".join(v.tobytes() for v in params.values()))
+
+    def judge(texts: list[str]) -> np.ndarray:
+        if name not in _scorers:
+            _scorers.clear()
+            _scorers[name] = Scorer(params)
+        return _scorers[name].scores(texts)
+
+    return judge
+
+
 def score(docs: DataFrame, net: Network | None, share: float = 0.0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row; without a network the score is ``share``."""
-    params = net.p if net else None
-    name = xxhash.xxh3_64_hexdigest(b"".join(v.tobytes() for v in params.values())) if net else ""
+    judge = judge_of(net) if net else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if params is not None and name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(params)
         for b in common.slices(batches, 400):
             texts = common.texts_of(b.column(2))
-            s = np.full(len(texts), share) if params is None else _scorers[name].scores(texts).astype(float)
+            s = judge(texts).astype(float) if judge else np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"coalesce(pmod(crc32(cast(cast({id_col} as long) as string)), 4) = 2, false) held_out", f"{text_col} text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Fit on the labelled rows that aren't held out and score every row."""
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[Network | None, float]:
+    """A network, or none and the share of label 1."""
     got = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     share = sum(y for y, _ in got) / max(1, len(got))
-    weight = 1.0
-    if 0 < share < 1:
-        n = dict(usable_labels(labels, id_col, label_col).groupBy("y").count().collect())
-        weight = (n[0] / n[1]) / ((1 - share) / share)
-    return score(docs, train(got, weight=weight) if 0 < share < 1 else None, share, id_col=id_col, text_col=text_col)
+    if not 0 < share < 1:
+        return None, share
+    n = dict(usable_labels(labels, id_col, label_col).groupBy("y").count().collect())
+    return train(got, weight=(n[0] / n[1]) / ((1 - share) / share)), share
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Fit on the labelled rows that aren't held out and score every row."""
+    return score(docs, *fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col), id_col=id_col, text_col=text_col)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows, with all their columns, whose score is below ``THRESHOLD``."""
+    net, share = fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    if net is None:
+        return docs.where(F.lit(share < THRESHOLD))
+    judge, at = judge_of(net), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 400):
+            yield b.filter(pa.array(judge(common.texts_of(b.column(at))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
