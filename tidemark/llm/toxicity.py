@@ -4,7 +4,8 @@ A word's input is a hashed word embedding beside the mean of hashed character-tr
 windows of ``WINDOW`` words that start every ``STRIDE`` words (the last one ends with the text), pools its states by
 attention, and gives a logit. A text's score is the logistic of its highest window's logit. Training, in numpy on the
 driver, is multiple-instance: a labelled text's loss goes through its highest window. It uses at most ``SAMPLE`` texts of
-each label and ``SAMPLE_WINDOWS`` windows of each, both chosen by hash; scoring reads every word of every text.
+each label and ``SAMPLE_WINDOWS`` windows of each (more of few texts), both chosen by hash; the threshold's place is set
+on all windows of the fifth of these texts that training holds back. Scoring reads every word of every text.
 
 Null, empty and blank texts get the score of a window without words; repeated rows score alike; a null doc_id is scored
 and not held out; rows of labels that are null or name no document are not used; an empty table gives no rows. Without
@@ -29,6 +30,8 @@ WINDOW, STRIDE = 32, 24
 SAMPLE, SAMPLE_WINDOWS = 1500, 12
 THRESHOLD = 0.3
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8, 8
+#: For small samples: windows of all texts together, where that gives more for each.
+TOTAL_WINDOWS = 24_000
 #: Words whose projections a worker keeps; beyond this the store is begun anew.
 KEPT = 250_000
 
@@ -139,35 +142,35 @@ def windows(n: int) -> list[int]:
     return [*out, n - WINDOW]
 
 
-def train(samples: list[tuple[int, list[list[str]]]], *, epochs: int = 14, batch: int = 24, rate: float = 0.05, decay: float = 0.1, weight: float = 1.0, seed: int = 7) -> Network:
-    """Fit a network to ``(label, windows of words)``; a fifth of the samples tells when to stop.
+def train(samples: list[tuple], *, epochs: int = 14, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> Network:
+    """Fit a network to ``(label, windows of words, ...)``; a fifth of the samples tells when to stop.
 
     Each epoch scores all windows and learns from the highest of each text (the first epoch: from random ones). Words in
     fewer than three texts have no embedding of their own, only their characters'.
     """
     net, r = Network(seed), np.random.default_rng(seed)
-    seen = Counter(w for _, ws in samples for w in {x for w in ws for x in w})
+    seen = Counter(w for _, ws, *_ in samples for w in {x for w in ws for x in w})
     words = [".", *sorted(seen)]
     number = {w: k for k, w in enumerate(words)}
     net.p["known"][[xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w, n in seen.items() if n >= 3]] = 1
-    flat = [(k, w) for k, (_, ws) in enumerate(samples) for w in ws]
+    flat = [(k, w) for k, (_, ws, *_) in enumerate(samples) for w in ws]
     owner = np.array([k for k, _ in flat])
     ids = np.array([[number[x] for x in w] + [0] * (WINDOW - len(w)) for _, w in flat], np.int64)
     mask = np.array([[1] * len(w) + [0] * (WINDOW - len(w)) for _, w in flat], np.float32)
-    labels = np.array([y for y, _ in samples], np.float32)
+    labels = np.array([x[0] for x in samples], np.float32)
     begins = np.searchsorted(owner, np.arange(len(samples)))
     held = r.permutation(len(samples)) % 5 == 0
     features = word_features(words)
     names = [k for k in net.p if k != "known"]
     m1, m2 = ({k: np.zeros_like(net.p[k]) for k in names} for _ in range(2))
-    best, kept, highest, step = np.inf, dict(net.p), np.zeros(0), 0
+    best, kept, step = np.inf, dict(net.p), 0
     for epoch in range(epochs):
         projs = net.project(net.inputs(features))
         logits = np.concatenate([net.forward(projs, ids[i : i + 4096], mask[i : i + 4096])[0] for i in range(0, len(ids), 4096)])
         high = np.maximum.reduceat(logits, begins)
         loss = float(np.mean(np.logaddexp(0, np.where(labels > 0, -high, high))[held])) if held.any() else 0.0
         if epoch and loss < best:
-            best, kept, highest = loss, {k: v.copy() for k, v in net.p.items()}, high[held]
+            best, kept = loss, {k: v.copy() for k, v in net.p.items()}
         order = np.lexsort((logits if epoch else r.random(len(logits)), owner))
         top = order[np.append(begins[1:], len(order)) - 1][~held]
         for some in np.array_split(r.permutation(top), max(1, len(top) // batch)):
@@ -185,24 +188,32 @@ def train(samples: list[tuple[int, list[list[str]]]], *, epochs: int = 14, batch
                 if k in ("word", "gram"):
                     net.p[k] *= np.float32(1 - rate * decay)
     net.p = kept
-    if len(highest) and 0 < labels[held].sum() < held.sum():
-        order = np.argsort(-highest)
-        y = labels[held][order]
-        good, bad = np.cumsum(y), np.cumsum((1 - y) * weight)
-        k = int(np.argmax(2 * good / (good + bad + y.sum())))
-        cut = (highest[order][k] + highest[order][min(k + 1, len(order) - 1)]) / 2
-        net.p["bias"] = net.p["bias"] - np.float32(cut - np.log(THRESHOLD / (1 - THRESHOLD)))
+    net.held = np.flatnonzero(held).tolist()
     return net
 
 
+def moved_bias(net: Network, logits: np.ndarray, labels: np.ndarray, weight: float) -> None:
+    """Move the bias so that ``THRESHOLD`` is where the F-half of these texts is best (precision counts more), a text of
+    label 0 counting ``weight`` times."""
+    if not 0 < labels.sum() < len(labels):
+        return
+    order = np.argsort(-logits)
+    y = labels[order]
+    good, bad = np.cumsum(y), np.cumsum((1 - y) * weight)
+    k = int(np.argmax(1.25 * good / (good + bad + 0.25 * y.sum())))
+    cut = (logits[order][k] + logits[order][min(k + 1, len(order) - 1)]) / 2
+    net.p["bias"] = net.p["bias"] - np.float32(cut - np.log(THRESHOLD / (1 - THRESHOLD)))
+
+
 def usable_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """``(doc_id, y)`` of rows to learn from: one a document, never held out."""
     rows = labels.selectExpr(f"cast({id_col} as long) doc_id", f"cast({label_col} as int) y")
     return rows.where("doc_id is not null and y in (0, 1) and pmod(crc32(cast(doc_id as string)), 4) != 2").groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> list[tuple[int, list[list[str]]]]:
-    """At most ``most`` labelled texts of each label, none of them held out, as windows; the least hashes are taken."""
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, each: int = SAMPLE_WINDOWS, most: int = SAMPLE) -> list[tuple[int, list[list[str]], int]]:
+    """At most ``most`` labelled texts of each label, none of them held out, with ``each`` windows at most and their doc_ids; the
+    least hashes are taken."""
     usable = usable_labels(labels, id_col, label_col)
     picked = None
     for y in (0, 1):  # a sort with a limit keeps a bounded heap in each task
@@ -214,13 +225,13 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
             out = []
             for i, t in zip(b.column(0).to_pylist(), common.texts_of(b.column(1))):
                 words = t.lower().split()
-                at = sorted(windows(len(words)), key=lambda s: xxhash.xxh3_64_intdigest(f"{i} {s}"))[:SAMPLE_WINDOWS]
+                at = sorted(windows(len(words)), key=lambda s: xxhash.xxh3_64_intdigest(f"{i} {s}"))[:each]
                 out.append([" ".join(words[s : s + WINDOW]) for s in sorted(at)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "y", "windows"])
 
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text").join(F.broadcast(picked), "doc_id")  # at most 2 * most ids
     got = rows.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, y int, windows array<string>").collect()
-    return [(r.y, [w.split(" ") if w else [] for w in r.windows]) for r in sorted(got, key=lambda r: (r.doc_id, r.windows))]
+    return [(r.y, [w.split(" ") if w else [] for w in r.windows], r.doc_id) for r in sorted(got, key=lambda r: (r.doc_id, r.windows))]
 
 
 class Scorer:
@@ -309,12 +320,23 @@ def score(docs: DataFrame, net: Network | None, share: float = 0.0, *, id_col: s
 
 def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[Network | None, float]:
     """A network, or none and the share of label 1."""
-    got = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    share = sum(y for y, _ in got) / max(1, len(got))
+    usable = usable_labels(labels, id_col, label_col)
+    n = {0: 0, 1: 0} | dict(usable.groupBy("y").count().collect())
+    share = n[1] / max(1, n[0] + n[1])
     if not 0 < share < 1:
         return None, share
-    n = dict(usable_labels(labels, id_col, label_col).groupBy("y").count().collect())
-    return train(got, weight=(n[0] / n[1]) / ((1 - share) / share)), share
+    each = max(SAMPLE_WINDOWS, TOTAL_WINDOWS // (min(n[0], SAMPLE) + min(n[1], SAMPLE)))
+    got = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, each=each)
+    if len({y for y, *_ in got}) < 2:
+        return None, share
+    net = train(got)
+    label = {got[k][2]: got[k][0] for k in net.held}
+    judged = docs.where(F.col(id_col).cast("long").isin(list(label)))  # at most 2 * SAMPLE / 5
+    scores = np.array([(label[r.doc_id], r.score) for r in score(judged, net, id_col=id_col, text_col=text_col).collect()]).reshape(-1, 2)
+    s = np.clip(scores[:, 1], 1e-12, 1 - 1e-12)
+    ones = sum(y for y, *_ in got)
+    moved_bias(net, np.log(s / (1 - s)), scores[:, 0], (n[0] / n[1]) / ((len(got) - ones) / ones))
+    return net, share
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
