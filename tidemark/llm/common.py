@@ -253,3 +253,29 @@ def verified_links(members: DataFrame, features, similar, block: int = 128) -> D
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(a.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.int64).view(np.uint64))
+
+
+def pair_shards(pairs: DataFrame) -> HashShards:
+    """The 48-bit hashes of ``pairs(a, b)`` of longs, in files of the shared folder."""
+    import pandas as pd
+
+    bits = buckets_for(pairs.sparkSession).bit_length() - 1
+    shards = HashShards(local_path(shared_dir(pairs.sparkSession)), bits)
+    folder = shards.folder
+
+    def keyed(parts: Iterator) -> Iterator:
+        for p in parts:
+            key = pair_hash(p["a"].to_numpy(), p["b"].to_numpy()) & np.uint64(0xFFFFFFFFFFFF)
+            yield pd.DataFrame({"bucket": (key >> np.uint64(48 - bits)).astype(np.int32), "key": key.view(np.int64)})
+
+    def write(key, group):
+        write_array(folder, f"{key[0]:06d}", np.unique(group["key"].to_numpy().astype(np.uint64)))
+        return pd.DataFrame({"n": [len(group)]})
+
+    pairs.mapInPandas(keyed, "bucket int, key long").groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return shards

@@ -1,7 +1,8 @@
 """Exact removal of repeated passages by a column-wise multi-document construction (operator 9).
 
-A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller id. Three passes:
+A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller id:
 
+0. Equal texts. A text that equals one of a smaller document goes whole and takes no part in what follows.
 1. Anchors. In every window of ``length`` bytes the 16-byte string with the least hash is its anchor, so equal windows
    have equal anchors at equal places. Spark finds the anchor hashes that occur more than once (packed, in files).
 2. Columns. Around each repeated anchor a task cuts a context of ``2 * length - 16`` bytes; equal contexts of a task are
@@ -10,7 +11,8 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    symbols (its Burrows-Wheeler permutation) and the lengths of the common stretches between neighbours. From round
    ``length`` on, runs of neighbours that share the last ``length`` symbols are equal windows; their least document
    keeps them. The shuffled, packed buckets are the sequential external files.
-3. The spans of a document meet by its id and are cut out.
+3. The spans of a document meet by its id, are written as arrays to the shared folder and cut out; texts are never
+   shuffled.
 
 Nulls count as empty texts; a null doc_id counts as the greatest; rows that repeat a doc_id don't remove from each
 other; texts below ``length`` bytes stay; an empty table gives no rows; all columns of the input are kept, but for those
@@ -20,11 +22,13 @@ named like a result column.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +76,16 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return at, g[at]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
-    """``(doc ids, text hashes, starts, data, owner, ends)`` of some documents' bytes, joined."""
+def chunks(batches: Iterator[pa.RecordBatch], length: int, copies: common.HashShards, gone: list | None = None) -> Iterator[tuple]:
+    """``(doc ids, text hashes, starts, data, owner, ends)`` of some documents' bytes, joined, without those of copies;
+    ``gone`` takes these up as ``(doc id, text hash, bytes)``."""
     for b in batches:
         ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), common.bytes_of(b.column(2))
+        copied = copies.contains(common.pair_hash(np.array(ids, np.int64), np.array(hashes, np.int64)))
+        for k in np.flatnonzero(copied).tolist():
+            if gone is not None:
+                gone.append((ids[k], hashes[k], len(texts[k])))
+            texts[k] = b""
         held, size = [], 0
         for k, t in enumerate(texts):
             if len(t) >= length:
@@ -90,11 +100,11 @@ def chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
                 held, size = [], 0
 
 
-def anchor_hashes(length: int):
+def anchor_hashes(length: int, copies: common.HashShards):
     """For the first pass: each document's anchor hashes, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for ids, _, _, data, owner, ends in chunks(batches, length):
+        for ids, _, _, data, owner, ends in chunks(batches, length, copies):
             at, g = anchors(data, ends, length)
             with np.errstate(over="ignore"):
                 mixed = common.mix64(g + common.mix64(ids.astype(np.uint64))[owner[at]])
@@ -163,54 +173,78 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], reach[np.append(starts[1:], len(spans)) - 1]], axis=1)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, hash, spans)``: byte spans, packed pairs of 64-bit numbers, to be removed from documents."""
-    spark = docs.sparkSession
-    rows = docs.selectExpr(f"coalesce(cast({id_col} as long), {LAST}) doc", f"xxhash64({text_col}) hash", f"{text_col} text").where(f"octet_length({text_col}) >= {length}")
-    repeated = common.repeated_hashes(rows, anchor_hashes(length), spark)
+def packed_spans(docs: np.ndarray, hashes: np.ndarray, spans: np.ndarray) -> Iterator[tuple]:
+    """``(doc, hash, merged spans)`` of each document."""
+    order = np.lexsort((hashes, docs))
+    docs, hashes, spans = docs[order], hashes[order], spans[order]
+    cut = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])])) if len(docs) else np.zeros(0, int)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(docs)]):
+        yield int(docs[i]), int(hashes[i]), merged(spans[i:j]).astype("<i8").tobytes()
+
+
+def squeezed(*columns: np.ndarray) -> list[bytes]:
+    return [zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(c).tobytes()) for c in columns]
+
+
+def unsqueezed(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in column if x is not None), kind)
+
+
+def equal_texts(rows: DataFrame) -> common.HashShards:
+    """The ``(doc, hash)`` of texts that equal a smaller document's."""
+    ids = rows.select("doc", "hash", F.octet_length("text").alias("n"), F.crc32("text").alias("c"))
+    firsts = ids.groupBy("hash", "n", "c").agg(F.min("doc").alias("first"), F.count("*").alias("k")).where("k > 1")
+    return common.pair_shards(ids.join(firsts, ["hash", "n", "c"]).where("doc > first").select(F.col("doc").alias("a"), F.col("hash").alias("b")))
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(doc, hash, spans)``: byte spans, packed pairs of 64-bit numbers, to be removed from ``rows(doc, hash, text)``.
+    A document may come more than once."""
+    spark = rows.sparkSession
+    rows = rows.where(f"octet_length(text) >= {length}")
+    copies = equal_texts(rows)
+    repeated = common.repeated_hashes(rows, anchor_hashes(length, copies), spark)
     bits = repeated.bits
     left = length - GRAM
     width = left + length
-
-    def packed(docs_: np.ndarray, hashes: np.ndarray, spans: np.ndarray) -> Iterator[tuple]:
-        order = np.lexsort((hashes, docs_))
-        docs_, hashes, spans = docs_[order], hashes[order], spans[order]
-        cut = np.flatnonzero(np.concatenate([[True], (docs_[1:] != docs_[:-1]) | (hashes[1:] != hashes[:-1])]))
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(docs_)]):
-            yield int(docs_[i]), int(hashes[i]), merged(spans[i:j]).astype("<i8").tobytes()
+    names = ["bucket", "doc", "hash", "spans", "keys", "docs", "hashes", "places", "contexts"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+
+    def ready(doc: int, text: int, spans: bytes) -> tuple:
+        return (doc ^ text) & ((1 << bits) - 1), doc, text, spans, None, None, None, None, None
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        key, doc, text, place, context = (np.concatenate(x) for x in zip(*held))
+        with np.errstate(over="ignore"):
+            h = key.copy()
+            for k in range(0, width, 8):
+                word = np.zeros((len(key), 8), np.uint8)
+                word[:, : min(8, width - k)] = context[:, k : k + 8]
+                h = common.mix64(h * np.uint64(0x9E3779B97F4A7C15) + word.view("<u8").ravel())
+        order = np.lexsort((doc, h))
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        least = np.empty(len(doc), np.int64)
+        least[order] = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(doc))))
+        later = np.flatnonzero(doc > least)  # a smaller document of this task has all of these windows
+        inside = context[later] != 255
+        a = place[later] - left + np.argmax(inside, axis=1)
+        b = place[later] - left + width - np.argmax(inside[:, ::-1], axis=1)
+        out = [ready(*x) for x in packed_spans(doc[later], text[later], np.stack([a, b], axis=1))]
+        asked = np.flatnonzero(doc == least)
+        asked = asked[np.lexsort((h[asked], key[asked]))]
+        cut = np.searchsorted(key[asked], np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits)).tolist()
+        for bucket, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
+            if j > i:
+                r = asked[i:j]
+                out.append((bucket, 0, 0, None, *squeezed(key[r], doc[r], text[r], place[r], context[r])))
+        return batch(out)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "doc", "hash", "spans", "keys", "docs", "hashes", "places", "contexts"]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-
-        def flush(held: list[tuple]) -> pa.RecordBatch:
-            key, doc, text, place, context = (np.concatenate(x) for x in zip(*held))
-            with np.errstate(over="ignore"):
-                h = key.copy()
-                for k in range(0, width, 8):
-                    word = np.zeros((len(key), 8), np.uint8)
-                    word[:, : min(8, width - k)] = context[:, k : k + 8]
-                    h = common.mix64(h * np.uint64(0x9E3779B97F4A7C15) + word.view("<u8").ravel())
-            order = np.lexsort((doc, h))
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            least = np.empty(len(doc), np.int64)
-            least[order] = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(doc))))
-            later = np.flatnonzero(doc > least)  # a smaller document of this task has all of these windows
-            inside = context[later] != 255
-            a = place[later] - left + np.argmax(inside, axis=1)
-            b = place[later] - left + width - np.argmax(inside[:, ::-1], axis=1)
-            out = [(-1, d, t, s, None, None, None, None, None) for d, t, s in packed(doc[later], text[later], np.stack([a, b], axis=1))] if len(later) else []
-            asked = np.flatnonzero(doc == least)
-            asked = asked[np.argsort(key[asked], kind="stable")]
-            cut = np.searchsorted(key[asked], np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits)).tolist()
-            for bucket, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
-                if j > i:
-                    r = asked[i:j]
-                    out.append((bucket, None, None, None, key[r].tobytes(), doc[r].tobytes(), text[r].tobytes(), place[r].tobytes(), context[r].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
-
-        held, n = [], 0
-        for ids, hashes, starts, data, owner, ends in chunks(batches, length):
+        held, n, gone = [], 0, []
+        for ids, hashes, starts, data, owner, ends in chunks(batches, length, copies, gone):
             at, g = anchors(data, ends, length)
             at, g = at[hit := repeated.contains(g)], g[hit]
             if len(at):
@@ -220,43 +254,89 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
                 context = np.where(good, data[np.clip(index, 0, len(data) - 1)], np.uint8(255))
                 held.append((g & np.uint64(0xFFFFFFFFFFFF), ids[own], hashes[own], at - starts[own], context))
                 n += len(at)
-            if n > 150_000:
+            if n > 250_000:
                 yield flush(held)
                 held, n = [], 0
         if held:
             yield flush(held)
+        if gone:
+            yield batch([ready(d, t, np.array([0, n], "<i8").tobytes()) for d, t, n in gone])
 
     def answer(key, group):
-        keys, docs_, hashes, places = (np.frombuffer(b"".join(group[c]), t) for c, t in (("keys", np.uint64), ("docs", np.int64), ("hashes", np.int64), ("places", np.int64)))
-        contexts = np.frombuffer(b"".join(group["contexts"]), np.uint8).reshape(-1, width)
-        first, last = shared_windows(keys, docs_, contexts, length)
-        hit = np.flatnonzero(first >= 0)
-        spans = np.stack([places[hit] - left + first[hit], places[hit] - left + last[hit] + length], axis=1)
-        return pd.DataFrame(list(packed(docs_[hit], hashes[hit], spans)) if len(hit) else [], columns=["doc", "hash", "spans"])
+        out = list(group.loc[group["spans"].notna(), ["doc", "hash", "spans"]].itertuples(index=False, name=None))
+        keys, docs_, hashes, places = (unsqueezed(group[c], t) for c, t in (("keys", np.uint64), ("docs", np.int64), ("hashes", np.int64), ("places", np.int64)))
+        if len(keys):
+            first, last = shared_windows(keys, docs_, unsqueezed(group["contexts"], np.uint8).reshape(-1, width), length)
+            hit = np.flatnonzero(first >= 0)
+            spans = np.stack([places[hit] - left + first[hit], places[hit] - left + last[hit] + length], axis=1)
+            out += packed_spans(docs_[hit], hashes[hit], spans)
+        return pd.DataFrame(out, columns=["doc", "hash", "spans"])
 
     schema = "bucket int, doc long, hash long, spans binary, keys binary, docs binary, hashes binary, places binary, contexts binary"
-    asked = common.materialize(rows.mapInArrow(ask, schema))
-    answers = asked.where("bucket >= 0").select("bucket", "keys", "docs", "hashes", "places", "contexts").groupBy("bucket").applyInPandas(answer, "doc long, hash long, spans binary")
-    found = answers.union(asked.where("bucket < 0").select("doc", "hash", "spans"))
-    return found.groupBy("doc", "hash").agg(F.collect_list("spans").alias("spans"))
+    return rows.select("doc", "hash", "text").mapInArrow(ask, schema).groupBy("bucket").applyInPandas(answer, "doc long, hash long, spans binary")
+
+
+class SpanFiles:
+    """Merged spans by document, in arrays of the shared folder."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, {}
+
+    def __getstate__(self) -> dict:
+        return {"folder": self.folder, "open": {}}
+
+    def of(self, bucket: int, key: np.uint64) -> np.ndarray:
+        if bucket not in self.open:
+            path = f"{self.folder}/keys-{bucket:06d}.npy"
+            self.open[bucket] = [np.load(path.replace("keys-", x), mmap_mode="r") for x in ("keys-", "begins-", "spans-")] if os.path.exists(path) else None
+        if self.open[bucket]:
+            keys, begins, spans = self.open[bucket]
+            at = int(np.searchsorted(keys, key))
+            if at < len(keys) and keys[at] == key:
+                return np.array(spans[begins[at] : begins[at + 1]])
+        return np.zeros((0, 2), np.int64)
+
+
+def stored_spans(found: DataFrame, parts: int) -> SpanFiles:
+    """Write ``found(doc, hash, spans)``, dealt by document into ``parts`` files."""
+    files = SpanFiles(common.local_path(common.shared_dir(found.sparkSession)))
+    folder = files.folder
+
+    def store(key, group):
+        pairs = common.pair_hash(group["doc"].to_numpy(), group["hash"].to_numpy())
+        order = np.argsort(pairs, kind="stable")
+        raw, pairs = group["spans"].to_numpy()[order], pairs[order]
+        new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])).tolist()
+        spans = [merged(np.frombuffer(b"".join(raw[i:j]), "<i8").reshape(-1, 2)) for i, j in zip(new, [*new[1:], len(raw)])]
+        common.write_array(folder, f"spans-{key[0]:06d}", np.concatenate(spans))
+        common.write_array(folder, f"begins-{key[0]:06d}", np.cumsum([0, *map(len, spans)]))
+        common.write_array(folder, f"keys-{key[0]:06d}", pairs[new])
+        return pd.DataFrame({"n": [len(new)]})
+
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc", "hash"), F.lit(parts)).cast("int"))
+    dealt.groupBy("part").applyInPandas(store, "n long").agg(F.sum("n")).collect()
+    return files
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """The input's columns with ``n_bytes, n_removed, n_spans, kept_sha256`` and, on demand, ``kept_text``: what is left, without
     the characters of which only a part is."""
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
-    rows = docs.drop(*results, "_spans")
-    spans = repeated_spans(rows, length, id_col=id_col, text_col=text_col).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("spans").alias("_spans"))
-    keyed = rows.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_hash", F.xxhash64(text_col))
-    joined = keyed.join(spans, ["_doc", "_hash"], "left").select(*[f"`{c}`" for c in rows.columns], "_spans")
+    rows = docs.drop(*results)
+    keyed = rows.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_hash", F.coalesce(F.xxhash64(text_col), F.lit(0)))
+    parts = common.buckets_for(docs.sparkSession)
+    files = stored_spans(repeated_spans(keyed.select(F.col("_doc").alias("doc"), F.col("_hash").alias("hash"), F.col(text_col).alias("text")), length), parts)
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("_doc", "_hash"), F.lit(parts)).cast("int"))
     text_at, names = rows.columns.index(text_col), rows.columns
     kept_names = [c for c in names if keep_text or c != text_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 1000):
             size, removed, count, digest, kept = [], [], [], [], []
-            for t, s in zip(common.bytes_of(b.column(text_at)), b.column(len(names)).to_pylist()):
-                m = merged(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in s])) if s else np.zeros((0, 2), np.int64)
+            doc, text_hash, part = (b.column(len(names) + k) for k in range(3))
+            keys = common.pair_hash(doc.to_numpy(), text_hash.to_numpy())
+            for t, k, p in zip(common.bytes_of(b.column(text_at)), keys, part.to_pylist()):
+                m = files.of(p, k)
                 parts, at = [], 0
                 for i, j in m.tolist():
                     parts.append(t[at:i])
@@ -274,7 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in kept_names), *more], names=[*kept_names, *results])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in kept_names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return joined.mapInArrow(cut, schema)
+    return keyed.mapInArrow(cut, schema)
 
 
 def op9_column_wise_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
