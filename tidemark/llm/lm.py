@@ -179,6 +179,8 @@ class Arrays:
             if j > i and (there := self.array(table, b)) is not None and len(there):
                 at = np.minimum(np.searchsorted(there, keys[i:j]), len(there) - 1)
                 hit = np.flatnonzero(there[at] == keys[i:j])
+                if not len(hit):
+                    continue
                 for o, name in zip(out, values):
                     o[i + hit] = self.array(name, b)[at[hit]].reshape(len(hit), -1)
         return out

@@ -142,7 +142,7 @@ def windows(n: int) -> list[int]:
     return [*out, n - WINDOW]
 
 
-def train(samples: list[tuple], *, epochs: int = 14, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> Network:
+def train(samples: list[tuple], *, steps: int = 700, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> Network:
     """Fit a network to ``(label, windows of words, ...)``; a fifth of the samples tells when to stop.
 
     Each epoch scores all windows and learns from the highest of each text (the first epoch: from random ones). Words in
@@ -164,7 +164,7 @@ def train(samples: list[tuple], *, epochs: int = 14, batch: int = 24, rate: floa
     names = [k for k in net.p if k != "known"]
     m1, m2 = ({k: np.zeros_like(net.p[k]) for k in names} for _ in range(2))
     best, kept, step = np.inf, dict(net.p), 0
-    for epoch in range(epochs):
+    for epoch in range(min(60, max(8, steps * batch // max(1, int((~held).sum()))))):
         projs = net.project(net.inputs(features))
         logits = np.concatenate([net.forward(projs, ids[i : i + 4096], mask[i : i + 4096])[0] for i in range(0, len(ids), 4096)])
         high = np.maximum.reduceat(logits, begins)
