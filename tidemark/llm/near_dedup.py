@@ -141,7 +141,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lead = whole.join(firsts.select(F.col("first").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     keyed = lead.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     groups = candidate_groups(keyed)
-    members = groups.join(rows.withColumnRenamed("doc_id", "node"), "node")
+    inside = common.pair_shards(groups.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("b")))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.array(b.column(0).to_pylist(), np.int64)
+            b = b.rename_columns(["node", "text"])
+            yield b.filter(pa.array(inside.contains(common.pair_hash(ids, np.zeros_like(ids)))))
+
+    some = rows.where("doc_id is not null").mapInArrow(held, "node long, text string")  # only these texts are shuffled
+    members = groups.join(some, "node")
     links = common.verified_links(members, bag_features, similar_bags)
     classes = common.components(same.union(links))
     out = rows.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
