@@ -223,36 +223,45 @@ class Links:
         return a != b
 
 
-def verified_links(members: DataFrame, features, similar, block: int = 128) -> DataFrame:
+def verified_links(members: DataFrame, features, similar, count: int, block: int = 128) -> DataFrame:
     """Links between the members of candidate groups, compared block by block.
 
-    ``members(node long, root long, text string)``; ``features(texts) -> list`` prepares texts of a task,
-    ``similar(features, i, js) -> bool array`` tells which of ``js`` are like ``i``. A group of any size is dealt into
-    blocks by hash and each pair of blocks is a task's group, so no task holds more than two blocks. Pairs that are
-    already joined within a task are left out: classes come out whole, and at most two blocks' worth of links leave a task.
+    ``members(node long, root long, text string)``, about ``count`` rows; ``features(texts) -> list`` prepares texts,
+    ``similar(features, i, js, links) -> bool array`` tells which of ``js`` are like ``i``. A group of up to ``block``
+    members shares a call with others of its kind, about a block in all; a larger one is dealt into blocks by hash and
+    each pair of its blocks is a call. Pairs that are already joined within a call are left out: classes come out whole,
+    and a call gives fewer links than it has members.
     """
     import pandas as pd
 
+    calls = max(1, count // block)
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
     dealt = members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    pairs = dealt.select("root", "node", "text", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    pairs = pairs.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "text")
-
-    def compare(key, group):
-        group = group.sort_values("node")
-        nodes, own, texts = group["node"].to_numpy(), group["b"].to_numpy(), group["text"].tolist()
-        made, links, out = features(texts), Links(len(nodes)), []
-        for i in range(len(nodes) - 1):
-            js = np.arange(i + 1, len(nodes))
-            if key[1] != key[2]:
-                js = js[own[js] != own[i]]
-            if len(js):
-                for j in js[similar(made, i, js, links)].tolist():
-                    if links.join(i, j):
-                        out.append((nodes[i], nodes[j]))
+    pairs = dealt.select("root", "node", "text", "k", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    call = F.when(F.col("k") == 1, F.pmod(F.xxhash64("root", F.lit(5)), F.lit(calls))).otherwise(F.col("root"))
+    pairs = pairs.select(call.alias("call"), (F.col("k") == 1).alias("small"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "root", "b", "node", "text")
+
+    def compare(key, part):
+        part = part.sort_values(["root", "node"])
+        roots, out = part["root"].to_numpy(), []
+        all_nodes, all_own, all_texts = part["node"].to_numpy(), part["b"].to_numpy(), part["text"].tolist()
+        begins = np.flatnonzero(np.concatenate([[True], roots[1:] != roots[:-1]])).tolist()
+        for begin, end in zip(begins, [*begins[1:], len(roots)]):
+            if end - begin < 2:
+                continue
+            nodes, own = all_nodes[begin:end], all_own[begin:end]
+            made, links = features(all_texts[begin:end]), Links(len(nodes))
+            for i in range(len(nodes) - 1):
+                js = np.arange(i + 1, len(nodes))
+                if key[2] != key[3]:
+                    js = js[own[js] != own[i]]
+                if len(js):
+                    for j in js[similar(made, i, js, links)].tolist():
+                        if links.join(i, j):
+                            out.append((nodes[i], nodes[j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+    return pairs.groupBy("call", "small", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     some = rows.where("doc_id is not null").mapInArrow(held, "node long, text string")  # only these texts are shuffled
     members = groups.join(some, "node")
-    links = common.verified_links(members, bag_features, similar_bags)
+    links = common.verified_links(members, bag_features, similar_bags, groups.count())
     classes = common.components(same.union(links))
     out = rows.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))

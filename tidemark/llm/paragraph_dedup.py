@@ -67,19 +67,20 @@ def band_keys(texts: list[str], least: int = LEAST) -> tuple[list[tuple[int, int
         return found, common.mix64(keys * GOLD + _seeds)
 
 
-def set_features(texts: list[str]) -> list[np.ndarray]:
-    return [np.unique(shingles(t, WORDS)) for t in texts]
+def set_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' shingle sets, one after another and numbered by shingle, with where each begins and its size."""
+    sets = [np.unique(shingles(t, WORDS)) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    return np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes) - sizes, sizes
 
 
-def similar_sets(made: list, i: int, js: np.ndarray, links: common.Links, least: float = SIMILARITY) -> np.ndarray:
-    """Exact Jaccard comparison of those not yet joined whose sizes allow it."""
-    a, out = made[i], np.zeros(len(js), bool)
-    for k, j in enumerate(js.tolist()):
-        b = made[j]
-        if min(len(a), len(b)) >= least * max(len(a), len(b)) and links.root(i) != links.root(j):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[k] = both >= least * (len(a) + len(b) - both)
-    return out
+def similar_sets(made: tuple, i: int, js: np.ndarray, links: common.Links, least: float = SIMILARITY) -> np.ndarray:
+    """Exact Jaccard comparison of one set with the others; each set holds a shingle at least."""
+    numbers, begins, sizes = made
+    own = np.zeros(int(numbers.max()) + 1, np.int64)
+    own[numbers[begins[i] : begins[i] + sizes[i]]] = 1
+    both = np.add.reduceat(own[numbers], begins)[js]
+    return both >= least * (sizes[i] + sizes[js] - both)
 
 
 def paragraph_classes(docs: DataFrame, least: int = LEAST, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +110,7 @@ def paragraph_classes(docs: DataFrame, least: int = LEAST, *, id_col: str = "doc
     units_ = common.materialize(rows.mapInArrow(held, "doc_id long, place int, unit long, text string, keys array<long>"))
     distinct = units_.groupBy(F.col("unit").alias("node")).agg(F.min(F.struct("text", "keys")).alias("u")).select("node", "u.text", "u.keys")
     groups = candidate_groups(distinct.select("node", F.explode("keys").alias("key")))
-    links = common.verified_links(groups.join(distinct.select("node", "text"), "node"), set_features, similar_sets)
+    links = common.verified_links(groups.join(distinct.select("node", "text"), "node"), set_features, similar_sets, groups.count())
     classes = common.components(links)
     named = units_.select("doc_id", "place", "unit").distinct().join(classes.withColumnRenamed("node", "unit"), "unit", "left")
     named = common.materialize(named.select("doc_id", "place", F.coalesce("root", "unit").alias("class_id")))
