@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import similarity
 from .plans import portable, posts, terms
 from .streaming import windows
 
-MODULES = (posts, portable, terms, windows)
+MODULES = (posts, portable, terms, windows, similarity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "text_verdicts"
