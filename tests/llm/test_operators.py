@@ -191,3 +191,15 @@ def test_paragraphs(docs, none):
     assert paragraph_dedup.paragraph_classes(none).count() == 0
     kept = {r.doc_id: r.kept_text for r in paragraph_dedup.remove_paragraphs(docs).collect()}
     assert kept[2] == "" and text(9) not in kept[9] and kept[8] == ROWS[7][1]
+
+
+def test_toxicity_scores_every_window():
+    net, r = toxicity.Network(3), np.random.default_rng(5)
+    net.p["word"], net.p["known"] = r.normal(0, 0.5, net.p["word"].shape).astype(np.float32), np.ones_like(net.p["known"])
+    texts = ["", "w1", text(2, 32), text(3, 33), text(4, 200), text(5, 3000)]
+    got = toxicity.judge_of(net)(texts)
+    for t, score in zip(texts, got):
+        w = t.split()
+        cuts = [w[s : s + 32] for s in range(max(1, len(w) - 31))]
+        alone = toxicity.judge_of(net)([" ".join(c) for c in cuts])
+        assert abs(score - alone.max()) < 1e-4

@@ -1,11 +1,11 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling (operator 3).
 
 A word's input is a hashed word embedding beside the mean of hashed character-trigram embeddings. The network reads
-windows of ``WINDOW`` words that start every ``STRIDE`` words (the last one ends with the text), pools its states by
-attention, and gives a logit. A text's score is the logistic of its highest window's logit. Training, in numpy on the
-driver, is multiple-instance: a labelled text's loss goes through its highest window. It uses at most ``SAMPLE`` texts of
-each label and ``SAMPLE_WINDOWS`` windows of each (more of few texts), both chosen by hash; the threshold's place is set
-on all windows of the fifth of these texts that training holds back. Scoring reads every word of every text.
+windows of ``WINDOW`` words that start at every word (a shorter text is one window), pools its states by attention, and
+gives a logit. A text's score is the logistic of its highest window's logit. Training, in numpy on the driver, is
+multiple-instance: a labelled text's loss goes through the highest of all its windows, which Spark tasks find anew every
+few epochs. It uses at most ``SAMPLE`` texts of each label, chosen by hash; the threshold's place is set on all windows
+of the fifth of these texts that training holds back. Scoring reads every word of every text.
 
 Null, empty and blank texts get the score of a window without words; repeated rows score alike; a null doc_id is scored
 and not held out; rows of labels that are null or name no document are not used; an empty table gives no rows. Without
@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, STRIDE = 32, 24
-#: Bounds of what is learned from: texts of each label, windows of a text.
-SAMPLE, SAMPLE_WINDOWS = 1500, 12
+WINDOW = 32
+#: Bound of what is learned from: texts of each label.
+SAMPLE = 1500
 THRESHOLD = 0.3
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8, 8
-#: For small samples: windows of all texts together, where that gives more for each.
-TOTAL_WINDOWS = 24_000
+#: Texts that are scored together, and windows of them in one call.
+SLICE, BLOCK = 100, 2048
 #: Words whose projections a worker keeps; beyond this the store is begun anew.
 KEPT = 250_000
 
@@ -134,62 +134,57 @@ class Network:
         return g
 
 
-def windows(n: int) -> list[int]:
+def windows(n: int) -> range:
     """Where the windows over n words start."""
-    if n <= WINDOW:
-        return [0]
-    out = list(range(0, n - WINDOW, STRIDE))
-    return [*out, n - WINDOW]
+    return range(max(1, n - WINDOW + 1))
 
 
-def train(samples: list[tuple], *, steps: int = 700, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> Network:
-    """Fit a network to ``(label, windows of words, ...)``; a fifth of the samples tells when to stop.
+def train(examples, known: np.ndarray, *, steps: int = 700, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> tuple[Network, np.ndarray, np.ndarray]:
+    """Fit a network; also gives the held-back fifth of the texts, which tells when to stop, as logits and labels.
 
-    Each epoch scores all windows and learns from the highest of each text (the first epoch: from random ones). Words in
-    fewer than three texts have no embedding of their own, only their characters'.
+    ``examples(net)`` gives ``(label, logit, words)`` of every text's highest window among all its windows under ``net``, in
+    the same order at each call; ``examples(None)`` takes windows by hash. It is called up to 17 times. ``known``: rows of
+    words that have an embedding of their own, others have only their characters'.
     """
     net, r = Network(seed), np.random.default_rng(seed)
-    seen = Counter(w for _, ws, *_ in samples for w in {x for w in ws for x in w})
-    words = [".", *sorted(seen)]
-    number = {w: k for k, w in enumerate(words)}
-    net.p["known"][[xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w, n in seen.items() if n >= 3]] = 1
-    flat = [(k, w) for k, (_, ws, *_) in enumerate(samples) for w in ws]
-    owner = np.array([k for k, _ in flat])
-    ids = np.array([[number[x] for x in w] + [0] * (WINDOW - len(w)) for _, w in flat], np.int64)
-    mask = np.array([[1] * len(w) + [0] * (WINDOW - len(w)) for _, w in flat], np.float32)
-    labels = np.array([x[0] for x in samples], np.float32)
-    begins = np.searchsorted(owner, np.arange(len(samples)))
-    held = r.permutation(len(samples)) % 5 == 0
-    features = word_features(words)
+    net.p["known"][known] = 1
+    now = examples(None)
+    labels = np.array([y for y, *_ in now], np.float32)
+    held = r.permutation(len(now)) % 5 == 0
     names = [k for k in net.p if k != "known"]
     m1, m2 = ({k: np.zeros_like(net.p[k]) for k in names} for _ in range(2))
-    best, kept, step = np.inf, dict(net.p), 0
-    for epoch in range(min(60, max(8, steps * batch // max(1, int((~held).sum()))))):
-        projs = net.project(net.inputs(features))
-        logits = np.concatenate([net.forward(projs, ids[i : i + 4096], mask[i : i + 4096])[0] for i in range(0, len(ids), 4096)])
-        high = np.maximum.reduceat(logits, begins)
-        loss = float(np.mean(np.logaddexp(0, np.where(labels > 0, -high, high))[held])) if held.any() else 0.0
-        if epoch and loss < best:
-            best, kept = loss, {k: v.copy() for k, v in net.p.items()}
-        order = np.lexsort((logits if epoch else r.random(len(logits)), owner))
-        top = order[np.append(begins[1:], len(order)) - 1][~held]
-        for some in np.array_split(r.permutation(top), max(1, len(top) // batch)):
-            used, local = np.unique(ids[some], return_inverse=True)
-            f = word_features([words[k] for k in used])
-            x = net.inputs(f)
-            out, state = net.forward(net.project(x), local.reshape(ids[some].shape), mask[some], keep=True)
-            grad = ((1 / (1 + np.exp(-out)) - labels[owner[some]]) / len(some)).astype(np.float32)
-            grads = net.backward(x, f, local.reshape(ids[some].shape), mask[some], state, grad)
-            step += 1
-            for k in names:
-                m1[k] += 0.1 * (grads[k] - m1[k])
-                m2[k] += 0.01 * (grads[k] * grads[k] - m2[k])
-                net.p[k] = net.p[k] - (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-                if k in ("word", "gram"):
-                    net.p[k] *= np.float32(1 - rate * decay)
+    epochs = min(60, max(8, steps * batch // max(1, int((~held).sum()))))
+    every = -(-epochs // 15)
+    best, kept, kept_high, step, epoch = np.inf, dict(net.p), None, 0, 0
+    while epoch < epochs:
+        words = [".", *sorted({x for _, _, w in now for x in w})]
+        number = {w: k for k, w in enumerate(words)}
+        ids = np.array([[number[x] for x in w] + [0] * (WINDOW - len(w)) for *_, w in now], np.int64)
+        mask = np.array([[1] * len(w) + [0] * (WINDOW - len(w)) for *_, w in now], np.float32)
+        for _ in range(every if epoch else 1):
+            epoch += 1
+            top = np.flatnonzero(~held)
+            for some in np.array_split(r.permutation(top), max(1, len(top) // batch)):
+                used, local = np.unique(ids[some], return_inverse=True)
+                f = word_features([words[k] for k in used])
+                x = net.inputs(f)
+                out, state = net.forward(net.project(x), local.reshape(ids[some].shape), mask[some], keep=True)
+                grad = ((1 / (1 + np.exp(-out)) - labels[some]) / len(some)).astype(np.float32)
+                grads = net.backward(x, f, local.reshape(ids[some].shape), mask[some], state, grad)
+                step += 1
+                for k in names:
+                    m1[k] += 0.1 * (grads[k] - m1[k])
+                    m2[k] += 0.01 * (grads[k] * grads[k] - m2[k])
+                    net.p[k] = net.p[k] - (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    if k in ("word", "gram"):
+                        net.p[k] *= np.float32(1 - rate * decay)
+        now = examples(net)
+        high = np.array([logit for _, logit, _ in now])
+        loss = float(np.mean(np.logaddexp(0, np.where(labels > 0, -high, high))[held]))
+        if loss < best:
+            best, kept, kept_high = loss, {k: v.copy() for k, v in net.p.items()}, high
     net.p = kept
-    net.held = np.flatnonzero(held).tolist()
-    return net
+    return net, kept_high[held], labels[held]
 
 
 def moved_bias(net: Network, logits: np.ndarray, labels: np.ndarray, weight: float) -> None:
@@ -211,27 +206,50 @@ def usable_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.where("doc_id is not null and y in (0, 1) and pmod(crc32(cast(doc_id as string)), 4) != 2").groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, each: int = SAMPLE_WINDOWS, most: int = SAMPLE) -> list[tuple[int, list[list[str]], int]]:
-    """At most ``most`` labelled texts of each label, none of them held out, with ``each`` windows at most and their doc_ids; the
-    least hashes are taken."""
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> DataFrame:
+    """``(doc_id, y, text)`` of at most ``most`` labelled texts of each label, none of them held out; the least hashes are taken."""
     usable = usable_labels(labels, id_col, label_col)
     picked = None
     for y in (0, 1):  # a sort with a limit keeps a bounded heap in each task
         some = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
+    rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"coalesce({text_col}, '') text").join(F.broadcast(picked), "doc_id")  # at most 2 * most ids
+    return common.materialize(rows.select("doc_id", "y", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 200):
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), common.texts_of(b.column(1))):
-                words = t.lower().split()
-                at = sorted(windows(len(words)), key=lambda s: xxhash.xxh3_64_intdigest(f"{i} {s}"))[:each]
-                out.append([" ".join(words[s : s + WINDOW]) for s in sorted(at)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "y", "windows"])
 
-    rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text").join(F.broadcast(picked), "doc_id")  # at most 2 * most ids
-    got = rows.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, y int, windows array<string>").collect()
-    return [(r.y, [w.split(" ") if w else [] for w in r.windows], r.doc_id) for r in sorted(got, key=lambda r: (r.doc_id, r.windows))]
+def known_rows(texts: DataFrame, least: int = 3) -> np.ndarray:
+    """The embedding rows of words in at least ``least`` of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, SLICE):
+            seen = Counter(w for t in common.texts_of(b.column(0)) for w in set(t.lower().split()))
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.array([r[0] for r in rows.select(F.pmod("h", F.lit(WORD_ROWS))).distinct().collect()], np.int64)  # at most WORD_ROWS
+
+
+def highest(texts: DataFrame, net: Network | None) -> list[tuple[int, float, list[str]]]:
+    """``(y, logit, words)`` of the highest of all windows of each text of ``texts(doc_id, y, text)``; without a network, of a
+    window chosen by hash. Tasks send one window a text."""
+    scorer = scorer_of(net) if net else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, SLICE):
+            split = [t.lower().split() for t in common.texts_of(b.column(2))]
+            if scorer:
+                logits, at = scorer().top(split)
+            else:
+                logits = np.zeros(len(split))
+                at = [xxhash.xxh3_64_intdigest(f"{i} {len(w)}") % len(windows(len(w))) for i, w in zip(b.column(0).to_pylist(), split)]
+            cut = [w[s : s + WINDOW] for w, s in zip(split, at)]
+            hashes = [xxhash.xxh3_64_hexdigest(" ".join(w)) for w in split]
+            kinds = (pa.float64(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip((logits, cut, hashes), kinds))], names=["doc_id", "y", "logit", "words", "hash"])
+
+    got = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, logit double, words array<string>, hash string").collect()
+    return [(r.y, r.logit, r.words) for r in sorted(got, key=lambda r: (r.doc_id, r.hash))]
 
 
 class Scorer:
@@ -260,48 +278,91 @@ class Scorer:
             self.projs[k][n : n + len(new)] = p
         self.number.update(zip(new, range(n, n + len(new))))
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        split = [t.lower().split() for t in texts]
+    def sliding(self, ids: np.ndarray) -> np.ndarray:
+        """Logits of the windows that start at each of the word numbers but the last ``WINDOW - 1``.
+
+        Neighbours' inputs at a step are neighbours in memory, so that a step is a few operations on whole arrays.
+        """
+        n, h, p = len(ids) - WINDOW + 1, HIDDEN, self.net.p
+        scale = np.repeat(np.float32([0.25, 1]), [2 * h, h])
+        shift = np.repeat(np.float32([0.5, 0]), [2 * h, h])
+        out = np.empty(n, np.float32)
+        for i in range(0, n, BLOCK):
+            b, some = min(BLOCK, n - i), ids[i : i + BLOCK + WINDOW - 1]
+            e, v = np.zeros((WINDOW, b), np.float32), np.zeros((WINDOW, b), np.float32)
+            for proj, u, part, steps in ((self.projs[0], p["uf"], slice(0, h), range(WINDOW)), (self.projs[1], p["ub"], slice(h, None), range(WINDOW)[::-1])):
+                a = np.ascontiguousarray((proj[some] * scale + shift).T)
+                m = np.concatenate([(u * scale).T, [p["att"][part], p["out"][part]]]).astype(np.float32)
+                states = np.zeros((h, b), np.float32)
+                s = np.zeros((3 * h + 2, b), np.float32)
+                g, c = np.empty((2 * h, b), np.float32), np.empty((h, b), np.float32)
+                for t in steps:
+                    np.add(a[: 2 * h, t : t + b], s[: 2 * h], out=g)
+                    np.clip(g, 0, 1, out=g)
+                    np.multiply(g[h:], s[2 * h : 3 * h], out=c)
+                    c += a[2 * h :, t : t + b]
+                    np.tanh(c, out=c)
+                    states -= c
+                    states *= g[:h]
+                    states += c
+                    np.matmul(m, states, out=s)
+                    e[t] += s[3 * h]
+                    v[t] += s[3 * h + 1]
+            e -= e.max(axis=0)
+            np.exp(e, out=e)
+            out[i : i + b] = np.einsum("tb,tb->b", e, v) / e.sum(axis=0) + p["bias"][0]
+        return out
+
+    def top(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of the highest of all windows of each text, given as words, and where it starts."""
         new = {w for words in split for w in words if w not in self.number}
         if len(self.number) + len(new) > KEPT:
             self.reset()
             new = {w for words in split for w in words} - {"."}
         if new:
             self.learn(sorted(new))
+        best, start = np.empty(len(split)), np.zeros(len(split), np.int64)
         n = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((self.number[w] for words in split for w in words), np.int64, int(n.sum()))
-        at, own = [], []
-        begins = np.cumsum(n) - n
-        for k, (b, m) in enumerate(zip(begins.tolist(), n.tolist())):
-            s = windows(m)
-            at += [b + x for x in s]
-            own += [k] * len(s)
-        at, own = np.array(at), np.array(own)
-        long = np.minimum(n, WINDOW)[own]
-        best = np.full(len(texts), -np.inf)
-        flat = np.append(flat, 0)
-        for i in range(0, len(at), 4096):
-            a, m = at[i : i + 4096, None] + np.arange(WINDOW), (np.arange(WINDOW) < long[i : i + 4096, None]).astype(np.float32)
-            logits, _ = self.net.forward(self.projs, np.where(m > 0, flat[np.minimum(a, len(flat) - 1)], 0), m)
-            np.maximum.at(best, own[i : i + 4096], logits)
-        return 1 / (1 + np.exp(-best))
+        short, long = np.flatnonzero(n <= WINDOW), np.flatnonzero(n > WINDOW)
+        if len(short):
+            ids, mask = np.zeros((len(short), WINDOW), np.int64), (np.arange(WINDOW) < n[short, None]).astype(np.float32)
+            for row, k in zip(ids, short.tolist()):
+                row[: n[k]] = [self.number[w] for w in split[k]]
+            best[short] = self.net.forward(self.projs, ids, mask)[0]
+        if len(long):
+            logits = self.sliding(np.fromiter((self.number[w] for k in long.tolist() for w in split[k]), np.int64, int(n[long].sum())))
+            begins = np.cumsum(n[long]) - n[long]
+            for k, b in zip(long.tolist(), begins.tolist()):
+                own = logits[b : b + len(windows(int(n[k])))]
+                start[k] = own.argmax()
+                best[k] = own[start[k]]
+        return best, start
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.top([t.lower().split() for t in texts])[0]))
 
 
 _scorers: dict[str, Scorer] = {}
 
 
-def judge_of(net: Network):
-    """A function that scores texts in a task; a worker keeps what it has learned about words."""
+def scorer_of(net: Network):
+    """A function that gives the scorer in a task; a worker keeps what it has learned about words."""
     params = net.p
     name = xxhash.xxh3_64_hexdigest(b"".join(v.tobytes() for v in params.values()))
 
-    def judge(texts: list[str]) -> np.ndarray:
+    def get() -> Scorer:
         if name not in _scorers:
             _scorers.clear()
             _scorers[name] = Scorer(params)
-        return _scorers[name].scores(texts)
+        return _scorers[name]
 
-    return judge
+    return get
+
+
+def judge_of(net: Network):
+    """A function that scores texts in a task."""
+    scorer = scorer_of(net)
+    return lambda texts: scorer().scores(texts)
 
 
 def score(docs: DataFrame, net: Network | None, share: float = 0.0, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +370,7 @@ def score(docs: DataFrame, net: Network | None, share: float = 0.0, *, id_col: s
     judge = judge_of(net) if net else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 400):
+        for b in common.slices(batches, SLICE):
             texts = common.texts_of(b.column(2))
             s = judge(texts).astype(float) if judge else np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -325,17 +386,12 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
     share = n[1] / max(1, n[0] + n[1])
     if not 0 < share < 1:
         return None, share
-    each = max(SAMPLE_WINDOWS, TOTAL_WINDOWS // (min(n[0], SAMPLE) + min(n[1], SAMPLE)))
-    got = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, each=each)
-    if len({y for y, *_ in got}) < 2:
+    texts = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    got = dict(texts.groupBy("y").count().collect())
+    if len(got) < 2:
         return None, share
-    net = train(got)
-    label = {got[k][2]: got[k][0] for k in net.held}
-    judged = docs.where(F.col(id_col).cast("long").isin(list(label)))  # at most 2 * SAMPLE / 5
-    scores = np.array([(label[r.doc_id], r.score) for r in score(judged, net, id_col=id_col, text_col=text_col).collect()]).reshape(-1, 2)
-    s = np.clip(scores[:, 1], 1e-12, 1 - 1e-12)
-    ones = sum(y for y, *_ in got)
-    moved_bias(net, np.log(s / (1 - s)), scores[:, 0], (n[0] / n[1]) / ((len(got) - ones) / ones))
+    net, logits, held = train(lambda net: highest(texts, net), known_rows(texts))
+    moved_bias(net, logits, held, (n[0] / n[1]) / (got[0] / got[1]))
     return net, share
 
 
@@ -352,7 +408,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     judge, at = judge_of(net), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 400):
+        for b in common.slices(batches, SLICE):
             yield b.filter(pa.array(judge(common.texts_of(b.column(at))) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
