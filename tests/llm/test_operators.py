@@ -203,3 +203,17 @@ def test_toxicity_scores_every_window():
         cuts = [w[s : s + 32] for s in range(max(1, len(w) - 31))]
         alone = toxicity.judge_of(net)([" ".join(c) for c in cuts])
         assert abs(score - alone.max()) < 1e-4
+
+
+def test_toxicity_learns_from_every_window(spark):
+    r = np.random.default_rng(4)
+    labelled = [(i, i % 2, " ".join(np.insert(r.choice(WORDS, 1500).astype(object), r.integers(1500), ["vile", "scum"] if i % 2 else []))) for i in range(6)]
+    net = toxicity.Network(3)
+    vile = toxicity.xxhash.xxh3_64_intdigest("vile") % toxicity.WORD_ROWS
+    net.p["known"][vile], net.p["word"][vile] = 1, 5
+    got = toxicity.highest(spark.createDataFrame(labelled, "doc_id long, y int, text string"), net)
+    judge = toxicity.judge_of(net)
+    for (_, y, t), (label, logit, words) in zip(labelled, got):
+        w = t.split()
+        every = judge([" ".join(w[s : s + 32]) for s in range(len(w) - 31)])
+        assert label == y and abs(1 / (1 + np.exp(-logit)) - every.max()) < 1e-4 and abs(judge([" ".join(words)])[0] - every.max()) < 1e-4
