@@ -217,3 +217,15 @@ def test_toxicity_learns_from_every_window(spark):
         w = t.split()
         every = judge([" ".join(w[s : s + 32]) for s in range(len(w) - 31)])
         assert label == y and abs(1 / (1 + np.exp(-logit)) - every.max()) < 1e-4 and abs(judge([" ".join(words)])[0] - every.max()) < 1e-4
+
+
+def test_paragraphs_of_any_length(spark):
+    line = " ".join(WORDS[:60]).replace("w11 ", "w11. ").replace("w23 ", "w23. ").replace("w35 ", "w35. ").replace("w47 ", "w47. ")
+    like = line.replace("w29 ", "other ")  # a word in the middle of the third sentence
+    short = "He said no. She  left!\n* one two\nMIT License"
+    rows = [(1, line + "\n" + text(1)), (2, text(2) + ".\n" + like), (3, short), (4, text(3) + ".\n" + short.lower()), (5, "He said yes.\n" + text(4)), (6, text(5) + ". w24 w25 w26 w27 w28 other w30 w31 w32 w33 w34 w35. " + text(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.kept_text for r in paragraph_dedup.remove_paragraphs(docs).collect()}
+    assert kept == {**dict(rows), 2: text(2) + ".\n", 4: text(3) + ".\n"}
+    counts = {r.doc_id: (r.n_repeated, r.n_removed) for r in paragraph_dedup.by_document(paragraph_dedup.paragraph_classes(docs)).collect()}
+    assert counts == {1: (5, 0), 2: (5, 5), 3: (4, 0), 4: (4, 4), 6: (1, 0)}

@@ -1,11 +1,13 @@
 """Repeated paragraphs across documents by MinHash banding (operator 10).
 
-A paragraph is a sentence-like unit: lines are cut after ``.``, ``!`` or ``?`` before white space, so a passage that was
-set into the middle of a line still holds whole paragraphs. Those of at least ``LEAST`` words are compared as sets of
-five-word shingles. Four one-row bands (least hashes under four functions) give a recall above 0.998 at a similarity of
+Paragraphs are lines, compared whole, and the sentences in them: lines are cut after ``.``, ``!`` or ``?`` before white
+space, so a passage that was set into the middle of a line still holds whole units. A unit of at least ``LEAST`` words is
+compared with those of its level, as sets of five-word shingles; shorter sentences are alike if their words are equal,
+which settles shorter lines too. Four one-row bands (least hashes under four functions) give a recall above 0.998 at a similarity of
 0.8; only paragraphs with a band key that occurs twice anywhere are kept (packed counting, then a look-up in mapped
 files). Paragraphs that share a key are grouped, groups are compared block by block with the exact Jaccard similarity,
-and components of the links are classes. Of each class the first paragraph (least document, then place) stays.
+and components of the links are classes. Of each class the first unit (least document, then place) stays, of sentences
+the first whose line stays. Places number the sentences; a line that goes takes all its sentences with it.
 
 Null, empty and blank texts have no paragraphs; rows that repeat a doc_id count as one document and each get its result;
 a null doc_id gets a result without removals; an empty table gives no rows.
@@ -37,16 +39,42 @@ def units(text: str) -> list[tuple[str, str]]:
     return list(zip(parts[0::2], parts[1::2]))
 
 
-def band_keys(texts: list[str], least: int = LEAST) -> tuple[list[tuple[int, int, str]], np.ndarray]:
-    """``(text number, place, paragraph)`` of paragraphs with enough words, and their band keys."""
+def lines(text: str) -> Iterator[list[tuple[int, str]]]:
+    """The sentences that hold words, with their places, line by line."""
+    line = []
+    for place, (u, after) in enumerate(units(text)):
+        if u.strip():
+            line.append((place, u))
+        if "\n" in after and line:
+            yield line
+            line = []
+    if line:
+        yield line
+
+
+def short_units(texts: list[str], least: int = LEAST) -> tuple[list[tuple[int, list[int], str]], np.ndarray]:
+    """``(text number, places, words)`` of sentences with fewer words, and their keys."""
+    found = []
+    for k, t in enumerate(texts):
+        for line in lines(t):
+            for place, u in line:
+                if len(w := u.lower().split()) < least:
+                    found.append((k, [place], " ".join(w)))
+    return found, np.fromiter((xxhash.xxh3_64_intdigest(w) for *_, w in found), np.uint64, len(found))
+
+
+def band_keys(texts: list[str], least: int = LEAST) -> tuple[list[tuple[int, list[int], str, int]], np.ndarray]:
+    """``(text number, places, paragraph, level)`` of lines (level 1) and sentences (0) with enough words, and their band keys."""
     found, words, sizes = [], [], []
     for k, t in enumerate(texts):
-        for place, u in enumerate(CUT.split(t)[0::2]):
-            w = u.lower().split()
-            if len(w) >= least:
-                found.append((k, place, u))
-                words += w
-                sizes.append(len(w))
+        for line in lines(t):
+            whole = ([p for p, _ in line], " ".join(u for _, u in line), 1)
+            for places, u, level in [whole, *(([p], u, 0) for p, u in line)]:
+                w = u.lower().split()
+                if len(w) >= least:
+                    found.append((k, places, u, level))
+                    words += w
+                    sizes.append(len(w))
     if not found:
         return found, np.zeros((0, BANDS), np.uint64)
     h, sizes = word_hashes(words), np.array(sizes)
@@ -64,7 +92,8 @@ def band_keys(texts: list[str], least: int = LEAST) -> tuple[list[tuple[int, int
         counts = sizes - WORDS + 1
         at = np.cumsum(counts) - counts
         keys = np.stack([np.minimum.reduceat(common.mix64(s ^ seed), at) for seed in _seeds], axis=1)
-        return found, common.mix64(keys * GOLD + _seeds)
+        levels = np.array([x[3] for x in found], np.uint64)
+        return found, common.mix64(keys * GOLD + _seeds + levels[:, None])
 
 
 def set_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,44 +113,60 @@ def similar_sets(made: tuple, i: int, js: np.ndarray, links: common.Links, least
 
 
 def paragraph_classes(docs: DataFrame, least: int = LEAST, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, place, class_id, removed)`` of each paragraph that has a like one somewhere."""
+    """``(doc_id, place, class_id, removed)`` of each sentence that has a like one somewhere, or whose line has."""
     spark = docs.sparkSession
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text").where(f"{id_col} is not null")
 
     def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in common.slices(batches, 300):
-            yield band_keys(common.texts_of(b.column(1)), least)[1].ravel()
+            texts = common.texts_of(b.column(1))
+            yield np.concatenate([band_keys(texts, least)[1].ravel(), short_units(texts, least)[1]])
 
     repeated = common.repeated_hashes(rows, all_keys, spark)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "places", "level", "unit", "short", "text", "keys"]
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
         for b in common.slices(batches, 300):
-            ids = b.column(0).to_pylist()
-            found, keys = band_keys(common.texts_of(b.column(1)), least)
+            ids, texts = b.column(0).to_pylist(), common.texts_of(b.column(1))
+            found, keys = band_keys(texts, least)
             hits = repeated.contains(keys.ravel()).reshape(keys.shape)
-            k = np.flatnonzero(hits.any(axis=1)).tolist()
-            out = [found[i] for i in k]
-            unit = [xxhash.xxh3_64_intdigest(" ".join(u.lower().split())) - (1 << 63) for _, _, u in out]
-            shared = [keys[i][hits[i]].view(np.int64) for i in k]
-            columns = ([ids[x[0]] for x in out], [x[1] for x in out], unit, [x[2] for x in out], shared)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["doc_id", "place", "unit", "text", "keys"])
-
-    units_ = common.materialize(rows.mapInArrow(held, "doc_id long, place int, unit long, text string, keys array<long>"))
-    distinct = units_.groupBy(F.col("unit").alias("node")).agg(F.min(F.struct("text", "keys")).alias("u")).select("node", "u.text", "u.keys")
+            out = []
+            for i in np.flatnonzero(hits.any(axis=1)).tolist():
+                k, places, u, level = found[i]
+                unit = xxhash.xxh3_64_intdigest(" ".join(u.lower().split()), seed=level) - (1 << 63)
+                out.append((ids[k], places, level, unit, "", u, keys[i][hits[i]].view(np.int64)))
+            found, keys = short_units(texts, least)
+            for i in np.flatnonzero(repeated.contains(keys)).tolist():
+                k, places, u = found[i]
+                out.append((ids[k], places, 0, int(keys[i]) - (1 << 63), u, None, None))
+            columns = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+
+    units_ = common.materialize(rows.mapInArrow(held, "doc_id long, places array<int>, level int, unit long, short string, text string, keys array<long>"))
+    distinct = units_.where("text is not null").groupBy(F.col("unit").alias("node")).agg(F.min(F.struct("text", "keys")).alias("u")).select("node", "u.text", "u.keys")
     groups = candidate_groups(distinct.select("node", F.explode("keys").alias("key")))
     links = common.verified_links(groups.join(distinct.select("node", "text"), "node"), set_features, similar_sets, groups.count())
     classes = common.components(links)
-    named = units_.select("doc_id", "place", "unit").distinct().join(classes.withColumnRenamed("node", "unit"), "unit", "left")
-    named = common.materialize(named.select("doc_id", "place", F.coalesce("root", "unit").alias("class_id")))
-    firsts = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return named.join(firsts, "class_id").select("doc_id", "place", "class_id", (F.struct("doc_id", "place") != F.col("first")).alias("removed"))
+    named = units_.select("doc_id", "places", "level", "unit", "short").distinct().join(classes.withColumnRenamed("node", "unit"), "unit", "left")
+    # a short sentence is told by its words beside their hash, a longer one has none here
+    named = common.materialize(named.select("doc_id", "places", "level", F.coalesce("root", "unit").alias("class_id"), "short"))
+
+    def marked(some: DataFrame, rank: list[str]) -> DataFrame:
+        firsts = some.groupBy("class_id", "short").agg(F.min(F.struct(*rank)).alias("first"), F.count("*").alias("n")).where("n > 1")
+        return some.join(firsts, ["class_id", "short"]).select("doc_id", F.explode("places").alias("place"), "class_id", (F.struct(*rank) != F.col("first")).alias("removed"))
+
+    whole = common.materialize(marked(named.where("level = 1"), ["doc_id", "places"]))
+    gone = whole.where("removed").select("doc_id", "place", F.lit(True).alias("gone"))
+    single = named.where("level = 0").withColumn("place", F.col("places")[0]).join(gone, ["doc_id", "place"], "left")
+    single = single.select("doc_id", "places", "class_id", "short", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return whole.union(marked(single, ["gone", "doc_id", "places"]))
 
 
 def by_document(classes: DataFrame) -> DataFrame:
     return classes.groupBy("doc_id").agg(
-        F.count("*").alias("n_repeated"), F.count_if("removed").alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("place")))).alias("removed_places"),
+        F.count_distinct("place").alias("n_repeated"), F.count_distinct(F.when(F.col("removed"), F.col("place"))).alias("n_removed"),
+        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("place")))).alias("removed_places"),
         F.sort_array(F.collect_set("class_id")).alias("class_ids"),
     )
 
