@@ -229,3 +229,15 @@ def test_paragraphs_of_any_length(spark):
     assert kept == {**dict(rows), 2: text(2) + ".\n", 4: text(3) + ".\n"}
     counts = {r.doc_id: (r.n_repeated, r.n_removed) for r in paragraph_dedup.by_document(paragraph_dedup.paragraph_classes(docs)).collect()}
     assert counts == {1: (5, 0), 2: (5, 5), 3: (4, 0), 4: (4, 4), 6: (1, 0)}
+
+
+def test_fingerprints_of_a_hot_group_and_of_rare_terms(spark):
+    r = np.random.default_rng(9)
+    hot = [f"h{k}" for k in range(300)]
+    other = [(100 + i, " ".join([*r.choice(WORDS, 30), *r.choice(hot, 4)])) for i in range(120)]
+    rows = [(i, " ".join(hot)) for i in range(60)] + other + [(500, " ".join(f"rare{k}" for k in range(200)))]
+    got = {x.doc_id: x for x in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the hot group's terms are in few of the distinct texts, and stay in the lexicon; the copies' edited text is the text again
+    assert "~" not in got[0].fingerprint and "-" not in got[0].fingerprint
+    assert got[59].near_edited > 0.4 and got[58].near_next == 1
+    assert got[500].fingerprint.startswith("~") and got[500].near_edited > 0.15 and got[500].near_next < 0.2

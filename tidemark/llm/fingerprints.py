@@ -1,7 +1,7 @@
 """I-Match fingerprints with randomised lexicon subsets (operator 1), in DataFrame operations only.
 
 The lexicon holds the terms (runs of letters and digits, lower case) whose document frequency lies between ``LOW`` and
-``HIGH`` of all documents: a band of inverse document frequency. With at most N * m term occurrences in N documents of m
+``HIGH`` of all distinct texts: a band of inverse document frequency. With at most N * m term occurrences in N texts of m
 distinct terms on average, the lexicon has at most m / LOW terms, whatever N; so it goes into the plan as one constant, a
 hash table of arrays. A text's fingerprint hashes its sorted distinct lexicon terms, cut down by randomised subsets of
 the lexicon: each of the 16 subsets takes a term by a few bits of its hash. The subsets' rate halves from class to class, and a text
@@ -9,7 +9,8 @@ uses the class in which a subset keeps about one of its terms and the next finer
 informative subsets. Two fingerprints' likeness is the share of equal subset hashes in the classes that both use, among
 subsets that keep a term of either.
 
-Null texts count as empty; texts without a lexicon term are compared by the hash of the whole text; rows that repeat a
+Null texts count as empty; texts without a lexicon term are compared, also with their edited text, by all their terms, and
+texts without any term by the hash of the whole text; rows that repeat a
 doc_id follow each other by text; null doc_ids come first; an empty table gives no rows; other columns are left out.
 """
 
@@ -35,8 +36,10 @@ def term_hashes(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """``(h)``: the hashes of the terms of the band."""
-    n = docs.count()
-    terms = docs.select(F.explode(F.array_distinct(term_hashes(F.coalesce(text_col, F.lit(""))))).alias("h"))
+    text = F.coalesce(text_col, F.lit(""))
+    texts = docs.groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")).agg(F.first(text).alias("text"))  # copies leave in the tasks
+    n = docs.select(F.xxhash64(text), F.xxhash64(text, F.lit(1))).distinct().count()
+    terms = texts.select(F.explode(F.array_distinct(term_hashes(F.col("text")))).alias("h"))
     least = max(2.0, low * n)
     return terms.groupBy("h").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= max(least, high * n)) & (F.col("h") != F.xxhash64(F.lit("")))).select("h")
 
@@ -49,10 +52,14 @@ def lexicon_table(hashes: list[int], bits: int = BITS) -> Column:
     return F.from_json(F.lit(json.dumps(table).replace('"', "")), "array<array<bigint>>")
 
 
-def fingerprint(text: Column, table: Column, bits: int = BITS, subsets: int = SUBSETS) -> Column:
-    """``class:hash,hash,...;class:hash,...``, or ``-:hash`` of the text where no term is in the lexicon."""
+def fingerprint(text: Column, table: Column, wide: Column | None = None, bits: int = BITS, subsets: int = SUBSETS) -> Column:
+    """``class:hash,hash,...;class:hash,...``; classes begin with ``~`` where no term is in the lexicon, or ``wide`` is true, and
+    all terms are taken; ``-:hash`` of a text without terms."""
     mask = (1 << bits) - 1
-    found = F.filter(term_hashes(text), lambda h: F.array_contains(F.element_at(table, (h.bitwiseAND(F.lit(mask)) + 1).cast("int")), h))
+    every = F.filter(F.array_distinct(term_hashes(text)), lambda h: h != F.xxhash64(F.lit("")))
+
+    def in_lexicon(terms: Column) -> Column:
+        return F.filter(terms, lambda h: F.array_contains(F.element_at(table, (h.bitwiseAND(F.lit(mask)) + 1).cast("int")), h))
 
     def low_bits(n: Column) -> Column:
         return (F.pow(F.lit(2.0), n) - 1).cast("long")
@@ -62,25 +69,30 @@ def fingerprint(text: Column, table: Column, bits: int = BITS, subsets: int = SU
         wanted = low_bits(F.greatest(F.lit(0), c - 4))
         return F.filter(terms, lambda h: F.shiftrightunsigned(h, 12).bitwiseAND(wanted) == 0)
 
-    def one_class(taken: Column, c: Column) -> Column:
+    def one_class(taken: Column, c: Column, mark: Column) -> Column:
         part = low_bits(F.least(F.lit(4), c))
 
         def one(k: int) -> Column:
             kept = F.filter(taken, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(part) == F.lit(k).cast("long").bitwiseAND(part))
             return F.when(F.size(kept) == 0, F.lit("")).otherwise(F.substring(F.lower(F.hex(F.xxhash64(kept, F.lit(k)))), -8, 8))
 
-        return F.concat(c.cast("string"), F.lit(":"), F.concat_ws(",", *[one(k) for k in range(subsets)]))
+        return F.concat(mark, c.cast("string"), F.lit(":"), F.concat_ws(",", *[one(k) for k in range(subsets)]))
 
     def bound(value: Column, use) -> Column:
         """``use(value)``, with the value worked out once."""
         return F.transform(F.array(value), use)[0]
 
-    def whole(terms: Column) -> Column:
+    def whole(x: Column) -> Column:
+        terms, mark = x["terms"], x["mark"]
         c = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(terms), F.lit(1)))).cast("int"))
-        some = bound(F.struct(c.alias("c"), sampled(terms, c).alias("t")), lambda x: F.concat(one_class(x["t"], x["c"]), F.lit(";"), bound(sampled(x["t"], x["c"] + 1), lambda t: one_class(t, x["c"] + 1))))
+        some = bound(F.struct(c.alias("c"), sampled(terms, c).alias("t")), lambda x: F.concat(one_class(x["t"], x["c"], mark), F.lit(";"), bound(sampled(x["t"], x["c"] + 1), lambda t: one_class(t, x["c"] + 1, mark))))
         return F.when(F.size(terms) == 0, F.concat(F.lit("-:"), F.lower(F.hex(F.xxhash64(text))))).otherwise(some)
 
-    return bound(F.sort_array(F.array_distinct(found)), whole)
+    def chosen(terms: Column, some: Column) -> Column:
+        all_ = F.size(some) == 0
+        return F.when(all_ if wide is None else all_ | wide, F.struct(F.sort_array(terms).alias("terms"), F.lit("~").alias("mark"))).otherwise(F.struct(F.sort_array(some).alias("terms"), F.lit("").alias("mark")))
+
+    return bound(every, lambda terms: bound(in_lexicon(terms), lambda some: bound(chosen(terms, some), whole)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -136,7 +148,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     made = paired.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
-    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("own").alias("fingerprint"), fingerprint(F.col("edited"), table).alias("edited_fingerprint"), "next_own")
+    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("own").alias("fingerprint"), fingerprint(F.col("edited"), table, F.col("own").startswith("~")).alias("edited_fingerprint"), "next_own")
     own = F.col("fingerprint")
     return made.withColumns({"near_edited": likeness(own, F.col("edited_fingerprint")), "near_next": likeness(own, F.col("next_own"))}).drop("next_own")
 
