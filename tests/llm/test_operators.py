@@ -241,3 +241,16 @@ def test_fingerprints_of_a_hot_group_and_of_rare_terms(spark):
     assert "~" not in got[0].fingerprint and "-" not in got[0].fingerprint
     assert got[59].near_edited > 0.4 and got[58].near_next == 1
     assert got[500].fingerprint.startswith("~") and got[500].near_edited > 0.15 and got[500].near_next < 0.2
+
+
+@pytest.mark.parametrize("copies", [100, 800])
+def test_quality_bands_with_copies_and_gibberish(spark, copies):
+    r = np.random.default_rng(2)
+    clean = [(i, " ".join(r.choice(WORDS, 150))) for i in range(200)]
+    hot = [(1000 + i, " ".join(r.permutation([f"{w}x" for w in WORDS[:150]]) if not i else [])) for i in range(1)]
+    rows = clean + [(1000 + i, hot[0][1]) for i in range(copies)]
+    rows += [(5000 + i, " ".join("".join(map(chr, r.integers(0x4E00, 0x9000, 6))) for _ in range(150))) for i in range(3)]
+    rows += [(6000 + i, "junk junk " * 400 + str(i)) for i in range(60)]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 195
+    assert not any(got[5000 + i].kept for i in range(3)) and all(got[6000 + i].base_failed for i in range(60))

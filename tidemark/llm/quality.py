@@ -4,7 +4,8 @@ The model is an interpolated modified Kneser-Ney model of ``ORDER`` characters f
 n-grams; Spark sums them, derives continuation counts, discounts and interpolated probabilities order by order with
 joins, and writes probabilities and back-off weights as sorted hash arrays, which workers map into memory. A text is
 rejected if its log-perplexity per character lies outside its language's band, whose ends are the quartiles widened by
-``WIDTH`` times their distance (at least ``FLOOR``), both over all texts of the language.
+``WIDTH`` times their distance (at least ``FLOOR``). Model and quartiles are over all texts of the language that pass the
+base rules, each distinct text once.
 
 Null texts count as empty, a null language is a language of its own; empty texts fail the base rules; equal rows get
 equal results; an empty table gives no rows. Code points are told apart by their last 16 bits. Other columns are left out.
@@ -223,9 +224,40 @@ def rules(text: str) -> tuple[int, int, int, int, int]:
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), covered
 
 
+def text_hash(lang: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=xxhash.xxh32_intdigest(lang))
+
+
+def fails(n_words, n_repeat_words):
+    """The base rules, on numbers or columns."""
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str], np.ndarray]]:
+    """Languages, texts and hashes of the rows ``(lang, text)`` that pass the base rules."""
+    for b in common.slices(batches, 400):
+        some = [(lang, t) for lang, t in zip(b.column(0).to_pylist(), common.texts_of(b.column(1))) if not fails(*rules(t)[::4])]
+        yield [x for x, _ in some], [t for _, t in some], np.array([text_hash(*x) for x in some], np.uint64)
+
+
+def learned(rows: DataFrame) -> DataFrame:
+    """``(lang, text)``: each distinct text of a language that passes the base rules once. Only texts with copies are shuffled."""
+    repeated = common.repeated_hashes(rows, lambda batches: (h for _, _, h in passing(batches)), rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, texts, h in passing(batches):
+            twice = repeated.contains(h)
+            columns = [pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(h.view(np.int64)), pa.array(twice)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "text", "h", "twice"])
+
+    found = rows.mapInArrow(run, "lang string, text string, h long, twice boolean")
+    copies = found.where("twice").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return found.where("not twice").select("lang", "text").union(copies.select("lang", "text"))
+
+
 def measured(rows: DataFrame, model: CharModel) -> DataFrame:
     """The base measures and the log-perplexity per character of ``rows(lang, doc_id, text)``."""
-    names = ["lang", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+    names = ["lang", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 400):
@@ -238,23 +270,24 @@ def measured(rows: DataFrame, model: CharModel) -> DataFrame:
                 distinct, back = np.unique(g, return_inverse=True)
                 lp[at] = -np.add.reduceat(model.log_probabilities(lang, distinct)[back], np.cumsum(n) - n) / n
             got = list(zip(*map(rules, texts)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in got), pa.array(lp)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in got), pa.array(lp), pa.array(np.array([text_hash(*x) for x in zip(langs, texts)], np.uint64).view(np.int64))], names=names)
 
-    return rows.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    return rows.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, h long")
 
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base measures, ``base_failed``, ``log_perplexity``, the language's band and ``kept`` for every row."""
     rows = docs.select(language(lang_col).alias("lang"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = common.materialize(measured(rows, train(rows.select("lang", "text"))))
+    scored = common.materialize(measured(rows, train(learned(rows.select("lang", "text")))))
     q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = scored.where("n_words > 0").groupBy("lang").agg(q.alias("q"))
+    failed = fails(F.col("n_words"), F.col("n_repeat_words"))
+    distinct = scored.where(~failed).groupBy("lang", "h").agg(F.min("log_perplexity").alias("log_perplexity"))
+    bands = distinct.groupBy("lang").agg(q.alias("q"))
     reach = WIDTH * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(FLOOR))
     bands = bands.select("lang", (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
     out = scored.join(F.broadcast(bands), "lang", "left").withColumn("base_failed", failed)  # one row a language
-    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("lang")
+    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("lang", "h")
 
 
 def op8_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
