@@ -243,7 +243,7 @@ def test_fingerprints_of_a_hot_group_and_of_rare_terms(spark):
     assert got[500].fingerprint.startswith("~") and got[500].near_edited > 0.15 and got[500].near_next < 0.2
 
 
-@pytest.mark.parametrize("copies", [100, 800])
+@pytest.mark.parametrize("copies", [140, 1060])  # a third and four fifths of the rows
 def test_quality_bands_with_copies_and_gibberish(spark, copies):
     r = np.random.default_rng(2)
     clean = [(i, " ".join(r.choice(WORDS, 150))) for i in range(200)]
@@ -254,3 +254,9 @@ def test_quality_bands_with_copies_and_gibberish(spark, copies):
     got = {x.doc_id: x for x in quality.quality(spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string")).collect()}
     assert sum(got[i].kept for i in range(200)) >= 195
     assert not any(got[5000 + i].kept for i in range(3)) and all(got[6000 + i].base_failed for i in range(60))
+
+
+def test_components_raise_when_unfinished(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(edges, rounds=1)

@@ -90,6 +90,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014); each step's edges are written to the shared
     folder. Nodes without edges don't appear. Hot nodes only meet a partial minimum and a join with unique keys.
+    Edges that still change after ``rounds`` steps are an error.
     """
     spark = edges.sparkSession
 
@@ -116,6 +117,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if (then := summary(now)) == seen:
             break
         seen = then
+    else:
+        raise RuntimeError(f"components: edges still change after {rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
