@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark import catalog
@@ -25,7 +26,7 @@ def tidy(frame):
     for c in frame.columns:
         if frame[c].dtype.kind == "f":
             frame[c] = frame[c].round(6)
-    return sorted(map(repr, (tuple(None if x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r) for r in frame.astype(object).itertuples(index=False))))
+    return sorted(map(repr, (tuple(None if x is None or pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r) for r in frame.astype(object).itertuples(index=False))))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
