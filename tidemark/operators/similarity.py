@@ -1,10 +1,13 @@
 """Nearest neighbours of a stated query set against all rows: by cosine over vectors, by Hamming distance over hashes.
 
-The queries are the rows whose id is divisible by 20; a row is not its own neighbour.
+The queries are the rows whose id is divisible by 20. For hashes, each query is looked up in four views of it, as a picture
+is found again after changes: as it is, and with 4, 9 and 14 bits changed.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 EVERY, K = 20, 5
-#: Rows of a block of vectors and of a block of queries: what one task compares at a time.
-ROWS, QUERIES_EACH = 4096, 1024
-#: Bits of a hash, the distance that still matches, and bands: of 11 bands, one at least is equal within 10 bits.
-BITS, NEAR, BANDS = 64, 10, 11
+#: Rows of a block of vectors and of a block of queries, which meet in a task; and the queries that it compares at a time.
+ROWS, QUERIES_EACH, AT_ONCE = 16384, 8192, 512
+#: Bits of a hash and the distance that still matches. Of PARTS parts of a hash, one at least differs by RADIUS bits at most.
+BITS, NEAR, PARTS, RADIUS = 64, 10, 4, 2
+#: Views of a query and how many of its bits each changes.
+VIEWS = {"none": 0, "crop": 4, "blur": 9, "noise": 14}
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +49,12 @@ def cosine_top(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         a, b = np.stack(q["v"].to_list()), np.stack(r["v"].to_list())
         ids, out = r["vec_id"].to_numpy(), []
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        likeness = np.round(a @ b.T, 4)
-        for i, row in zip(q["query_id"], likeness):
-            at = np.argsort(-row, kind="stable")[: k + 1]
-            out += [(i, ids[j], row[j]) for j in at if ids[j] != i][:k]
+        for begin in range(0, len(a), AT_ONCE):
+            likeness = np.round(a[begin : begin + AT_ONCE] @ b.T, 4)
+            for i, row in zip(q["query_id"].iloc[begin : begin + AT_ONCE], likeness):
+                some = np.flatnonzero(row >= np.partition(row, max(0, len(row) - k - 1))[max(0, len(row) - k - 1)])
+                at = some[np.argsort(-row[some], kind="stable")][: k + 1]
+                out += [(i, ids[j], row[j]) for j in at if ids[j] != i][:k]
         return pd.DataFrame(out, columns=names)
 
     near = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(best, "query_id long, vec_id long, cosine double")
@@ -78,27 +85,102 @@ def sign_hash(v: Column, bits: int = BITS) -> Column:
     return F.aggregate(signs, F.lit(0).cast("long"), lambda h, s: F.shiftleft(h, 1).bitwiseOR(s.cast("long")))
 
 
+def near_keys(part: Column, radius: int = RADIUS, width: int = BITS // PARTS) -> Column:
+    """All keys within ``radius`` bits of a part of a hash."""
+    flips = [sum(1 << b for b in some) for r in range(radius + 1) for some in itertools.combinations(range(width), r)]
+    return F.transform(F.lit(flips), lambda f: part.bitwiseXOR(f))
+
+
 def hamming_near(rows: DataFrame, queries: DataFrame, near: int = NEAR) -> DataFrame:
-    """``(query_id, vec_id, distance)`` of all pairs of ``(vec_id, h)`` within ``near`` bits: two hashes so close agree in
-    one of ``near + 1`` bands, so a join on bands finds every pair, and the lowest equal band keeps each once."""
-    bands = near + 1
-    cuts = [BITS * k // bands for k in range(bands + 1)]
-    masks = [((1 << (b - a)) - 1, a) for a, b in zip(cuts, cuts[1:])]
+    """``(query_id, view, vec_id, distance)`` of all pairs of ``queries(query_id, view, h)`` and ``rows(vec_id, h)`` within ``near`` bits.
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        keys = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit(m)).alias("bits")) for k, (m, a) in enumerate(masks)]
-        return df.select(F.col("vec_id").alias(name), F.col("h").alias(f"h_{name}"), F.explode(F.array(*keys)).alias("key")).select(name, f"h_{name}", "key.*")
+    Rows are indexed by the parts of their distinct hashes, queries ask for all keys near their parts; the first part that is
+    near keeps each pair once. Equal hashes, however many, meet as one and are told apart at the end.
+    """
+    if near >= PARTS * (RADIUS + 1):
+        raise ValueError(f"near must be below {PARTS * (RADIUS + 1)}")
+    width = BITS // PARTS
+    mask = F.lit((1 << width) - 1)
 
-    met = keyed(queries, "query_id").join(keyed(rows, "vec_id"), ["band", "bits"])
-    x = F.col("h_query_id").bitwiseXOR(F.col("h_vec_id"))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(x, a).bitwiseAND(F.lit(m)) == 0, k) for k, (m, a) in enumerate(masks)])
-    found = met.where((F.bit_count(x) <= near) & (first == F.col("band")) & (F.col("query_id") != F.col("vec_id")))
-    return found.select("query_id", "vec_id", F.bit_count(x).cast("long").alias("distance"), F.round(1 - F.bit_count(x) / BITS, 4).alias("similarity"))
+    def part(h: Column, k: int) -> Column:
+        return F.shiftrightunsigned(h, k * width).bitwiseAND(mask)
 
+    def keyed(df: DataFrame, name: str, keys) -> DataFrame:
+        some = F.array(*[F.struct(F.lit(k).alias("part"), keys(part(F.col("h"), k)).alias("bits")) for k in range(PARTS)])
+        return df.select(F.col("h").alias(name), F.explode(some).alias("k")).select(name, "k.part", F.explode("k.bits").alias("bits"))
 
-def hamming_within_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = keyed(queries.select("h").distinct(), "q", near_keys)
+    index = keyed(rows.select("h").distinct(), "r", F.array)
+    x = F.col("q").bitwiseXOR(F.col("r"))
+    first = F.coalesce(*[F.when(F.bit_count(part(x, k)) <= RADIUS, k) for k in range(PARTS)])
+    met = asked.join(index, ["part", "bits"]).where((first == F.col("part")) & (F.bit_count(x) <= near)).select("q", "r", F.bit_count(x).cast("long").alias("distance"))
+    found = queries.withColumnRenamed("h", "q").join(met, "q").join(rows.withColumnRenamed("h", "r"), "r")
+    return found.select("query_id", "view", "vec_id", "distance", F.round(1 - F.col("distance") / BITS, 4).alias("similarity"))
+
+
+def changed(h: Column, id_: Column, n: int) -> Column:
+    """The hash with ``n`` of its bits changed, which ones depends on the id."""
+    for j in range(n):
+        h = h.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (63 - (7 * j + id_) % 64).cast("int")))
+    return h
+
+
+def hash_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All hashes, and the queries' views."""
     rows = vectors(spark, sf_dir).select("vec_id", sign_hash(F.col("embedding")).alias("h"))
-    return hamming_near(rows, rows.where(F.col("vec_id") % EVERY == 0))
+    id_ = F.col("vec_id")
+    views = F.array(*[F.struct(F.lit(v).alias("view"), changed(F.col("h"), id_, n).alias("h")) for v, n in VIEWS.items()])
+    return rows, rows.where(id_ % EVERY == 0).select(id_.alias("query_id"), F.explode(views).alias("v")).select("query_id", "v.view", "v.h")
+
+
+def hamming_within_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_near(*hash_views(spark, sf_dir))
+
+
+def nearest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest record of each view, the first of equals; the distance is 999 where none is near."""
+    rows, views = hash_views(spark, sf_dir)
+    best = hamming_near(rows, views).groupBy("query_id", "view").agg(F.min(F.struct("distance", "vec_id")).alias("b"))
+    return views.select("query_id", "view").join(best, ["query_id", "view"], "left").select("query_id", "view", F.col("b.vec_id").alias("vec_id"), F.coalesce("b.distance", F.lit(999)).cast("long").alias("distance"))
+
+
+def view_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each view: how often the record itself comes first, the mean distance, and how often another one does."""
+    own = F.coalesce(F.col("vec_id") == F.col("query_id"), F.lit(False))
+    return nearest_records(spark, sf_dir).groupBy("view").agg(
+        F.count("*").alias("n"), F.round(F.avg(own.cast("double")), 6).alias("recall_at_1"), F.round(F.avg(F.when(F.col("distance") < 999, F.col("distance"))), 6).alias("mean_distance"),
+        F.round(F.avg((F.col("vec_id").isNotNull() & ~own).cast("double")), 6).alias("false_match"),
+    )
+
+
+def false_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with another record, told apart by whether it has the query's label (a near duplicate) or another (harmful)."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    found = nearest_records(spark, sf_dir).join(labels, "vec_id", "left").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    kind = F.when(F.col("vec_id").isNull(), "none").when(F.col("vec_id") == F.col("query_id"), "right").when(F.col("label") == F.col("own"), "near").otherwise("harmful")
+    return found.groupBy("view", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def distance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of views found within each distance; 999 stands for those without a record."""
+    most = F.explode(F.lit([0, 2, 4, 6, 8, 10, 12])).alias("most")
+    return nearest_records(spark, sf_dir).select("*", most).groupBy("view", "most").agg(F.round(F.avg((F.col("distance") <= F.col("most")).cast("double")), 6).alias("share"))
+
+
+def similarity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many right and wrong first neighbours each cosine threshold keeps; right ones have the query's label."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    first = cosine_top5(spark, sf_dir).where("rank = 1").join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    rows = first.select("cosine", (F.col("label") == F.col("own")).alias("right"), F.explode(F.lit([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])).alias("threshold"))
+    return rows.groupBy("threshold").agg(F.count_if(F.col("right") & (F.col("cosine") >= F.col("threshold"))).alias("kept"), F.count_if("right").alias("right_total"), F.count_if(~F.col("right") & (F.col("cosine") >= F.col("threshold"))).alias("leaked"))
+
+
+def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query: the best cosine, its lead over the tenth, and its distance from the mean of the best 200 in deviations."""
+    rows = vectors(spark, sf_dir)
+    top = cosine_top(rows, rows.where(F.col("vec_id") % EVERY == 0), 200)
+    one = top.groupBy("query_id").agg(F.max("cosine").alias("top1"), F.max(F.when(F.col("rank") == 10, F.col("cosine"))).alias("tenth"), F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("deviation"))
+    return one.select("query_id", "top1", F.round(F.col("top1") - F.col("tenth"), 4).alias("lead"), F.round((F.col("top1") - F.col("mean")) / (F.col("deviation") + 1e-9), 4).alias("z"))
 
 
 def low_information_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,20 +189,32 @@ def low_information_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", F.lpad(F.lower(F.hex(h)), 16, "0").alias("hash"), (F.bit_count(h) < 12).alias("abstains"))
 
 
-QUERIES = {q.__name__: q for q in (cosine_top5, retrieval_recall, hamming_within_10, low_information_hashes)}
+QUERIES = {q.__name__: q for q in (cosine_top5, retrieval_recall, hamming_within_10, low_information_hashes, nearest_records, view_recall, false_matches, distance_sweep, similarity_sweep, separation)}
 _TOP = f"""with c as (select q.vec_id as query_id, r.vec_id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 4) as cosine, r.label = q.label as same
 from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % {EVERY} = 0),
 t as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from c) """
 _HASH = "list_reduce(list_prepend('', list_transform(embedding[1:64], lambda x: case when x > 0 then '1' else '0' end)), lambda a, b: a || b)"
+#: Bit i of view n is changed if one of the first n steps of seven, from the id on, falls on it; 55 is the inverse of 7 modulo 64.
+_NEAR = f"""with h as (select vec_id, {_HASH} as h from embeddings), n as (select * from (values {", ".join(f"('{v}', {n})" for v, n in VIEWS.items())}) v(view, n)),
+q as (select vec_id as query_id, view, list_reduce(list_prepend('', list_transform(range(64), lambda i: case when ((i - vec_id % 64 + 64) % 64) * 55 % 64 < n then translate(substr(h, i + 1, 1), '01', '10') else substr(h, i + 1, 1) end)), lambda a, b: a || b) as h
+    from h cross join n where vec_id % {EVERY} = 0),
+near as (select * from (select query_id, view, h.vec_id, bit_count(xor(q.h::bit, h.h::bit))::bigint as distance from q cross join h) x where distance <= {NEAR}) """
+_BEST = _NEAR + """, best as (select q.query_id, q.view, arg_min(vec_id, distance * 1000000000 + vec_id) as vec_id, coalesce(min(distance), 999) as distance from q left join near on near.query_id = q.query_id and near.view = q.view group by q.query_id, q.view) """
 SQL = {
     "cosine_top5": _TOP + f"select query_id, vec_id, cosine, rank from t where rank <= {K}",
     "retrieval_recall": _TOP
     + f""", r as (select query_id, min(case when same and rank <= {K} then rank end) as r from t group by query_id)
 select count(*) as n, round(avg(case when r = 1 then 1.0::double else 0.0 end), 6) as recall_at_1, round(avg(case when r is not null then 1.0::double else 0.0 end), 6) as recall_at_5,
 round(avg(coalesce(1.0::double / r, 0.0::double)), 6) as mrr from r""",
-    "hamming_within_10": f"""with h as (select vec_id, {_HASH}::bit as h from embeddings)
-select * from (select q.vec_id as query_id, r.vec_id, bit_count(xor(q.h, r.h))::bigint as distance, round(1 - bit_count(xor(q.h, r.h)) / 64.0::double, 4) as similarity
-from h q join h r on q.vec_id <> r.vec_id where q.vec_id % {EVERY} = 0) p where distance <= {NEAR}""",
+    "hamming_within_10": _NEAR + "select query_id, view, vec_id, distance, round(1 - distance / 64.0::double, 4) as similarity from near",
+    "nearest_records": _BEST + "select * from best",
+    "view_recall": _BEST + """select view, count(*) as n, round(avg(case when vec_id = query_id then 1.0::double else 0 end), 6) as recall_at_1, round(avg(case when distance < 999 then distance end), 6) as mean_distance,
+        round(avg(case when vec_id <> query_id then 1.0::double else 0 end), 6) as false_match from best group by view""",
+    "false_matches": _BEST + """select view, case when b.vec_id is null then 'none' when b.vec_id = query_id then 'right' when l.label = o.label then 'near' else 'harmful' end as kind, count(*) as n
+        from best b left join embeddings l on l.vec_id = b.vec_id join embeddings o on o.vec_id = query_id group by 1, 2""",
+    "distance_sweep": _BEST + "select view, most, round(avg(case when distance <= most then 1.0::double else 0 end), 6) as share from best, (select unnest([0, 2, 4, 6, 8, 10, 12]) as most) m group by view, most",
+    "similarity_sweep": _TOP + ", f as (select cosine, same from t where rank = 1) select threshold, count_if(same and cosine >= threshold) as kept, count_if(same) as right_total, count_if(not same and cosine >= threshold) as leaked from f, (select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])::double as threshold) m group by threshold",
+    "separation": _TOP + """select query_id, max(cosine) as top1, round(max(cosine) - max(case when rank = 10 then cosine end), 4) as lead, round((max(cosine) - avg(cosine)) / (stddev_pop(cosine) + 1e-9), 4) as z from t where rank <= 200 group by query_id""",
     "low_information_hashes": f"""with h as (select vec_id, {_HASH} as h from embeddings)
 select vec_id, list_reduce(list_prepend('', list_transform(range(16), lambda k: substr('0123456789abcdef', 1 + (substr(h, k * 4 + 1, 1)::int * 8 + substr(h, k * 4 + 2, 1)::int * 4 + substr(h, k * 4 + 3, 1)::int * 2 + substr(h, k * 4 + 4, 1)::int), 1))), lambda a, b: a || b) as hash,
 length(replace(h, '0', '')) < 12 as abstains from h""",
