@@ -110,9 +110,13 @@ def stepped(df: DataFrame, steps: Steps) -> DataFrame:
     return df
 
 
-def stepped_sql(base: str, steps: Steps, name: str = "posts") -> str:
-    """``with ... `` of the same steps over the query ``base``; the last one is called ``name``."""
-    parts = [f"s0 as ({base})"]
+def stepped_ctes(base: str, steps: Steps, name: str, prefix: str = "s") -> str:
+    """The common table expressions of the same steps over the query ``base``; the last one is called ``name``."""
+    parts = [f"{prefix}0 as ({base})"]
     for k, step in enumerate(steps):
-        parts.append(f"s{k + 1} as (select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from s{k})")
-    return f"with {', '.join(parts)}, {name} as (select * from s{len(steps)}) "
+        parts.append(f"{prefix}{k + 1} as (select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from {prefix}{k})")
+    return f"{', '.join(parts)}, {name} as (select * from {prefix}{len(steps)})"
+
+
+def stepped_sql(base: str, steps: Steps, name: str = "posts") -> str:
+    return f"with {stepped_ctes(base, steps, name)} "

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir
+
 
 def tumbling(rows: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by tumbling window and event type; works on streams and tables."""
@@ -24,13 +24,19 @@ def sessions(rows: DataFrame, gap: str = "2 hours") -> DataFrame:
 
 
 def events_stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tumbling windows of a stream of the events table, complete mode, one run over what is there."""
+    """The tumbling windows of a stream of the events table, complete mode, one run over what is there; each batch's whole result
+    is written to a table in the shared folder, where the stream's progress is kept as well."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    name = f"hourly_{uuid.uuid4().hex[:12]}"
-    query = tumbling(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    folder = shared_dir(spark)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    hourly = tumbling(stream)
+    query = hourly.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/progress").foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(hourly.schema).parquet(f"{folder}/result")
 
 
 def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
