@@ -127,3 +127,15 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         sources.with_vectors(spark.range(3), spark.range(2), "id")
     assert math.isclose(spark.sql(f"select {interpolated('0.5e0', [(0.0, 0.0), (1.0, 1.0)])} as v").first().v, 0.5)
+
+
+def test_name_hashes(spark):
+    import hashlib
+
+    from tidemark.plans import media
+
+    names = ["a", "kare-é", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", media.name_hash("n").alias("h"), media.demo_score("video", F.col("n"), 0.0, 1.0).alias("s")).collect()
+    for r in rows:
+        assert r.h % (1 << 64) == int.from_bytes(hashlib.blake2b(r.n.encode(), digest_size=8).digest(), "big")
+        assert r.s == int.from_bytes(hashlib.blake2b(f"video:{r.n}".encode(), digest_size=8).digest(), "big") % 1000 / 1000

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import similarity
-from .plans import corpus, evaluation, files, portable, posts, radar, terms
+from .plans import corpus, evaluation, files, media, portable, posts, radar, terms
 from .streaming import windows
 
-MODULES = (posts, portable, terms, corpus, evaluation, radar, files, windows, similarity)
+MODULES = (posts, portable, terms, corpus, evaluation, radar, files, media, windows, similarity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "text_verdicts"

@@ -83,6 +83,14 @@ class Dialect:
         return f"select {columns}, explode({array}) as {name} from {source}" if self.spark else f"select {columns}, unnest({array}) as {name} from {source}"
 
 
+    def several(self, key: str, items: list[dict[str, str]], source: str, where: str = "true") -> str:
+        """A query with a row for each item of each row, which is read once."""
+        pack = (lambda x: "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in x.items()) + ")") if self.spark else (lambda x: "struct_pack(" + ", ".join(f"{n} := {e}" for n, e in x.items()) + ")")
+        names = ", ".join(f"item.{n} as {n}" for n in items[0])
+        inner = self.exploded(key, self.array(*map(pack, items)), "item", source)
+        return f"select * from (select {key}, {names} from ({inner}) several_items) several where {where}"
+
+
 SPARK, DUCKDB = Dialect(True), Dialect(False)
 
 

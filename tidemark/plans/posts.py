@@ -257,9 +257,11 @@ def posts(spark: SparkSession, sf_dir: str, until: str = "fusion") -> DataFrame:
 def queries(d: Dialect) -> dict[str, tuple[str, str]]:
     """By name: the stage that the query needs and the query over ``posts``."""
     labels = ", ".join(lx.LABELS)
-    signal_rows = [f"select post_id, '{k}' as key, cast({SIGNALS[k]} as double) as raw_score, ({SIGNALS[k]}) is null as abstained from posts" for k in list(SIGNALS)[:4]]
-    claim_rows = [f"select post_id, '{t}' as claim_type, {c} as claim, city, magnitude, time_expr, source, certainty from posts where {c} is not null" for t, c in CLAIM_COLUMNS.items()]
-    claim_rows.append("select post_id, 'belirsiz' as claim_type, unclear_claim as claim, city, magnitude, time_expr, source, certainty from posts where unclear_claim is not null")
+    signal_rows = d.several("post_id", [{"key": f"'{k}'", "raw_score": f"cast({SIGNALS[k]} as double)", "abstained": f"({SIGNALS[k]}) is null"} for k in list(SIGNALS)[:4]], "posts", "key in ('text.manipulative', 'text.help_call') or not abstained")
+    fields = {c: c for c in ("city", "magnitude", "time_expr", "source", "certainty")}
+    claim_rows = d.several("post_id", [{"claim_type": f"'{t}'", "claim": c, **fields} for t, c in {**CLAIM_COLUMNS, "belirsiz": "unclear_claim"}.items()], "posts", "claim is not null")
+    calibrated = d.several("post_id", [{"key": f"'{k}'", "score": c, "abstained": f"not has_{c}"} for k, c in COLUMN.items()], "posts")
+    shown_rows = d.several("post_id", [{"key": f"'{k}'", "part": f"case when not has_{c} then 'abstains' when {d.contains('concat(contributors, chr(44))', quoted(k + ','))} then 'decides' end"} for k, c in COLUMN.items()], "posts", "part is not null")
 
     def hits(patterns: list[tuple[str, float]], most: int) -> str:
         found = d.kept(d.array(*[f"nullif(trim({d.extract('norm', p)}), '')" for p, _ in patterns]), "h", "h is not null")
@@ -279,16 +281,17 @@ def queries(d: Dialect) -> dict[str, tuple[str, str]]:
         "dominant_label": ("text", "select dominant as label, count(*) as n from posts group by dominant"),
         "help_call_score": ("text", "select post_id, help_raw, help_doubt, help from posts"),
         "debunk_score": ("text", "select post_id, debunk, debunk >= 0.55e0 as debunking from posts"),
-        "claim_extraction": ("text", " union all ".join(claim_rows)),
+        "claim_extraction": ("text", claim_rows),
         "primary_claims": ("text", f"select post_id, claim_type, claim, {span} as place from posts where claims is not null"),
         "evidence_caps": ("text", f"select post_id, {d.joined(shown, '|')} as evidence, {d.joined(first_help, '|')} as help_evidence, {d.joined(hits(lx.DEBUNK, 2), '|')} as debunk_evidence from posts"),
-        "text_signals": ("text", "select * from (" + " union all ".join(signal_rows) + ") q where key in ('text.manipulative', 'text.help_call') or not abstained"),
+        "text_signals": ("text", signal_rows),
         "knowledge_match": ("knowledge", "select post_id, record, similarity, knowledge, knowledge_raw from posts where claims is not null"),
         "knowledge_counts": ("knowledge", "select coalesce(knowledge, 'yok') as knowledge, count(*) as n, round(avg(similarity), 6) as mean_similarity from posts group by coalesce(knowledge, 'yok')"),
         "provenance_context": ("provenance", "select post_id, matched, distance, likeness, city, place, conflict, provenance_raw, conclusive from posts where media_kind <> 'yok'"),
         "media_cascade": ("media", "select post_id, has_audio, runs_media, case when conclusive then 'conclusive' when media_kind = 'yok' then 'no media' end as skipped from posts"),
         "modalities": ("media", "select post_id, concat_ws(',', case when trim(body) <> '' then 'text' end, case when media_kind in ('image', 'grid') then 'image' end, case when media_kind = 'video' then 'video' end, case when has_audio then 'audio' end) as modalities from posts"),
-        "calibrated_signals": ("fusion", " union all ".join(f"select post_id, '{k}' as key, {c} as score, not has_{c} as abstained from posts" for k, c in COLUMN.items())),
+        "calibrated_signals": ("fusion", calibrated),
+        "shown_signals": ("fusion", shown_rows),
         "fused_verdicts": ("fusion", "select post_id, branch, fused, fused_confidence, contributors, informative from posts"),
         "text_verdicts": ("fusion", "select post_id, manipulative, help, rule_zero, verdict, confidence, confidence_label, level from posts"),
         "policy_ladder": ("fusion", "select post_id, level, level <> 4 as automatic, rule_zero as protected, false as content_removed, case when rule_zero or level <> 0 then concat(cast(cast(round(confidence * 100 + 1e-7) as int) as varchar(5)), '%') end as card from posts"),
@@ -307,7 +310,7 @@ def queries(d: Dialect) -> dict[str, tuple[str, str]]:
     }
 
 
-def run(name: str, stage: str):
+def query_of(name: str, stage: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = _SPARK[name][1].replace(" posts", " {posts}").replace("{posts}.", "posts.")
         return spark.sql(sql, posts=posts(spark, sf_dir, stage))
@@ -317,7 +320,7 @@ def run(name: str, stage: str):
 
 
 _SPARK, _DUCK = queries(SPARK), queries(DUCKDB)
-QUERIES = {name: run(name, stage) for name, (stage, _) in _SPARK.items()}
+QUERIES = {name: query_of(name, stage) for name, (stage, _) in _SPARK.items()}
 SQL = {name: stepped_sql(BASE, steps(DUCKDB, stage)) + sql for name, (stage, sql) in _DUCK.items()}
 
 
