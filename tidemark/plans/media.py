@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType
 
 from ..functions import lexicon as lx
 
@@ -16,7 +17,7 @@ SCENES, LEAD = ("deprem", "yangin", "sel", "diger"), 0.08
 GENERATED = "trainedAlgorithmicMedia"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def name_hash(names: pd.Series) -> pd.Series:
     """The 64-bit BLAKE2b hash of a name, as a signed number."""
     return names.map(lambda x: None if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True))
