@@ -26,6 +26,8 @@ from . import common
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 SIZE = BANDS * ROWS
+#: Positions of the sketches of texts that coarser ones leave open.
+FINE = 1024
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,7 +66,8 @@ def signature(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndar
             step += each
             key = common.mix64(s[:, None] + at[None, :] * GOLD)
             other = common.mix64(key ^ np.uint64(0xD6E8FEB86659FD93))
-            gap = -np.log(((key >> np.uint64(11)).astype(float) + 1) / 2.0**53) / width[:, None]
+            # whole numbers, so that sums don't depend on how many points are taken at a time
+            gap = np.ceil(-np.log(((key >> np.uint64(11)).astype(float) + 1) / 2.0**53) / width[:, None] * 2.0**36)
             times = time[:, None] + np.cumsum(gap, axis=1)
             weight = low[:, None] + (other >> np.uint64(32)).astype(float) / 2.0**32 * width[:, None]
             good = (times < least.max()) & (weight <= most[:, None])
@@ -80,19 +83,22 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h1, h2, bands)``: a 128-bit hash of the text and its band keys, none for a text without words."""
+    """``(doc_id, h1, h2, bands, sketch)``: a 128-bit hash of the text, its band keys, none for a text without words, and a byte
+    for each position of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD
         for b in common.slices(batches, 500):
-            h1, h2, keys = [], [], []
+            h1, h2, keys, sketch = [], [], [], []
             for t in common.texts_of(b.column(1)):
                 x = xxhash.xxh3_128_intdigest(t)
                 h1.append((x >> 64) - (1 << 63))
                 h2.append((x & (1 << 64) - 1) - (1 << 63))
                 k, n = bag(t)
                 if len(k):
-                    bits = signature(k, n).view(np.uint64).reshape(BANDS, ROWS)
+                    bits = signature(k, n).view(np.uint64)
+                    sketch.append(common.mix64(bits).astype(np.uint8).tobytes())
+                    bits = bits.reshape(BANDS, ROWS)
                     with np.errstate(over="ignore"):
                         h = band.copy()
                         for c in range(ROWS):
@@ -100,14 +106,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     keys.append(h.view(np.int64))
                 else:
                     keys.append([])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
+                    sketch.append(None)
+            columns = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "h1", "h2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
-
-
-def bag_features(texts: list[str]) -> list:
-    bags = [bag(t) for t in texts]
-    return [bags, np.array([signature(k, n) if len(k) else np.full(SIZE, np.nan) for k, n in bags])]
+    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, sketch binary")
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -117,42 +120,58 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-def similar_bags(made: list, i: int, js: np.ndarray, links: common.Links, least: float = SIMILARITY) -> np.ndarray:
-    """Exact comparison of those not yet joined whose signatures don't rule it out (five standard errors)."""
-    bags, signs = made
-    near = (signs[js] == signs[i]).mean(axis=1) >= least - 5 * (least * (1 - least) / SIZE) ** 0.5
-    return np.array([bool(n) and links.root(i) != links.root(j) and overlap(bags[i], bags[j]) >= least for n, j in zip(near, js.tolist())], bool)
+def alike(pivots: list[str], texts: list[str], of: np.ndarray, *, least: float = SIMILARITY, counted: bool = True) -> np.ndarray:
+    """Which of the texts, all with words, are like the pivot of their number: exact similarity of bags, or of sets."""
+
+    def joined(some: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bags = [bag(t) for t in some]
+        keys, n = np.concatenate([k for k, _ in bags]), np.array([len(k) for k, _ in bags])
+        with np.errstate(over="ignore"):
+            keys = common.mix64(keys + np.repeat(groups, n).astype(np.uint64) * GOLD)
+        counts = np.concatenate([c for _, c in bags]) if counted else np.ones(len(keys), np.int64)
+        return keys, counts, np.cumsum(n) - n
+
+    k, c, at = joined(pivots, np.arange(len(pivots)))
+    wholes = np.add.reduceat(c, at)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    mine, counts, begins = joined(texts, of)
+    place = np.minimum(np.searchsorted(k, mine), len(k) - 1)
+    both = np.add.reduceat(np.where(k[place] == mine, np.minimum(c[place], counts), 0), begins)
+    return both >= least * (wholes[of] + np.add.reduceat(counts, begins) - both) - 1e-9
+
+
+def finer(texts: list[str]) -> np.ndarray:
+    """Sketches of ``FINE`` positions of texts with words."""
+    return np.stack([common.mix64(signature(*bag(t), FINE).view(np.uint64)).astype(np.uint8) for t in texts])
+
+
+def some_texts(rows: DataFrame):
+    """A function that gives those of ``rows(node, text)`` whose node is asked for; only these are shuffled later."""
+
+    def of(nodes: DataFrame) -> DataFrame:
+        asked = common.pair_files(nodes.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("b")))
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield b.filter(pa.array(asked.find(ids, np.zeros_like(ids)) >= 0))
 
+        return rows.mapInArrow(held, "node long, text string")
 
-def candidate_groups(keyed: DataFrame) -> DataFrame:
-    """Components ``(node, root)`` of ``keyed(node, key)`` by shared keys: each node is tied to its key's least node."""
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"))
-    tied = keyed.join(least, "key").where("node != a").select("a", F.col("node").alias("b"))
-    return common.components(tied)
+    return of
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, class_id)`` for every row, the class named by its least doc_id."""
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"coalesce({text_col}, '') text")
-    sketch = common.materialize(sketches(rows.where("doc_id is not null")))
-    whole = sketch.where("size(bands) > 0")
+    told = rows.where("doc_id is not null")
+    sketch = common.materialize(sketches(told))
+    whole = sketch.where("sketch is not null")
     firsts = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    same = whole.join(firsts, ["h1", "h2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    lead = whole.join(firsts.select(F.col("first").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
-    keyed = lead.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    groups = candidate_groups(keyed)
-    inside = common.pair_shards(groups.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("b")))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.array(b.column(0).to_pylist(), np.int64)
-            b = b.rename_columns(["node", "text"])
-            yield b.filter(pa.array(inside.contains(common.pair_hash(ids, np.zeros_like(ids)))))
-
-    some = rows.where("doc_id is not null").mapInArrow(held, "node long, text string")  # only these texts are shuffled
-    members = groups.join(some, "node")
-    links = common.verified_links(members, bag_features, similar_bags, groups.count())
-    classes = common.components(same.union(links))
+    same = whole.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"]).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    lead = common.materialize(whole.join(firsts.select(F.col("first").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "bands", "sketch"))
+    classes = common.linked(lead.select("node", F.explode("bands").alias("key")), lead.select("node", "sketch"), some_texts(told.withColumnRenamed("doc_id", "node")), alike, finer, SIMILARITY, same)
     out = rows.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
