@@ -15,14 +15,13 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
    shuffled.
 
 Nulls count as empty texts; a null doc_id counts as the greatest; rows that repeat a doc_id don't remove from each
-other; texts below ``length`` bytes stay; an empty table gives no rows; all columns of the input are kept, but for those
-named like a result column.
+other; texts below ``length`` bytes stay; an empty table gives no rows; all columns of the input are kept, of ``remove_repeats``
+but those named like a result column.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,12 +75,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return at, g[at]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], length: int, copies: common.HashShards, gone: list | None = None) -> Iterator[tuple]:
+def chunks(batches: Iterator[pa.RecordBatch], length: int, copies: common.PairFiles, gone: list | None = None) -> Iterator[tuple]:
     """``(doc ids, text hashes, starts, data, owner, ends)`` of some documents' bytes, joined, without those of copies;
     ``gone`` takes these up as ``(doc id, text hash, bytes)``."""
-    for b in batches:
+    for b in common.slices(batches, 5000):
         ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), common.bytes_of(b.column(2))
-        copied = copies.contains(common.pair_hash(np.array(ids, np.int64), np.array(hashes, np.int64)))
+        copied = copies.find(np.array(ids, np.int64), np.array(hashes, np.int64)) >= 0
         for k in np.flatnonzero(copied).tolist():
             if gone is not None:
                 gone.append((ids[k], hashes[k], len(texts[k])))
@@ -100,7 +99,7 @@ def chunks(batches: Iterator[pa.RecordBatch], length: int, copies: common.HashSh
                 held, size = [], 0
 
 
-def anchor_hashes(length: int, copies: common.HashShards):
+def anchor_hashes(length: int, copies: common.PairFiles):
     """For the first pass: each document's anchor hashes, once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -190,11 +189,11 @@ def unsqueezed(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in column if x is not None), kind)
 
 
-def equal_texts(rows: DataFrame) -> common.HashShards:
-    """The ``(doc, hash)`` of texts that equal a smaller document's."""
+def equal_texts(rows: DataFrame) -> common.PairFiles:
+    """The ``(doc, hash)`` of texts that equal a smaller document's: 64 and 32 bits of two hashes and the length agree."""
     ids = rows.select("doc", "hash", F.octet_length("text").alias("n"), F.crc32("text").alias("c"))
     firsts = ids.groupBy("hash", "n", "c").agg(F.min("doc").alias("first"), F.count("*").alias("k")).where("k > 1")
-    return common.pair_shards(ids.join(firsts, ["hash", "n", "c"]).where("doc > first").select(F.col("doc").alias("a"), F.col("hash").alias("b")))
+    return common.pair_files(ids.join(firsts, ["hash", "n", "c"]).where("doc > first").select(F.col("doc").alias("a"), F.col("hash").alias("b")))
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -276,67 +275,63 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.select("doc", "hash", "text").mapInArrow(ask, schema).groupBy("bucket").applyInPandas(answer, "doc long, hash long, spans binary")
 
 
-class SpanFiles:
-    """Merged spans by document, in arrays of the shared folder."""
+class SpanFiles(common.PairFiles):
+    """Merged spans by ``(doc, hash)``, in arrays of the shared folder."""
 
-    def __init__(self, folder: str):
-        self.folder, self.open = folder, {}
+    def spans_of(self, docs: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros((0, 2), np.int64)] * len(docs)
+        places = self.find(docs, hashes)
+        buckets = (common.pair_hash(docs, hashes) >> np.uint64(64 - self.bits)).astype(np.int64)
+        for i in np.flatnonzero(places >= 0).tolist():
+            k = int(buckets[i])
+            if ("spans", k) not in self._open:
+                self._open["spans", k] = [np.load(f"{self.folder}/{x}-{k:06d}.npy", mmap_mode="r") for x in ("begins", "spans")]
+            begins, spans = self._open["spans", k]
+            out[i] = np.array(spans[begins[places[i]] : begins[places[i] + 1]])
+        return out
 
-    def __getstate__(self) -> dict:
-        return {"folder": self.folder, "open": {}}
 
-    def of(self, bucket: int, key: np.uint64) -> np.ndarray:
-        if bucket not in self.open:
-            path = f"{self.folder}/keys-{bucket:06d}.npy"
-            self.open[bucket] = [np.load(path.replace("keys-", x), mmap_mode="r") for x in ("keys-", "begins-", "spans-")] if os.path.exists(path) else None
-        if self.open[bucket]:
-            keys, begins, spans = self.open[bucket]
-            at = int(np.searchsorted(keys, key))
-            if at < len(keys) and keys[at] == key:
-                return np.array(spans[begins[at] : begins[at + 1]])
-        return np.zeros((0, 2), np.int64)
-
-
-def stored_spans(found: DataFrame, parts: int) -> SpanFiles:
-    """Write ``found(doc, hash, spans)``, dealt by document into ``parts`` files."""
-    files = SpanFiles(common.local_path(common.shared_dir(found.sparkSession)))
+def stored_spans(found: DataFrame) -> SpanFiles:
+    """Write ``found(doc, hash, spans)`` into files by the hash of the document."""
+    bits = common.buckets_for(found.sparkSession).bit_length() - 1
+    files = SpanFiles(common.local_path(common.shared_dir(found.sparkSession)), bits)
     folder = files.folder
 
+    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(part=(common.pair_hash(p["doc"].to_numpy(), p["hash"].to_numpy()) >> np.uint64(64 - bits)).astype(np.int32))
+
     def store(key, group):
-        pairs = common.pair_hash(group["doc"].to_numpy(), group["hash"].to_numpy())
-        order = np.argsort(pairs, kind="stable")
-        raw, pairs = group["spans"].to_numpy()[order], pairs[order]
-        new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])).tolist()
+        group = group.sort_values(["doc", "hash"])
+        docs, hashes, raw = (group[c].to_numpy() for c in ("doc", "hash", "spans"))
+        new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])])).tolist()
         spans = [merged(np.frombuffer(b"".join(raw[i:j]), "<i8").reshape(-1, 2)) for i, j in zip(new, [*new[1:], len(raw)])]
+        order = np.lexsort((hashes[new], docs[new], common.pair_hash(docs[new], hashes[new])))
+        spans = [spans[i] for i in order.tolist()]
         common.write_array(folder, f"spans-{key[0]:06d}", np.concatenate(spans))
         common.write_array(folder, f"begins-{key[0]:06d}", np.cumsum([0, *map(len, spans)]))
-        common.write_array(folder, f"keys-{key[0]:06d}", pairs[new])
+        common.write_pairs(folder, int(key[0]), docs[new], hashes[new])
         return pd.DataFrame({"n": [len(new)]})
 
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc", "hash"), F.lit(parts)).cast("int"))
-    dealt.groupBy("part").applyInPandas(store, "n long").agg(F.sum("n")).collect()
+    found.mapInPandas(keyed, "doc long, hash long, spans binary, part int").groupBy("part").applyInPandas(store, "n long").agg(F.sum("n")).collect()
     return files
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """The input's columns with ``n_bytes, n_removed, n_spans, kept_sha256`` and, on demand, ``kept_text``: what is left, without
-    the characters of which only a part is."""
-    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
-    rows = docs.drop(*results)
-    keyed = rows.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_hash", F.coalesce(F.xxhash64(text_col), F.lit(0)))
-    parts = common.buckets_for(docs.sparkSession)
-    files = stored_spans(repeated_spans(keyed.select(F.col("_doc").alias("doc"), F.col("_hash").alias("hash"), F.col(text_col).alias("text")), length), parts)
-    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("_doc", "_hash"), F.lit(parts)).cast("int"))
-    text_at, names = rows.columns.index(text_col), rows.columns
-    kept_names = [c for c in names if keep_text or c != text_col]
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+
+
+def with_cut(docs: DataFrame, results: list[str], length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's columns and, under the names ``results`` that none of them has, the columns of ``RESULTS`` as far as asked."""
+    names, (doc, text_hash) = docs.columns, common.fresh(docs, "_doc", "_hash")
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text_hash: F.coalesce(F.xxhash64(text_col), F.lit(0))})
+    files = stored_spans(repeated_spans(keyed.select(F.col(doc).alias("doc"), F.col(text_hash).alias("hash"), F.col(text_col).alias("text")), length))
+    text_at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 1000):
             size, removed, count, digest, kept = [], [], [], [], []
-            doc, text_hash, part = (b.column(len(names) + k) for k in range(3))
-            keys = common.pair_hash(doc.to_numpy(), text_hash.to_numpy())
-            for t, k, p in zip(common.bytes_of(b.column(text_at)), keys, part.to_pylist()):
-                m = files.of(p, k)
+            spans = files.spans_of(*(b.column(len(names) + k).to_numpy() for k in range(2)))
+            for t, m in zip(common.bytes_of(b.column(text_at)), spans):
                 parts, at = [], 0
                 for i, j in m.tolist():
                     parts.append(t[at:i])
@@ -346,17 +341,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
                 removed.append(len(t) - len(rest))
                 count.append(len(m))
                 digest.append(hashlib.sha256(rest).hexdigest())
-                if keep_text:
+                if len(results) > 4:
                     kept.append(rest.decode("utf-8", "ignore"))
-            more = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
-            if keep_text:
-                more.append(pa.array(kept, pa.string()))
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in kept_names), *more], names=[*kept_names, *results])
+            more = [pa.array(x, t) for x, t in zip((size, removed, count, digest, kept), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), *more[: len(results)]], names=[*names, *results])
+
+    kinds = ("long", "long", "long", "string", "string")
+    return keyed.mapInArrow(cut, ", ".join(f"`{c}` {t}" for c, t in [*docs.dtypes, *zip(results, kinds)]))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """The input's columns with ``n_bytes, n_removed, n_spans, kept_sha256`` and, on demand, ``kept_text``: what is left, without
+    the characters of which only a part is."""
+    results = list(RESULTS if keep_text else RESULTS[:4])
+    return with_cut(docs.drop(*results), results, length, id_col=id_col, text_col=text_col)
+
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in kept_names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return keyed.mapInArrow(cut, schema)
+def without_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """The input with what is left as its texts; ``count_col``, if given, becomes their numbers of code points."""
+    results = common.fresh(docs, *RESULTS)
+    cut = with_cut(docs, results, length, id_col=id_col, text_col=text_col)
+    new = {text_col: F.col(results[4])} | ({count_col: F.char_length(results[4])} if count_col else {})
+    return cut.select(*[new.get(c, F.col(f"`{c}`")).cast(t).alias(c) for c, t in docs.dtypes])
 
 
 def op9_column_wise_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, keep_text=False).select("doc_id", *RESULTS[:4])
