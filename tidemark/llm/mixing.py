@@ -4,10 +4,12 @@ A source's documents all have the fractional copy count target / size of the sou
 left, a probability for each document, is rounded by pivots: two documents transfer words to each other, at random and
 with unchanged expectation, until one of them holds none or all of its words. So a source's words stay as they are. Pivots
 run along blocks of a few hundred documents; the one unsettled document of each block goes to the next level of the
-tree, until a source has a single one, which is settled by a draw. All draws are hashes, so reruns agree.
+tree, until a source has a single one, which is settled by a draw. That leaves a source off its target by up to this
+document, which may be a long one; the difference is made up by up to ``EACH`` documents of each power of two of sizes, the
+largest that fit first, whose copies rise or fall between 0 and ``COPIES``. All draws are hashes, so reruns agree.
 
 A null text has size 0; a null source is a source of its own, ordered last; rows that repeat a doc_id are told apart by
-their order of hash, size and source, equal rows take turns; an empty table gives no rows. Other columns are left out.
+their order of hash, size and source, equal rows take turns; an empty table gives no rows. ``mix`` leaves other columns out, ``mixed_rows`` keeps them all.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BLOCK = 200
 #: A document is taken at most so many times; weights of sources repeat in this order.
 COPIES, WEIGHTS = 3, (1, 2, 3)
 SCALE = float(1 << 53)
+#: Documents of a source and power of two of sizes that may make up what the last draw leaves.
+EACH = 8
 
 
 def word_count(text: Column) -> Column:
@@ -64,7 +68,7 @@ def settle(level: DataFrame, number: int, seed: int) -> tuple[DataFrame, DataFra
     """
     item = F.struct(F.xxhash64("key", F.lit(seed + number)).alias("h"), "key", "size", "x")
     n = level.groupBy(F.col("source").alias("_s")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    joined = level.join(n, F.col("source").eqNullSafe(F.col("_s")))
+    joined = level.join(n, F.col("source").eqNullSafe(F.col("_s")))  # one row a source on the right
     blocks = joined.groupBy("source", F.pmod(F.xxhash64("key", F.lit(seed - number - 1)), "blocks").alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
     last = F.struct(F.lit("").alias("key"), F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("x"))
     start = F.struct(last.alias("held"), F.array().cast("array<struct<key:string,up:int>>").alias("done"))
@@ -94,6 +98,29 @@ def row_key(id_: Column, text_hash: Column, source: Column) -> Column:
     return F.concat_ws("/", F.coalesce(id_.cast("string"), F.lit("-")), text_hash, F.coalesce(F.xxhash64(source), F.lit(0)), source.isNull())
 
 
+def made_up(planned: DataFrame, copies: int = COPIES) -> DataFrame:
+    """``(key, change)``: copies to add or take away, so that each source's words come near its target.
+
+    Of ``(key, source, size, target, copies)`` a bounded number of documents for each source and power of two of sizes is
+    gathered; from the largest down, each changes by as many copies as the difference left still holds.
+    """
+    gaps = planned.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    scale = F.floor(F.log2("size"))
+    order = W.partitionBy("source", scale).orderBy(F.xxhash64("key", F.lit(11)), "key")
+    some = planned.where("size > 0").select("key", "source", "size", "copies", F.row_number().over(order).alias("k")).where(F.col("k") <= EACH)
+    items = some.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "key", "size", "copies"))).alias("items"))
+    joined = items.withColumnRenamed("source", "_s").join(gaps, F.col("_s").eqNullSafe(F.col("source")))
+    start = F.struct(F.col("gap"), F.array().cast("array<struct<key:string,change:int>>").alias("done"))
+
+    def step(state: Column, i: Column) -> Column:
+        fits = F.when(state["gap"] >= 0, F.floor(state["gap"] / i["size"])).otherwise(F.ceil(state["gap"] / i["size"]))
+        change = F.greatest(-i["copies"], F.least(F.lit(copies) - i["copies"], fits)).cast("int")
+        done = F.when(change == 0, state["done"]).otherwise(F.concat(state["done"], F.array(F.struct(i["key"].alias("key"), change.alias("change")))))
+        return F.struct((state["gap"] - change * i["size"]).alias("gap"), done.alias("done"))
+
+    return joined.select(F.explode(F.aggregate("items", start, step)["done"]).alias("d")).select("d.key", "d.change")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: int = COPIES, weights: tuple[int, ...] = WEIGHTS, seed: int = 5) -> DataFrame:
     """``(doc_id, size, source, source_size, target, copies, taken)`` of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("h"))
@@ -102,7 +129,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), copies, weights)
     joined = rows.join(aims.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    planned = joined.withColumn("whole", F.floor(rate).cast("int")).withColumn("x", rate - F.col("whole"))
+    planned = common.materialize(joined.withColumn("whole", F.floor(rate).cast("int")).withColumn("x", rate - F.col("whole")))
     level, settled, number = planned.where("size > 0 and x > 0").select("key", "source", "size", "x"), [], 0
     n = level.count()
     while n:
@@ -112,22 +139,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             settled.append(rest.select("key", (draw("key", seed=seed + 1) < F.col("x")).cast("int").alias("up")))
             break
         level, n, number = rest, m, number + 1
-    if settled:
-        planned = planned.join(reduce(DataFrame.union, settled), "key", "left")
-    else:
-        planned = planned.withColumn("up", F.lit(0))
-    out = planned.withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
+    ups = reduce(DataFrame.union, settled) if settled else planned.select("key", F.lit(0).alias("up"))
+    rounded = common.materialize(planned.join(ups, "key", "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0))))
+    out = rounded.join(made_up(rounded, copies), "key", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
 
 
 def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The input's rows as often as the mix takes them."""
+    key, copies, n, i = common.fresh(docs, "_key", "_copies", "_n", "_i")
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    by_key = taken.groupBy(F.regexp_replace("key", "/[^/]*$", "").alias("_key")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    keyed = docs.withColumn("_key", row_key(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(source_col).cast("string")))
-    twin = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))  # numbers equal rows
-    counted = keyed.join(by_key, "_key").withColumn("_n", F.element_at("_copies", twin)).where("_n > 0")
-    return counted.withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*[f"`{c}`" for c in docs.columns])
+    by_key = taken.groupBy(F.regexp_replace("key", "/[^/]*$", "").alias(key)).agg(F.sort_array(F.collect_list("copies")).alias(copies))
+    keyed = docs.withColumn(key, row_key(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(source_col).cast("string")))
+    twin = F.row_number().over(W.partitionBy(key).orderBy(F.lit(0)))  # numbers equal rows
+    counted = keyed.join(by_key, key).withColumn(n, F.element_at(copies, twin)).where(F.col(n) > 0)
+    return counted.withColumn(i, F.explode(F.sequence(F.lit(1), n))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
