@@ -1,7 +1,7 @@
 """An interpolated modified Kneser-Ney model of words, counted in Spark and kept as sorted hash arrays (operator 5).
 
-One pass packs each task's counts of words and of word pairs (48-bit hashes) by the bucket of the pair's second word.
-A bucket's task merges them, counts in how many contexts each word was seen, and writes sorted arrays to the shared
+One pass packs each task's counts of words (64-bit hashes) and of word pairs (48 bits of each) by the bucket of the pair's
+second word. A bucket's task merges them, counts in how many contexts each word was seen, and writes sorted arrays to the shared
 folder; what it has learned about first words goes on, packed, to the buckets of those. Workers map the arrays into
 memory to score; a batch's queries are sorted, so that reads go through the arrays in order. The model grows with the
 corpus and never goes through the driver, which sees sums only.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MASK = np.uint64(0xFFFFFFFFFFFF)
-END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) & MASK for x in ("\x00end", "\x00begin"))
+END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("\x00end ", "\x00begin "))  # no word holds a space
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes that a task holds before it packs them.
 HELD = 2_000_000
@@ -38,14 +39,20 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return common.mix64(context * GOLD + word)
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(words, contexts, n)``: hashes of all tokens, of what precedes each, and the number of tokens of each text."""
-    split = [t.lower().split() for t in texts]  # for bytes: A-Z and ASCII white space only
-    n = np.fromiter(map(len, split), np.int64, len(split)) + 1
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # A-Z and ASCII white space only
+    told = split.flatten().dictionary_encode()
+    number = told.indices.to_numpy()
+    distinct = told.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    full = np.fromiter(map(bool, distinct), bool, len(distinct))[number]  # white space at the ends leaves empty strings
+    found = np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+    n = np.diff(found) + 1
     words = np.full(int(n.sum()), END, np.uint64)
     inside = np.ones(len(words), bool)
     inside[np.cumsum(n) - 1] = False
-    words[inside] = np.fromiter((h for ws in split for h in map(xxhash.xxh3_64_intdigest, ws)), np.uint64, int(n.sum()) - len(n)) & MASK
+    words[inside] = hashes[number[full]]
     contexts = np.concatenate([[BEGIN], words[:-1]])
     contexts[np.cumsum(n) - n] = BEGIN
     return words, contexts, n
@@ -71,7 +78,6 @@ class Model:
     bits: int
     n_tokens: int
     n_words: int
-    n_texts: int
     n_pairs: int
     pair_discounts: list[float]
     word_discounts: list[float]
@@ -90,18 +96,20 @@ def train(docs: DataFrame) -> Model:
     def pack(held: list[tuple]) -> pa.RecordBatch:
         words, contexts = (np.concatenate(x) for x in zip(*held))
         w, c = np.unique(words, return_counts=True)
+        order = np.argsort(w & MASK, kind="stable")
+        w, c, words, contexts = w[order], c[order], words & MASK, contexts & MASK
         order = np.lexsort((contexts, words))
         v, u = words[order], contexts[order]
         new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]))
         v, u, n = v[new], u[new], np.diff(np.append(new, len(v)))
-        a, b = np.searchsorted(w, edges).tolist(), np.searchsorted(v, edges).tolist()
-        rows = [(k, pack48(w[a[k] : a[k + 1]]), c[a[k] : a[k + 1]].astype("<u4").tobytes(), pack48(v[b[k] : b[k + 1]]), pack48(u[b[k] : b[k + 1]]), n[b[k] : b[k + 1]].astype("<u4").tobytes()) for k in range(1 << bits) if a[k + 1] > a[k]]
+        a, b = np.searchsorted(w & MASK, edges).tolist(), np.searchsorted(v, edges).tolist()
+        rows = [(k, w[a[k] : a[k + 1]].astype("<u8").tobytes(), c[a[k] : a[k + 1]].astype("<u4").tobytes(), pack48(v[b[k] : b[k + 1]]), pack48(u[b[k] : b[k + 1]]), n[b[k] : b[k + 1]].astype("<u4").tobytes()) for k in range(1 << bits) if a[k + 1] > a[k]]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in common.slices(batches, 500):
-            words, contexts, _ = tokens(common.bytes_of(b.column(0)))
+        for b in common.slices(batches, 4000):
+            words, contexts, _ = tokens(b.column(0))
             held.append((words, contexts))
             n += len(words)
             if n > HELD:
@@ -114,25 +122,28 @@ def train(docs: DataFrame) -> Model:
         return b"".join(parts)
 
     def merge(key, group: pd.DataFrame) -> pd.DataFrame:
-        w, c = common.unpack48(joined(group["words"])), np.frombuffer(joined(group["counts"]), "<u4")
+        w, c = np.frombuffer(joined(group["words"]), "<u8"), np.frombuffer(joined(group["counts"]), "<u4")
         w, at = np.unique(w, return_inverse=True)
         c = np.bincount(at, c).astype(np.int64)
+        order = np.argsort(w & MASK, kind="stable")
+        w, c = w[order], c[order]
         v, u, n = common.unpack48(joined(group["seconds"])), common.unpack48(joined(group["firsts"])), np.frombuffer(joined(group["pair_counts"]), "<u4")
         order = np.lexsort((u, v))
         v, u, n = v[order], u[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]))
         v, u, n = v[new], u[new], np.add.reduceat(n.astype(np.int64), new)
-        spread = np.bincount(np.searchsorted(w, v), minlength=len(w))
+        spread = np.bincount(np.searchsorted(w & MASK, v), minlength=len(w))
         k = f"{key[0]:06d}"
-        common.write_array(folder, f"word-{k}", w)
+        common.write_array(folder, f"word-end-{k}", w & MASK)
         common.write_array(folder, f"word-count-{k}", c)
         common.write_array(folder, f"word-spread-{k}", spread.astype(np.uint32))
+        common.write_array(folder, f"word-{k}", w)
         keys = pair_key(u, v)
         order = np.argsort(keys)
         common.write_array(folder, f"pair-{k}", keys[order])
         common.write_array(folder, f"pair-count-{k}", np.minimum(n[order], 0xFFFF).astype(np.uint16) if n.max(initial=0) <= 0xFFFF else n[order].astype(np.uint32))
         first, at = np.unique(u, return_inverse=True)
-        seen = np.stack([np.bincount(at, n == 1), np.bincount(at, n == 2), np.bincount(at, n >= 3)], axis=1).astype("<u4")
+        seen = np.stack([np.bincount(at, n == 1), np.bincount(at, n == 2), np.bincount(at, n >= 3), np.bincount(at, n)], axis=1).astype("<u8")
         cut = np.searchsorted(first, edges).tolist()
         rows = [(b, pack48(first[i:j]), seen[i:j].tobytes(), None) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
         sums = [int(c.sum()), len(w), *((n == i).sum() for i in (1, 2, 3, 4)), *((spread == i).sum() for i in (1, 2, 3, 4)), int((spread >= 3).sum()), int(spread.sum())]
@@ -140,8 +151,8 @@ def train(docs: DataFrame) -> Model:
 
     def contexts(key, group: pd.DataFrame) -> pd.DataFrame:
         u, at = np.unique(common.unpack48(joined(group["firsts"])), return_inverse=True)
-        seen = np.frombuffer(joined(group["seen"]), "<u4").reshape(-1, 3)
-        out = np.stack([np.bincount(at, seen[:, i]) for i in range(3)], axis=1).astype(np.uint32)
+        seen = np.frombuffer(joined(group["seen"]), "<u8").reshape(-1, 4)
+        out = np.stack([np.bincount(at, seen[:, i]) for i in range(4)], axis=1).astype(np.int64)
         common.write_array(folder, f"first-{key[0]:06d}", u)
         common.write_array(folder, f"first-seen-{key[0]:06d}", out)
         return pd.DataFrame({"n": [len(u)]})
@@ -153,10 +164,9 @@ def train(docs: DataFrame) -> Model:
     got = merged.where("bucket < 0").select(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(12)]).first()
     if got[0] is not None:
         sums = np.array(list(got), np.int64)
-    n_texts = int(docs.count())
     d2, d1 = discounts(sums[2:6]), discounts(sums[6:10])
     left = d1[1] * sums[6] + d1[2] * sums[7] + d1[3] * sums[10]
-    return Model(folder, bits, int(sums[0]), int(sums[1]), n_texts, int(sums[11]), d2.tolist(), d1.tolist(), float(left))
+    return Model(folder, bits, int(sums[0]), int(sums[1]), int(sums[11]), d2.tolist(), d1.tolist(), float(left))
 
 
 class Arrays:
@@ -185,21 +195,40 @@ class Arrays:
                     o[i + hit] = self.array(name, b)[at[hit]].reshape(len(hit), -1)
         return out
 
-    def score(self, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
+    def words(self, w: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+        """The values of words of 64 bits, sorted by their last 48 bits, which the files are sorted by; 0 for others."""
+        out, last = [np.zeros(len(w), np.int64) for _ in names], w & MASK
+        cut = np.searchsorted((last >> np.uint64(48 - self.m.bits)).astype(np.int64), np.arange((1 << self.m.bits) + 1)).tolist()
+        for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
+            if j > i and (there := self.array("word", b)) is not None:
+                ends, rows = self.array("word-end", b), np.arange(i, j)
+                at = np.searchsorted(ends, last[rows])
+                while len(rows):  # words that share 48 bits follow each other
+                    k = np.minimum(at, len(ends) - 1)
+                    same = (at < len(ends)) & (ends[k] == last[rows])
+                    hit = same & (there[k] == w[rows])
+                    for o, name in zip(out, names):
+                        o[rows[hit]] = self.array(name, b)[k[hit]]
+                    rows, at = rows[same & ~hit], at[same & ~hit] + 1
+        return out
+
+    def score(self, texts: pa.Array) -> list[tuple[int, int, float, float]]:
         """``(n_tokens, n_known, base_score, score)`` of each text."""
         m = self.m
         words, contexts, n = tokens(texts)
         shift = np.uint64(48 - m.bits)
         w, at = np.unique(words, return_inverse=True)
-        count, spread = (x[:, 0] for x in self.look("word", (w >> shift).astype(np.int64), w, {"word-count": 1, "word-spread": 1}))
+        order = np.argsort(w & MASK, kind="stable")
+        count, spread = np.zeros((2, len(w)), np.int64)
+        count[order], spread[order] = self.words(w[order], ("word-count", "word-spread"))
         d1, d2 = np.array(m.word_discounts), np.array(m.pair_discounts)
         uniform = 1 / (m.n_words + 1)
         low = (np.maximum(spread - d1[np.minimum(spread, 3)], 0) + m.word_spread * uniform) / m.n_pairs if m.n_pairs else np.full(len(w), uniform)
+        words, contexts = words & MASK, contexts & MASK
         u, of = np.unique(contexts, return_inverse=True)
-        (seen,) = self.look("first", (u >> shift).astype(np.int64), u, {"first-seen": 3})
-        (total,) = self.look("word", (u >> shift).astype(np.int64), u, {"word-count": 1})
-        total = np.where(u == BEGIN, m.n_texts, total[:, 0])
-        left = np.where(total > 0, seen @ d2[1:] / np.maximum(total, 1), 1.0)
+        (seen,) = self.look("first", (u >> shift).astype(np.int64), u, {"first-seen": 4})
+        total = seen[:, 3]
+        left = np.where(total > 0, seen[:, :3] @ d2[1:] / np.maximum(total, 1), 1.0)
         keys, buckets = pair_key(contexts, words), (words >> shift).astype(np.int64)
         order = np.lexsort((keys, buckets))
         (pairs,) = self.look("pair", buckets[order], keys[order], {"pair-count": 1})
@@ -212,18 +241,13 @@ class Arrays:
         return list(zip(n.tolist(), known.tolist(), np.add.reduceat(base, begins).tolist(), np.add.reduceat(np.log10(p), begins).tolist()))
 
 
-_arrays: dict[str, Arrays] = {}
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", held_out: str = "false") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``; scores are log10 probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.folder not in _arrays:
-            _arrays.clear()
-            _arrays[model.folder] = Arrays(model)
-        for b in common.slices(batches, 400):
-            got = list(zip(*_arrays[model.folder].score(common.bytes_of(b.column(2)))))
+        arrays = common.stored(("arrays", model.folder), lambda: Arrays(model))
+        for b in common.slices(batches, 4000):
+            got = list(zip(*arrays.score(b.column(2))))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             n, known, base, s = (pa.array(x, t) for x, t in zip(got, kinds))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, known, pa.array([model.n_tokens] * b.num_rows, pa.int64()), base, s], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
