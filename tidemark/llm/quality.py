@@ -8,7 +8,8 @@ rejected if its log-perplexity per character lies outside its language's band, w
 base rules, each distinct text once.
 
 Null texts count as empty, a null language is a language of its own; empty texts fail the base rules; equal rows get
-equal results; an empty table gives no rows. Code points are told apart by their last 16 bits. Other columns are left out.
+equal results; an empty table gives no rows. Code points
+beyond 16 bits share the 6400 places of the private range. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The packed ``ORDER``-grams that end in each character and in the end mark, and their number for each text."""
     pad = chr(BEGIN) * (ORDER - 1)
     raw = "".join([f"{pad}{t}{chr(END)}" for t in texts]).encode("utf-32-le", "surrogatepass")
-    c = np.frombuffer(raw, np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
+    c = np.frombuffer(raw, np.uint32).astype(np.uint64)
+    c = np.where(c > 0xFFFF, np.uint64(0xE000) + c % np.uint64(6400), c)
     n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begins = np.cumsum(n + ORDER - 1) - (n + ORDER - 1)
     at = np.arange(int(n.sum())) + np.repeat(begins - (np.cumsum(n) - n), n)
@@ -49,10 +51,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys_of(lang: str, kind: int, g: np.ndarray) -> np.ndarray:
-    """48-bit keys of a language's n-grams; ``kind`` tells order and table apart."""
+    """64-bit keys of a language's n-grams; ``kind`` tells order and table apart."""
     salt = np.uint64(xxhash.xxh3_64_intdigest(f"{lang}\x00{kind}"))
     with np.errstate(over="ignore"):
-        return common.mix64(common.mix64(g * GOLD) + salt) & np.uint64(0xFFFFFFFFFFFF)
+        return common.mix64(common.mix64(g * GOLD) + salt)
 
 
 def language(column: str) -> Column:
@@ -145,7 +147,7 @@ class CharModel:
         keys = keys_of(lang, kind, g)
         order = np.argsort(keys)
         q, out = keys[order], np.full(len(keys), np.nan)
-        cut = np.searchsorted(q, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(48 - self.bits)).tolist()
+        cut = np.searchsorted((q >> np.uint64(64 - self.bits)).astype(np.int64), np.arange((1 << self.bits) + 1)).tolist()
         for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
             if i == j:
                 continue
@@ -181,7 +183,7 @@ def train(rows: DataFrame) -> CharModel:
     spark = rows.sparkSession
     bits = common.buckets_for(spark).bit_length() - 1
     model = CharModel(common.local_path(common.shared_dir(spark)), bits)
-    folder, shift = model.folder, np.uint64(48 - bits)
+    folder, shift = model.folder, np.uint64(64 - bits)
     tables = model_rows(common.materialize(count_grams(rows)))
     everything = tables[0]
     for t in tables[1:]:
@@ -195,9 +197,9 @@ def train(rows: DataFrame) -> CharModel:
             yield pd.DataFrame({"bucket": (key >> shift).astype(np.int32), "key": key.view(np.int64), "value": p["value"]})
 
     def write(key, group: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(group["key"].to_numpy())
+        order = np.argsort(group["key"].to_numpy().view(np.uint64))
         common.write_array(folder, f"values-{key[0]:06d}", group["value"].to_numpy()[order])
-        common.write_array(folder, f"keys-{key[0]:06d}", group["key"].to_numpy()[order].astype(np.uint64))
+        common.write_array(folder, f"keys-{key[0]:06d}", group["key"].to_numpy().view(np.uint64)[order])
         return pd.DataFrame({"n": [len(group)]})
 
     everything.mapInPandas(keyed, "bucket int, key long, value double").groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
