@@ -2,8 +2,9 @@
 
 Spark tokenises each text once and keeps only the lengths of its pieces. The histogram of lengths, at most ``capacity``
 numbers whatever the input, goes to the driver, which enumerates full patterns of two to four lengths, fits their repeat
-counts to the histogram by non-negative least squares, rounds down, and packs what is left best-fit decreasing. The
-plan is a table of intervals: pieces of one length, numbered in Spark by salted ranks, fall into its slots.
+counts to the histogram by non-negative least squares, rounds down, and packs what is left best-fit decreasing. Pairs are
+enumerated for all lengths, triples for the 48 and fours for the 12 lengths that hold the most tokens; other lengths reach
+their places through pairs and the best-fit step, so no piece is left out. The plan is a table of intervals: pieces of one length, numbered in Spark by salted ranks, fall into its slots.
 
 Null texts count as empty (a single end token); repeated rows, also of one doc_id, each get a place; an empty table
 gives no rows. Other columns of the input are left out, so their names cannot clash.
@@ -20,6 +21,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,55 +30,62 @@ from . import common
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
-#: Words kept by a worker; beyond this the store is begun anew.
-KEPT = 400_000
+#: Bytes of words that a worker keeps; beyond this the store is begun anew.
+KEPT = 4 << 20
 
 
 class WordIds:
-    """Token ids of texts under a tokenizer that drops white space: ids of a text are those of its words."""
+    """Token ids of texts under a tokenizer that drops white space: ids of a text are those of its words.
+
+    Words are told apart and numbered by Arrow for each batch; only the batch's distinct words are looked up.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.ids: dict[str, bytes] = {"": b""}
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.begins, self.ids, self.size = [np.zeros(2, np.int64)], [np.zeros(0, np.uint32)], 0
 
-    def learn(self, words: set[str]) -> None:
-        words = [w for w in words if w not in self.ids]
+    def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 500):
             block = words[at : at + 500]
             got = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
             begins = np.array([o[0] for o in got.offsets], np.int64)
             ends = np.cumsum([len(w) + 1 for w in block])
-            cut = np.searchsorted(begins, ends)
-            for w, a, b in zip(block, [0, *cut[:-1].tolist()], cut.tolist()):
-                self.ids[w] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.ids.get, words)) for words in split]
-        missing = [k for k, f in enumerate(found) if None in f]
-        if missing:
-            new = {w for k in missing for w, f in zip(split[k], found[k]) if f is None}
-            if len(self.ids) + len(new) > KEPT:
-                self.ids = {"": b""}
-                new, missing = {w for words in split for w in words}, range(len(split))
+            self.begins.append(self.begins[-1][-1] + np.searchsorted(begins, ends))
+            self.ids.append(np.array(got.ids, np.uint32))
+            self.number.update(zip(block, range(len(self.number), len(self.number) + len(block))))
+            self.size += int(ends[-1])
+        self.begins, self.ids = [np.concatenate(self.begins)], [np.concatenate(self.ids)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin and the last one's end; null is empty."""
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        if len(words) == 0:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        told = words.flatten().dictionary_encode()
+        distinct = told.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.number]
+        if new:
+            if self.size > KEPT:
+                self.reset()
+                new = [w for w in distinct if w]
             self.learn(new)
-            for k in missing:
-                found[k] = [self.ids[w] for w in split[k]]
-        return list(map(b"".join, found))
-
-
-_encoders: dict[str, WordIds] = {}
+        begins, ids = self.begins[0], self.ids[0]
+        word = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[told.indices.to_numpy()]
+        n = begins[word + 1] - begins[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat(begins[word] - ends[:-1], n) + np.arange(ends[-1])]
+        return out, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
 
 
 def encoder(file: str) -> WordIds:
-    if file not in _encoders:
-        _encoders[file] = WordIds(file)
-    return _encoders[file]
+    return common.stored(("words", file), lambda: WordIds(file))
 
 
 def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,11 +93,16 @@ def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, *, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
-        for b in common.slices(batches, 500):
+        for b in common.slices(batches, 5000):
             rows = []
-            for i, ids in zip(b.column(0).to_pylist(), enc.encode(common.texts_of(b.column(1)))):
-                ids += b"\0\0\0\0"
-                rows += [(i, k, at // 4, min(capacity, (len(ids) - at) // 4), zlib.crc32(ids[at : at + 4 * capacity])) for k, at in enumerate(range(0, len(ids), 4 * capacity))]
+            ids, begins = enc.encode(b.column(1))
+            raw = memoryview(ids.astype("<u4").tobytes())
+            for i, at, end in zip(b.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist()):
+                n = end - at + 1  # with the 0 at the end
+                for k, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    crc = zlib.crc32(raw[4 * (at + start) : 4 * min(at + start + length, end)])
+                    rows.append((i, k, start, length, zlib.crc32(b"\0\0\0\0", crc) if start + length == n else crc))
             out = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
