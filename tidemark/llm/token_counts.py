@@ -5,6 +5,9 @@ character. So the count of a prefix is the count of the chunks before it plus th
 prefix counts of a chunk are worked out once and kept. The table of a text answers any truncation or budget question
 without encoding again.
 
+A chunk is worked out in time and memory linear in its length; should the library's count of the whole chunk not be met, its
+prefixes are encoded one by one, in bounded calls.
+
 Nulls count as empty texts (0 tokens); repeated rows give repeated results; an empty table gives no rows. Other columns
 of the input are left out, so their names cannot clash.
 """
@@ -25,8 +28,8 @@ MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Longest chunk, in code points, whose prefix counts fit bytes (up to four byte tokens a code point).
 SHORT = 60
-#: Chunks kept by a worker; beyond this the store is begun anew.
-KEPT = 500_000
+#: Chunks, and pairs of pieces, kept by a worker; beyond this a store is begun anew.
+KEPT = 600_000
 
 
 class PrefixCounter:
@@ -41,6 +44,7 @@ class PrefixCounter:
         self.longest = max(map(len, pieces))
         self.counts: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.slow = 0  # chunks whose prefixes were encoded one by one
 
     def _encoded(self, chunks: list[str]) -> list[int]:
         """Token counts of chunks that begin with the mark, which the library adds to what it is given."""
@@ -48,21 +52,32 @@ class PrefixCounter:
         return [len(x) if len(c) > 1 else 1 for c, x in zip(chunks, out)]
 
     def learn(self, parts: set[str]) -> None:
-        """Work out the prefix counts of the marked, short chunks ``mark + part``."""
+        """Work out the prefix counts of the marked, short chunks ``mark + part``; in order, so that what a part begins with is
+        taken from the part before it."""
         new = [p for p in parts if p not in self.counts]
         if len(self.counts) + len(new) > KEPT:
             self.counts = {}
             new = list(parts)
-        for at in range(0, len(new), 2000):
-            block = new[at : at + 2000]
-            n = self._encoded([MARK + p[:i] for p in block for i in range(len(p) + 1)])
-            k = 0
+        new.sort()
+        for at in range(0, len(new), 5000):
+            block, last, same = new[at : at + 5000], "", []
             for p in block:
-                self.counts[p] = bytes(n[k : k + len(p) + 1])
-                k += len(p) + 1
+                n = 0
+                for a, b in zip(last, p):
+                    if a != b:
+                        break
+                    n += 1
+                same.append(n)
+                last = p
+            n = list(map(len, self.model.encode([p[:i] for p, k in zip(block, same) for i in range(k + 1, len(p) + 1)], num_threads=1)))
+            k, last = 0, b"\x01"  # the mark alone is a token
+            for p, begin in zip(block, same):
+                end = k + len(p) - begin
+                self.counts[p] = last = last[: begin + 1] + bytes(n[k:end])
+                k = end
 
     def _stable(self, left: str, right: str) -> bool:
-        """Whether the tokens left and right stay as they are where they meet."""
+        """Whether the tokens left and right stay as they are where they meet; nothing merges across an empty left."""
         if (left, right) not in self.pairs:
             if len(self.pairs) > KEPT:
                 self.pairs = {}
@@ -70,30 +85,33 @@ class PrefixCounter:
             lead = "" if left.startswith(MARK) else "\n"  # a piece of its own, so that the library's mark stands apart
             got = self.model.encode(lead + (text[1:] if left.startswith(MARK) else text), out_type=str)
             got = got[got.index("<0x0A>") + 1 :] if lead else got
-            self.pairs[left, right] = got == [left, right]
+            self.pairs[left, right] = got == ([left, right] if left else [right])
         return self.pairs[left, right]
 
     def long_chunk(self, chunk: str) -> np.ndarray:
         """Counts of the prefixes 1..len of a marked chunk of any length: the last token of each prefix follows from
-        the last token of an earlier prefix with which it is stable; checked against the library's whole count."""
+        the last token of an earlier prefix with which it is stable. A character outside the vocabulary becomes bytes,
+        which merge with nothing: what follows it begins anew. Checked against the library's whole count."""
         n, last, count = len(chunk), [""], np.zeros(len(chunk) + 1, np.int64)
         for i in range(1, n + 1):
             found = ""
             for k in range(1, min(i, self.longest) + 1):
                 t = chunk[i - k : i]
-                if t in self.pieces and (i == k or last[i - k] and self._stable(last[i - k], t)):
+                if t in self.pieces and (i == k or last[i - k] is not None and self._stable(last[i - k], t)):
                     found = t
-            if not found:
-                if chunk[i - 1] in self.pieces:
-                    break
-                found = chunk[i - 1]  # bytes of an unknown character: never merged
-                count[i] = count[i - 1] + len(found.encode())
-            else:
+            if found:
                 count[i] = count[i - len(found)] + 1
-            last.append(found)
-        if len(last) == n + 1 and count[n] == self._encoded([chunk])[0]:
+                last.append(found)
+            elif chunk[i - 1] in self.pieces:
+                last.append(None)  # no prefix of this length ends in a token of its own; the check below decides
+            else:
+                count[i] = count[i - 1] + len(chunk[i - 1].encode())
+                last.append("")
+        if None not in last and count[n] == self._encoded([chunk])[0]:
             return count[1:]
-        return np.array(self._encoded([chunk[:i] for i in range(1, n + 1)]), np.int64)
+        self.slow += 1
+        step = max(1, (1 << 21) // n)  # prefixes in a call: memory stays bounded
+        return np.array([x for a in range(1, n + 1, step) for x in self._encoded([chunk[:i] for i in range(a, min(a + step, n + 1))])], np.int64)
 
     def table(self, text: str) -> np.ndarray:
         """``t[p]``: the exact token count of ``text[:p]``, for p from 0 to len(text)."""
@@ -134,14 +152,9 @@ class PrefixCounter:
         self.learn({p for t in texts for p in t.split(" ") if p not in known and p and len(p) <= SHORT and MARK not in p})
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(model: str) -> PrefixCounter:
     """This process's counter for a model file."""
-    if model not in _counters:
-        _counters[model] = PrefixCounter(model)
-    return _counters[model]
+    return common.stored(("prefixes", model), lambda: PrefixCounter(model))
 
 
 def prefix_counts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
