@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,15 @@ WINDOW = 32
 #: Bound of what is learned from: texts of each label.
 SAMPLE = 1500
 THRESHOLD = 0.3
+#: Texts of label 1 that it takes to weigh them against those of label 0.
+FEW = 4
+#: Standard errors of a word's log odds ratio that count as chance.
+CHANCE = 1.5
 WORD_ROWS, GRAM_ROWS, WORD_DIM, GRAM_DIM, HIDDEN = 1 << 15, 1 << 13, 8, 8, 8
 #: Texts that are scored together, and windows of them in one call.
-SLICE, BLOCK = 100, 2048
+SLICE, BLOCK = 500, 4096
 #: Words whose projections a worker keeps; beyond this the store is begun anew.
-KEPT = 250_000
+KEPT = 150_000
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,20 +139,31 @@ class Network:
         return g
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text in lower case; null is empty, white space at the ends leaves empty strings."""
+    return pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+
+
+def word_lists(texts: pa.Array) -> list[list[str]]:
+    return [[w for w in words if w] for words in split_words(texts).to_pylist()]
+
+
 def windows(n: int) -> range:
     """Where the windows over n words start."""
     return range(max(1, n - WINDOW + 1))
 
 
-def train(examples, known: np.ndarray, *, steps: int = 700, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> tuple[Network, np.ndarray, np.ndarray]:
+def train(examples, known: np.ndarray, prior: np.ndarray, *, steps: int = 700, batch: int = 24, rate: float = 0.05, decay: float = 0.1, seed: int = 7) -> tuple[Network, np.ndarray, np.ndarray]:
     """Fit a network; also gives the held-back fifth of the texts, which tells when to stop, as logits and labels.
 
     ``examples(net)`` gives ``(label, logit, words)`` of every text's highest window among all its windows under ``net``, in
-    the same order at each call; ``examples(None)`` takes windows by hash. It is called up to 17 times. ``known``: rows of
-    words that have an embedding of their own, others have only their characters'.
+    the same order at each call; ``examples(None)`` takes the windows that hold most of the words that speak for label 1. It is
+    called up to 17 times. ``known``: rows of words that have an embedding of their own, others have only their characters';
+    ``prior``: how much each of them speaks for label 1, with which the embeddings begin.
     """
     net, r = Network(seed), np.random.default_rng(seed)
     net.p["known"][known] = 1
+    net.p["word"][known, 0] = prior / 2
     now = examples(None)
     labels = np.array([y for y, *_ in now], np.float32)
     held = r.permutation(len(now)) % 5 == 0
@@ -189,7 +205,7 @@ def train(examples, known: np.ndarray, *, steps: int = 700, batch: int = 24, rat
 
 def moved_bias(net: Network, logits: np.ndarray, labels: np.ndarray, weight: float) -> None:
     """Move the bias so that ``THRESHOLD`` is where the F-half of these texts is best (precision counts more), a text of
-    label 0 counting ``weight`` times."""
+    label 0 counting ``weight`` times; with less than ``FEW`` texts of label 1, above all texts of label 0."""
     if not 0 < labels.sum() < len(labels):
         return
     order = np.argsort(-logits)
@@ -197,6 +213,8 @@ def moved_bias(net: Network, logits: np.ndarray, labels: np.ndarray, weight: flo
     good, bad = np.cumsum(y), np.cumsum((1 - y) * weight)
     k = int(np.argmax(1.25 * good / (good + bad + 0.25 * y.sum())))
     cut = (logits[order][k] + logits[order][min(k + 1, len(order) - 1)]) / 2
+    if y.sum() < FEW:
+        cut = max(cut, logits[labels == 0].max())
     net.p["bias"] = net.p["bias"] - np.float32(cut - np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
@@ -217,32 +235,40 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
     return common.materialize(rows.select("doc_id", "y", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism))
 
 
-def known_rows(texts: DataFrame, least: int = 3) -> np.ndarray:
-    """The embedding rows of words in at least ``least`` of the texts."""
+def known_rows(texts: DataFrame, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The embedding rows of words in at least ``least`` of ``texts(y, text)``, and how far the ratio of their odds under the two
+    labels is from chance: its logarithm in standard errors, less what chance gives to most words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, SLICE):
-            seen = Counter(w for t in common.texts_of(b.column(0)) for w in set(t.lower().split()))
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.array([r[0] for r in rows.select(F.pmod("h", F.lit(WORD_ROWS))).distinct().collect()], np.int64)  # at most WORD_ROWS
-
-
-def highest(texts: DataFrame, net: Network | None) -> list[tuple[int, float, list[str]]]:
-    """``(y, logit, words)`` of the highest of all windows of each text of ``texts(doc_id, y, text)``; without a network, of a
-    window chosen by hash. Tasks send one window a text."""
+            seen = Counter((w, y) for words, y in zip(word_lists(b.column(1)), b.column(0).to_pylist()) for w in set(words))
+            h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in seen), np.uint64, len(seen)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["h", "y", "n"])
+
+    own = texts.select("y", "text").mapInArrow(run, "h long, y int, n long").groupBy("h").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    rows = own.where(F.col("n0") + F.col("n1") >= least).groupBy(F.pmod("h", F.lit(WORD_ROWS)).alias("row")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()  # at most WORD_ROWS
+    at, n0, n1 = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    total = {0: 1, 1: 1} | dict(texts.groupBy("y").count().collect())
+    odds = np.log((n1 + 0.5) / (np.maximum(total[1] - n1, 0) + 0.5)) - np.log((n0 + 0.5) / (np.maximum(total[0] - n0, 0) + 0.5))
+    z = odds / np.sqrt(sum(1 / (n + 0.5) for n in (n0, n1, np.maximum(total[0] - n0, 0), np.maximum(total[1] - n1, 0))))
+    return at, (np.sign(z) * np.maximum(np.abs(z) - CHANCE, 0)).astype(np.float32)
+
+
+def highest(texts: DataFrame, net: Network | None, prior: np.ndarray | None = None) -> list[tuple[int, float, list[str]]]:
+    """``(y, logit, words)`` of the highest of all windows of each text of ``texts(doc_id, y, text)``; without a network, of the
+    window whose words' ``prior``, by embedding row, has the largest sum. Tasks send one window a text."""
     scorer = scorer_of(net) if net else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, SLICE):
-            split = [t.lower().split() for t in common.texts_of(b.column(2))]
+            split = word_lists(b.column(2))
             if scorer:
-                logits, at = scorer().top(split)
+                logits, at = scorer().top(b.column(2))
             else:
-                logits = np.zeros(len(split))
-                at = [xxhash.xxh3_64_intdigest(f"{i} {len(w)}") % len(windows(len(w))) for i, w in zip(b.column(0).to_pylist(), split)]
+                logits, at = np.zeros(len(split)), []
+                for words in split:
+                    sums = np.concatenate([[0], np.cumsum(np.maximum(prior[[xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words]], 0) if words else [])])
+                    at.append(int(np.argmax(sums[WINDOW:] - sums[:-WINDOW])) if len(words) > WINDOW else 0)
             cut = [w[s : s + WINDOW] for w, s in zip(split, at)]
             hashes = [xxhash.xxh3_64_hexdigest(" ".join(w)) for w in split]
             kinds = (pa.float64(), pa.list_(pa.string()), pa.string())
@@ -313,24 +339,35 @@ class Scorer:
             out[i : i + b] = np.einsum("tb,tb->b", e, v) / e.sum(axis=0) + p["bias"][0]
         return out
 
-    def top(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The logit of the highest of all windows of each text, given as words, and where it starts."""
-        new = {w for words in split for w in words if w not in self.number}
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The word numbers of all texts, one after another, and how many each has."""
+        words = split_words(texts)
+        told = words.flatten().dictionary_encode()
+        distinct = told.dictionary.to_pylist()
+        new = [w for w in distinct if w and w not in self.number]
         if len(self.number) + len(new) > KEPT:
             self.reset()
-            new = {w for words in split for w in words} - {"."}
+            new = [w for w in distinct if w and w != "."]
         if new:
             self.learn(sorted(new))
-        best, start = np.empty(len(split)), np.zeros(len(split), np.int64)
-        n = np.fromiter(map(len, split), np.int64, len(split))
+        known = np.array([self.number[w] if w else -1 for w in distinct], np.int64)
+        ids = known[told.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        full = np.concatenate([[0], np.cumsum(ids >= 0)])
+        return ids[ids >= 0], np.diff(full[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])])
+
+    def top(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The logit of the highest of all windows of each text, and where it starts."""
+        numbers, n = self.numbers(texts)
+        ends = np.cumsum(n)
+        best, start = np.empty(len(n)), np.zeros(len(n), np.int64)
         short, long = np.flatnonzero(n <= WINDOW), np.flatnonzero(n > WINDOW)
         if len(short):
             ids, mask = np.zeros((len(short), WINDOW), np.int64), (np.arange(WINDOW) < n[short, None]).astype(np.float32)
             for row, k in zip(ids, short.tolist()):
-                row[: n[k]] = [self.number[w] for w in split[k]]
+                row[: n[k]] = numbers[ends[k] - n[k] : ends[k]]
             best[short] = self.net.forward(self.projs, ids, mask)[0]
         if len(long):
-            logits = self.sliding(np.fromiter((self.number[w] for k in long.tolist() for w in split[k]), np.int64, int(n[long].sum())))
+            logits = self.sliding(np.concatenate([numbers[ends[k] - n[k] : ends[k]] for k in long.tolist()]))
             begins = np.cumsum(n[long]) - n[long]
             for k, b in zip(long.tolist(), begins.tolist()):
                 own = logits[b : b + len(windows(int(n[k])))]
@@ -338,11 +375,8 @@ class Scorer:
                 best[k] = own[start[k]]
         return best, start
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.top([t.lower().split() for t in texts])[0]))
-
-
-_scorers: dict[str, Scorer] = {}
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.top(texts)[0]))
 
 
 def scorer_of(net: Network):
@@ -350,13 +384,7 @@ def scorer_of(net: Network):
     params = net.p
     name = xxhash.xxh3_64_hexdigest(b"".join(v.tobytes() for v in params.values()))
 
-    def get() -> Scorer:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(params)
-        return _scorers[name]
-
-    return get
+    return lambda: common.stored(("scorer", name), lambda: Scorer(params))
 
 
 def judge_of(net: Network):
@@ -371,8 +399,7 @@ def score(docs: DataFrame, net: Network | None, share: float = 0.0, *, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, SLICE):
-            texts = common.texts_of(b.column(2))
-            s = judge(texts).astype(float) if judge else np.full(len(texts), share)
+            s = judge(b.column(2)).astype(float) if judge else np.full(b.num_rows, share)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"coalesce(pmod(crc32(cast(cast({id_col} as long) as string)), 4) = 2, false) held_out", f"{text_col} text")
@@ -390,7 +417,10 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
     got = dict(texts.groupBy("y").count().collect())
     if len(got) < 2:
         return None, share
-    net, logits, held = train(lambda net: highest(texts, net), known_rows(texts))
+    known, speaks = known_rows(texts)
+    prior = np.zeros(WORD_ROWS, np.float32)
+    prior[known] = speaks
+    net, logits, held = train(lambda net: highest(texts, net, prior), known, speaks)
     moved_bias(net, logits, held, (n[0] / n[1]) / (got[0] / got[1]))
     return net, share
 
@@ -409,7 +439,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, SLICE):
-            yield b.filter(pa.array(judge(common.texts_of(b.column(at))) < THRESHOLD))
+            yield b.filter(pa.array(judge(b.column(at)) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
