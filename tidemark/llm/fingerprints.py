@@ -110,6 +110,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
+def place_among(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the value, by two short searches; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    each = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + each] for i in range(0, len(bounds), each)]
+    group = F.size(F.filter(F.lit([g[0] for g in groups]), lambda b: value >= b))
+    inside = F.size(F.filter(F.element_at(F.lit(groups), F.greatest(group, F.lit(1))), lambda b: value >= b))
+    return F.when(value.isNull() | (group == 0), 0).otherwise((group - 1) * each + inside)
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """``docs(doc_id, text, own)`` with ``next_text`` and ``next_own`` of the row that follows by doc_id, the first's after the last.
 
@@ -117,10 +128,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     is always in the same task, and texts are shuffled once. The bounds, one a range, are in the plan.
     """
     rows = docs.select("doc_id", "text", "own")
-    bounds = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    bounds = sorted(set(bounds or []))
-    part = F.coalesce(F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda s, b: s + (F.col("doc_id") >= b).cast("int")), F.lit(0)) if bounds else F.lit(0)
-    ranged = rows.withColumn("part", part)
+    bounds = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else None
+    ranged = rows.withColumn("part", place_among(F.col("doc_id"), sorted(set(bounds or []))))
     order = F.struct("doc_id", F.xxhash64("text"), "text", "own")
     least = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).collect()  # one row a range
     firsts = {r.part: r.m["doc_id"] for r in least}
@@ -128,10 +137,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     if not present:
         return rows.withColumns({"next_text": F.col("text"), "next_own": F.col("own")})
     to = {p: present[k - 1] for k, p in enumerate(present)}  # the first range's copy goes to the last
-    which = F.create_map(*[F.lit(x) for p in present for x in (p, to[p])])
-    first = F.create_map(*[x for p in present for x in (F.lit(p), F.lit(firsts[p]).cast("long"))])
-    copies = ranged.where(F.col("doc_id").eqNullSafe(F.element_at(first, F.col("part"))))
-    copies = copies.groupBy("part").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.text").alias("text"), F.col("o.own").alias("own"), F.element_at(which, F.col("part")).alias("part"))
+    size = present[-1] + 1
+    which = F.element_at(F.lit([to.get(p, 0) for p in range(size)]), F.col("part") + 1)
+    first = F.element_at(F.array(*[F.lit(firsts.get(p)).cast("long") for p in range(size)]) if None in firsts.values() else F.lit([firsts.get(p, 0) for p in range(size)]), F.col("part") + 1)
+    copies = ranged.where(F.col("doc_id").eqNullSafe(first))
+    copies = copies.groupBy("part").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.text").alias("text"), F.col("o.own").alias("own"), which.alias("part"))
     both = ranged.select("doc_id", "text", "own", "part", F.lit(0).alias("copy")).union(copies.select("doc_id", "text", "own", "part", F.lit(1)))
     ahead = W.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     return both.withColumns({"next_text": F.lead("text").over(ahead), "next_own": F.lead("own").over(ahead)}).where("copy = 0").drop("part", "copy")
@@ -142,7 +152,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     table = lexicon_table([r.h for r in lexicon(rows).collect()])  # bounded by the band
-    parts = max(1, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paired = with_next(rows.withColumn("own", fingerprint(F.col("text"), table)), parts)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
