@@ -19,8 +19,8 @@ from ..scratch import release as release
 from ..scratch import shared_dir as shared_dir
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Ranks of the hubs that nodes are compared with, round by round.
-HUBS = ((1, 1), (2, 3), (4, 7))
+#: Ranks of the hubs that nodes are compared with; a round for each pair of ranks, each of which leaves out what is joined already.
+HUBS = ((1, 2),)
 
 
 def local_path(uri: str) -> str:
