@@ -126,13 +126,18 @@ def plain_fingerprints(rows):
     least = max(2.0, 0.002 * n)
     lexicon = {h for h, k in df.items() if least <= k <= max(least, 0.1 * n)}
 
-    def classes_of(t, wide):
+    def classes_of(t):
         every = terms(t)
         some = sorted(every & lexicon)
-        wide = wide or not some
-        use = sorted(every) if wide else some
-        if not use:
+        if not every:
             return {"-": [format(xx(t) % (1 << 64), "x")]}
+        out = {}
+        for wide, use in ((False, some), (True, sorted(every))):
+            if use:
+                out |= two_classes(use, wide)
+        return out
+
+    def two_classes(use, wide):
         out, c = {}, int(math.log2(len(use)))
         for c in (c, c + 1):
             part = (1 << min(4, c)) - 1
@@ -144,15 +149,16 @@ def plain_fingerprints(rows):
     def like(a, b):
         if a == b:
             return 1.0
-        pairs = [(x, y) for c in a if c in b for x, y in zip(a[c], b[c]) if x or y]
+        lexical = not next(iter(a)).startswith("~") and not next(iter(b)).startswith("~")
+        pairs = [(x, y) for c in a if c in b and lexical != c.startswith("~") for x, y in zip(a[c], b[c]) if x or y]
         return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
 
-    own = [classes_of(t, False) for _, t in rows]
+    own = [classes_of(t) for _, t in rows]
     out = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         m = len(t) // 4
-        edited = classes_of(t[: len(t) - m] + after[:m], next(iter(own[k])).startswith("~"))
+        edited = classes_of(t[: len(t) - m] + after[:m])
         out.append((i, own[k], edited, like(own[k], edited), like(own[k], own[(k + 1) % len(rows)])))
     return out
 
@@ -177,6 +183,15 @@ def test_fingerprints_and_their_likeness(spark):
     assert not near or np.mean(near) > 0.3
 
 
+def test_equal_texts_have_equal_fingerprints(spark):
+    """Also where one of them is the edited text of a text that has no term of the lexicon."""
+    first, second = "aa bb cc dd ee ff gg hh ", "lex1 lex2 lex3 lex4 zz"
+    m = len(first) // 4
+    rows = [(1, first), (2, second), (3, first[: len(first) - m] + second[:m]), (4, "lex1 lex2"), (5, "lex2 lex3 other")]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].edited_fingerprint == got[3].fingerprint and got[1].near_edited > 0
+
+
 def char_model(texts, order=4):
     """Interpolated modified Kneser-Ney over characters, plainly: log10 probability per character of a text."""
     counts = {order: Counter()}

@@ -6,11 +6,12 @@ distinct terms on average, the lexicon has at most m / LOW terms, whatever N; so
 hash table of arrays. A text's fingerprint hashes its sorted distinct lexicon terms, cut down by randomised subsets of
 the lexicon: each of the 16 subsets takes a term by a few bits of its hash. The subsets' rate halves from class to class, and a text
 uses the class in which a subset keeps about one of its terms and the next finer one, so that texts of any length have
-informative subsets. Two fingerprints' likeness is the share of equal subset hashes in the classes that both use, among
-subsets that keep a term of either.
+informative subsets. The same is done with all terms of the text. Two fingerprints' likeness is the share of equal subset
+hashes in the classes that both use, among subsets that keep a term of either: the lexicon's classes if both texts have
+terms of it, else those of all terms. The band follows the number of distinct texts: of fewer than twenty it is what two
+texts share.
 
-Null texts count as empty; texts without a lexicon term are compared, also with their edited text, by all their terms, and
-texts without any term by the hash of the whole text; rows that repeat a
+Null texts count as empty; texts without any term are told by the hash of the whole text; texts are read whole; rows that repeat a
 doc_id follow each other by text; null doc_ids come first; an empty table gives no rows; other columns are left out.
 """
 
@@ -52,9 +53,9 @@ def lexicon_table(hashes: list[int], bits: int = BITS) -> Column:
     return F.from_json(F.lit(json.dumps(table).replace('"', "")), "array<array<bigint>>")
 
 
-def fingerprint(text: Column, table: Column, wide: Column | None = None, bits: int = BITS, subsets: int = SUBSETS) -> Column:
-    """``class:hash,hash,...;class:hash,...``; classes begin with ``~`` where no term is in the lexicon, or ``wide`` is true, and
-    all terms are taken; ``-:hash`` of a text without terms."""
+def fingerprint(text: Column, table: Column, bits: int = BITS, subsets: int = SUBSETS) -> Column:
+    """``class:hash,hash,...;class:hash,...`` of the lexicon's terms, if the text has any, and the same of all its terms, with a
+    ``~`` before each class; ``-:hash`` of a text without terms. It depends on the text and the lexicon only."""
     mask = (1 << bits) - 1
     every = F.filter(F.array_distinct(term_hashes(text)), lambda h: h != F.xxhash64(F.lit("")))
 
@@ -69,34 +70,34 @@ def fingerprint(text: Column, table: Column, wide: Column | None = None, bits: i
         wanted = low_bits(F.greatest(F.lit(0), c - 4))
         return F.filter(terms, lambda h: F.shiftrightunsigned(h, 12).bitwiseAND(wanted) == 0)
 
-    def one_class(taken: Column, c: Column, mark: Column) -> Column:
+    def one_class(taken: Column, c: Column, mark: str) -> Column:
         part = low_bits(F.least(F.lit(4), c))
 
         def one(k: int) -> Column:
             kept = F.filter(taken, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(part) == F.lit(k).cast("long").bitwiseAND(part))
             return F.when(F.size(kept) == 0, F.lit("")).otherwise(F.substring(F.lower(F.hex(F.xxhash64(kept, F.lit(k)))), -8, 8))
 
-        return F.concat(mark, c.cast("string"), F.lit(":"), F.concat_ws(",", *[one(k) for k in range(subsets)]))
+        return F.concat(F.lit(mark), c.cast("string"), F.lit(":"), F.concat_ws(",", *[one(k) for k in range(subsets)]))
 
     def bound(value: Column, use) -> Column:
         """``use(value)``, with the value worked out once."""
         return F.transform(F.array(value), use)[0]
 
-    def whole(x: Column) -> Column:
-        terms, mark = x["terms"], x["mark"]
+    def both_classes(terms: Column, mark: str) -> Column:
         c = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(terms), F.lit(1)))).cast("int"))
-        some = bound(F.struct(c.alias("c"), sampled(terms, c).alias("t")), lambda x: F.concat(one_class(x["t"], x["c"], mark), F.lit(";"), bound(sampled(x["t"], x["c"] + 1), lambda t: one_class(t, x["c"] + 1, mark))))
-        return F.when(F.size(terms) == 0, F.concat(F.lit("-:"), F.lower(F.hex(F.xxhash64(text))))).otherwise(some)
+        some = F.struct(c.alias("c"), F.sort_array(sampled(terms, c)).alias("t"))
+        return bound(some, lambda x: F.concat(one_class(x["t"], x["c"], mark), F.lit(";"), bound(sampled(x["t"], x["c"] + 1), lambda t: one_class(t, x["c"] + 1, mark))))
 
-    def chosen(terms: Column, some: Column) -> Column:
-        all_ = F.size(some) == 0
-        return F.when(all_ if wide is None else all_ | wide, F.struct(F.sort_array(terms).alias("terms"), F.lit("~").alias("mark"))).otherwise(F.struct(F.sort_array(some).alias("terms"), F.lit("").alias("mark")))
+    def whole(terms: Column, some: Column) -> Column:
+        known = F.when(F.size(some) > 0, F.concat(both_classes(some, ""), F.lit(";"))).otherwise(F.lit(""))
+        return F.when(F.size(terms) == 0, F.concat(F.lit("-:"), F.lower(F.hex(F.xxhash64(text))))).otherwise(F.concat(known, both_classes(terms, "~")))
 
-    return bound(every, lambda terms: bound(in_lexicon(terms), lambda some: bound(chosen(terms, some), whole)))
+    return bound(every, lambda terms: bound(in_lexicon(terms), lambda some: whole(terms, some)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subset hashes of two fingerprints, 0 to 1."""
+    """Share of equal subset hashes of two fingerprints, 0 to 1, in the classes of the lexicon if both have them, else in the others."""
+    lexical = ~a.startswith("~") & ~b.startswith("~")
 
     def classes(x: Column) -> Column:
         return F.transform(F.split(x, ";"), lambda c: F.struct(F.substring_index(c, ":", 1).alias("c"), F.split(F.substring_index(c, ":", -1), ",", -1).alias("h")))
@@ -105,7 +106,7 @@ def likeness(a: Column, b: Column) -> Column:
         pairs = F.zip_with(p["h"], q["h"], lambda x, y: F.when((x == "") & (y == ""), F.lit(None)).otherwise((x == y).cast("int")))
         return F.filter(pairs, lambda v: v.isNotNull())
 
-    both = F.flatten(F.transform(classes(a), lambda p: F.flatten(F.transform(F.filter(classes(b), lambda q: q["c"] == p["c"]), lambda q: compare(p, q)))))
+    both = F.flatten(F.transform(classes(a), lambda p: F.flatten(F.transform(F.filter(classes(b), lambda q: (q["c"] == p["c"]) & (lexical != p["c"].startswith("~"))), lambda q: compare(p, q)))))
     share = F.try_divide(F.aggregate(both, F.lit(0).cast("double"), lambda s, v: s + v), F.size(both))
     return F.when(a == b, 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
@@ -158,7 +159,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     made = paired.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
-    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("own").alias("fingerprint"), fingerprint(F.col("edited"), table, F.col("own").startswith("~")).alias("edited_fingerprint"), "next_own")
+    made = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("own").alias("fingerprint"), fingerprint(F.col("edited"), table).alias("edited_fingerprint"), "next_own")
     own = F.col("fingerprint")
     return made.withColumns({"near_edited": likeness(own, F.col("edited_fingerprint")), "near_next": likeness(own, F.col("next_own"))}).drop("next_own")
 

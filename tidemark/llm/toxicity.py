@@ -431,10 +431,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows, with all their columns, whose score is below ``THRESHOLD``."""
-    net, share = fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    """The rows, with all their columns, whose score is below ``THRESHOLD``; all rows if the labels don't tell two kinds apart."""
+    net, _ = fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     if net is None:
-        return docs.where(F.lit(share < THRESHOLD))
+        return docs
     judge, at = judge_of(net), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
