@@ -14,8 +14,8 @@ from tidemark.llm import common, mixing, near_dedup, packing, suffix_dedup, toxi
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, rejects go; without both labels none does, or all if
-    at least three in ten of the labels say so."""
+    """Documents that the classifier, fitted on the labelled ones among them, rejects go; where the labels don't tell two kinds apart none
+    does."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -1,6 +1,9 @@
 """Expected outcomes of the text, fusion and policy rules, and readers that meet what they should not."""
 
 import math
+import os
+import subprocess
+import sys
 import unicodedata
 
 import pytest
@@ -11,7 +14,7 @@ from tidemark import sources
 from tidemark.functions import lexicon as lx
 from tidemark.functions.dialect import SPARK, interpolated, stepped
 from tidemark.operators import graph, similarity
-from tidemark.plans import corpus, posts
+from tidemark.plans import corpus, knowledge, posts
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +22,8 @@ def judged(spark):
     def run(bodies, **more):
         rows = [(i, b, more.get("media_kind", "yok"), more.get("fingerprint"), more.get("spread", 1.0)) for i, b in enumerate(bodies, more.get("first", 0))]
         df = spark.createDataFrame(rows, "post_id long, body string, media_kind string, fingerprint string, spread double")
-        steps = [s for name in ("text", "knowledge", "provenance", "media", "fusion") for s in posts.STAGES[name](SPARK)]
+        nothing = lambda rows: rows.selectExpr("post_id", "cast(null as long) distance", "cast(null as long) record_id", "cast(null as string) original").where("false")
+        steps = posts.steps(SPARK, "fusion", knowledge.seeds(spark), nothing)[len(posts.body_steps(SPARK)) :]
         return sorted(stepped(df, steps).collect(), key=lambda r: r.post_id)
 
     return run
@@ -139,3 +143,10 @@ def test_name_hashes(spark):
     for r in rows:
         assert r.h % (1 << 64) == int.from_bytes(hashlib.blake2b(r.n.encode(), digest_size=8).digest(), "big")
         assert r.s == int.from_bytes(hashlib.blake2b(f"video:{r.n}".encode(), digest_size=8).digest(), "big") % 1000 / 1000
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "tidemark.llm", "corpus_pipeline"])
+def test_entry_without_optional_parts(missing):
+    """The other queries stay where the subpackage, or what it imports, isn't there."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert len(e.queries()) > 100 and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Steps = list[dict[str, str]]
+
+@dataclass(frozen=True)
+class Lookup:
+    """Columns that a table has for a row: what they are called, which columns the row is looked up by, and how, in each engine.
+
+    ``joined`` adds the columns to a DataFrame; ``tables`` and ``join`` are the common table expressions over a query's name, and the
+    query that adds the columns to it.
+    """
+
+    columns: tuple[str, ...]
+    reads: tuple[str, ...]
+    joined: Callable[[DataFrame], DataFrame] | None
+    tables: Callable[[str], str]
+    join: Callable[[str], str]
+
+
+Steps = list[dict[str, str] | Lookup]
 
 
 class Dialect:
@@ -111,10 +131,42 @@ def interpolated(x: str, knots: list[tuple[float, float]]) -> str:
     return rounded(f"(case {' '.join(whens)} else {number(knots[-1][1])} end)")
 
 
-def stepped(df: DataFrame, steps: Steps) -> DataFrame:
-    """Add each step's columns. Each step ends in a generator, so that a filter on its columns doesn't copy their expressions."""
-    for step in steps:
-        df = df.selectExpr("*", *[f"{e} as {name}" for name, e in step.items()]).select(F.inline(F.array(F.struct("*"))))
+def names_in(sql: str) -> set[str]:
+    """All names in an expression or query, in lower case; text in quotes has none."""
+    return {n.lower() for n in re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", " ", sql))}
+
+
+def needed(steps: Steps, wanted: Iterable[str]) -> list[tuple[dict[str, str] | Lookup, set[str]]]:
+    """The steps without what ``wanted`` doesn't depend on, each with the names that are still read after it."""
+    live, out = {n.lower() for n in wanted}, []
+    for step in reversed(steps):
+        after = set(live)
+        if isinstance(step, Lookup):
+            if live & set(step.columns):
+                live |= set(step.reads)
+                out.append((step, after))
+            continue
+        kept = {n: e for n, e in step.items() if n in live}
+        if kept:
+            for e in kept.values():
+                live |= names_in(e)
+            out.append((kept, after))
+    return out[::-1]
+
+
+def stepped(df: DataFrame, steps: Steps, wanted: Iterable[str] | None = None) -> DataFrame:
+    """Add each step's columns; with ``wanted`` only what these depend on is worked out, and only these and ``df``'s own stay.
+
+    Each step ends in a generator, so that a filter on its columns doesn't copy their expressions.
+    """
+    plan = needed(steps, wanted) if wanted is not None else [(step, None) for step in steps]
+    for step, after in plan:
+        if isinstance(step, Lookup):
+            df = step.joined(df)
+        else:
+            df = df.selectExpr("*", *[f"{e} as {name}" for name, e in step.items()])
+        kept = [c for c in df.columns if after is None or c.lower() in after]
+        df = df.select(*kept) if isinstance(step, Lookup) else df.select(F.inline(F.array(F.struct(*kept))))
     return df
 
 
@@ -122,7 +174,11 @@ def stepped_ctes(base: str, steps: Steps, name: str, prefix: str = "s") -> str:
     """The common table expressions of the same steps over the query ``base``; the last one is called ``name``."""
     parts = [f"{prefix}0 as ({base})"]
     for k, step in enumerate(steps):
-        parts.append(f"{prefix}{k + 1} as (select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from {prefix}{k})")
+        last = f"{prefix}{k}"
+        if isinstance(step, Lookup):
+            parts += [step.tables(last), f"{prefix}{k + 1} as ({step.join(last)})"]
+        else:
+            parts.append(f"{prefix}{k + 1} as (select *, {', '.join(f'{e} as {n}' for n, e in step.items())} from {last})")
     return f"{', '.join(parts)}, {name} as (select * from {prefix}{len(steps)})"
 
 

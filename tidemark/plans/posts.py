@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.dialect import DUCKDB, SPARK, Dialect, Steps, interpolated, number, rounded, stepped, stepped_sql
+from ..functions.dialect import DUCKDB, SPARK, Dialect, Lookup, Steps, interpolated, names_in, needed, number, rounded, stepped, stepped_sql
+from ..scratch import materialize
+from . import knowledge, provenance
 
 URL, MENTION, SPACE = "https?://[^ \\t\\n\\x0B\\f\\r]+|www\\.[^ \\t\\n\\x0B\\f\\r]+", "@[\\p{L}\\p{N}_]+", "[ \\t\\n\\x0B\\f\\r]+"
 ACCENTS = lx.accents()
@@ -114,38 +116,37 @@ def text_steps(d: Dialect) -> Steps:
             "claim_type": "case " + " ".join(f"when {c} is not null then '{t}'" for t, c in CLAIM_COLUMNS.items()) + " when unclear_claim is not null then 'belirsiz' end",
             "claim": f"coalesce({', '.join(claims)}, unclear_claim)",
         },
+        {"claims_norm": normalized(d, "claims")},
     ]
 
 
-#: What official sources say of claims: key terms, terms one of which must be there, rating.
-POOL = [
-    ("K1", "baraj yikil izmir", "baraj", "YANLIŞ"), ("K2", "ikinci deprem bekleniyor hatay", "ikinci", "Yanlış"), ("K3", "tahliye konya edil", "tahliye", "DOĞRU"), ("K4", "kopru coktu yol kapandi", "kopru", "yanlis"),
-    ("K5", "elektrik kesil bursa", "elektrik", "Doğru"), ("K6", "tsunami uyarisi", "tsunami", "Karma"), ("K7", "sel bekleniyor saat", "sel", "YANLIS"), ("K8", "bina coktu van", "bina coktu", "dogru"), ("K9", "terk sehri", "terk", "doğru"),
-]
-MATCH, VERIFIED, VETO = 0.34, 0.25, 5
+MATCH, VERIFIED = 0.34, 0.25
 
 
 def knowledge_steps(d: Dialect, least: float = MATCH, allowed: str = "true") -> Steps:
-    """The record of the pool with the largest share of key terms in the claims, the first of equals; a record takes part only
-    where one of its anchors is there. ``allowed`` may name a condition on the best record."""
-    columns: dict[str, str] = {}
-    for name, terms, anchors, _ in POOL:
-        words = terms.split()
-        hits = " + ".join(f"(case when {d.contains('claims_norm', quoted(w))} then 1e0 else 0e0 end)" for w in words)
-        veto = " or ".join(d.contains("claims_norm", quoted(a)) for a in anchors.split(","))
-        columns[f"o_{name}"] = f"case when claims_norm is not null and ({veto}) then {rounded(f'({hits}) / {len(words)}e0')} else 0e0 end"
-    rating = "case " + " ".join(f"when record = '{n}' then '{r}'" for n, _, _, r in POOL) + " end"
-    best = "greatest(" + ", ".join(columns) + ")"
-    record = "case " + " ".join(f"when o_{n} = similarity then '{n}'" for n, *_ in POOL) + " end"
+    """What official sources say, from the best record of the pool and its likeness. ``allowed`` may name a condition on the record."""
     verdict = f"case when claims is null then null when record is null then '{lx.SILENT}' when rating_norm = 'yanlis' then '{lx.CONTRADICTS}' when rating_norm = 'dogru' then '{lx.SUPPORTS}' else '{lx.UNRELATED}' end"
     return [
-        {"claims_norm": normalized(d, "claims")}, columns, {"similarity": best}, {"best_record": record},
         {"record": f"case when claims is not null and similarity >= {number(least)} and ({allowed}) then best_record end"},
-        {"rating": rating}, {"rating_norm": normalized(d, "rating")}, {"knowledge": verdict},
+        {"rating_norm": normalized(d, "rating")}, {"knowledge": verdict},
         {"knowledge_raw": "case " + " ".join(f"when knowledge = '{k}' then {number(v)}" for k, v in lx.KNOWLEDGE_SCORES.items()) + " end"},
     ]
 
 
+def pool_lookup(pool: DataFrame | None) -> Lookup:
+    """The best record of the pool; its likeness is 0 where there is none."""
+
+    def joined(df: DataFrame) -> DataFrame:
+        rows = materialize(df)  # asked and joined to the answer
+        claims = rows.where("claims_norm is not null").select(F.col("post_id").alias("id"), F.col("claims_norm").alias("text"))
+        best = knowledge.best_records(claims, pool).withColumnRenamed("id", "post_id")
+        return rows.join(best, "post_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+    columns = ("best_record", "best_ord", "similarity", "rating")
+    picked = "b.best_record, b.best_ord, coalesce(b.similarity, 0.0::double) as similarity, b.rating"
+    return Lookup(columns, ("post_id", "claims_norm"), joined, lambda p: f"{knowledge.pool_sql(p)}, {knowledge.best_sql(p)}", lambda p: f"select x.*, {picked} from {p} x left join best b on b.post_id = x.post_id")
+
+
 def located_conflict(d: Dialect, claimed: str, place: str) -> str:
     """Whether no part of a recorded place holds the claimed one or is held by it."""
     parts = d.kept(d.each(d.split(place, "[/,]"), "p", normalized(d, "p")), "p", "p <> ''")
@@ -153,25 +154,31 @@ def located_conflict(d: Dialect, claimed: str, place: str) -> str:
     return f"coalesce({claimed} is not null and {place} is not null and not {d.some(parts, 'p', f'({d.contains(own, chr(112))} or {d.contains(chr(112), own)})')}, false)"
 
 
-#: Bits of a post's picture that differ from the stored one, by ``post_id % 5``; beyond ten it isn't found.
-FLIPS = "(case post_id % 5 when 0 then 0 when 1 then 3 when 2 then 6 when 3 then 9 else 20 end)"
-CONCLUSIVE, NEAR = 0.88, 10
+CONCLUSIVE = 0.88
 
 
 def provenance_steps(d: Dialect) -> Steps:
-    """Where a post's picture was seen first. A post shows one of the stored pictures, with some bits changed; the record says
-    where and when. Exact look-ups among all records are in ``operators.similarity``."""
-    names = d.array(*[quoted(lx.CITY_NAMES.get(c, c.capitalize())) for c in lx.CITIES])
-    one = d.at(names, "post_id % 81")
+    """Where a post's picture was seen first, by the entry of the index that is nearest, if one is near."""
     return [
-        {"distance": f"case when media_kind <> 'yok' then cast({FLIPS} as bigint) end"},
-        {"matched": f"coalesce(distance <= {NEAR}, false)", "likeness": f"case when distance <= {NEAR} then round(1 - distance / 64e0, 4) end"},
-        {"place": f"case when matched then case when post_id % 4 = 0 then concat({one}, '/', {d.at(names, '(post_id + 7) % 81')}) when post_id % 4 = 1 and city is not null then city else {one} end end"},
+        {"matched": "distance is not null", "likeness": f"round(1 - distance / {number(float(provenance.BITS))}, 4)", "place": "original"},
         {"conflict": located_conflict(d, "city", "place")},
         {"provenance_raw": "case when media_kind = 'yok' then null when matched then likeness else 0e0 end", "conclusive": f"coalesce(likeness >= {number(CONCLUSIVE)}, false)"},
     ]
 
 
+def index_lookup(found) -> Lookup:
+    """What ``found(posts)`` says of the posts' pictures."""
+
+    def joined(df: DataFrame) -> DataFrame:
+        rows = materialize(df)
+        return rows.join(found(rows), "post_id", "left")
+
+    return Lookup(
+        ("distance", "record_id", "original"), ("post_id", "media_kind"), joined, lambda p: f"{provenance.INDEX_SQL}, {provenance.posts_sql(p)}",
+        lambda p: f"select x.*, i.distance, i.record_id, i.original from {p} x left join seen i on i.post_id = x.post_id",
+    )
+
+
 def media_steps(d: Dialect) -> Steps:
     """Scores of media models come as columns; they are not asked for without media or after a conclusive match."""
 
@@ -244,14 +251,35 @@ def fusion_steps(d: Dialect) -> Steps:
 STAGES = {"body": body_steps, "text": text_steps, "knowledge": knowledge_steps, "provenance": provenance_steps, "media": media_steps, "fusion": fusion_steps}
 
 
-def steps(d: Dialect, until: str) -> Steps:
+def steps(d: Dialect, until: str, pool: DataFrame | None = None, found=None) -> Steps:
+    """All steps up to a stage. Spark's need the ``pool`` and what an index says of pictures, ``found(posts)``, if these are asked."""
+    lookups = {"knowledge": [pool_lookup(pool)], "provenance": [index_lookup(found)]}
     names = list(STAGES)
-    return [s for name in names[: names.index(until) + 1] for s in STAGES[name](d)]
+    return [s for name in names[: names.index(until) + 1] for s in [*lookups.get(name, []), *STAGES[name](d)]]
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a small table in as many partitions as there are cores: expressions are dear, rows are few."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BASE.replace("conversations", "{conversations}"), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def pool_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of records, with bulletins on claims of some of the posts."""
+    rows = stepped(dealt(base_rows(spark, sf_dir).where(knowledge.OF)), steps(SPARK, "text"), ["post_id", "claims_norm"])
+    return knowledge.saved_pool(spark, rows.where("claims_norm is not null").select("post_id", "claims_norm"))
 
 
-def posts(spark: SparkSession, sf_dir: str, until: str = "fusion") -> DataFrame:
-    rows = spark.sql(BASE.replace("conversations", "{conversations}"), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return stepped(rows, steps(SPARK, until))
+def posts(spark: SparkSession, sf_dir: str, until: str = "fusion", wanted: list[str] | set[str] | None = None) -> DataFrame:
+    """The posts with the columns of all stages up to one, or with those that are ``wanted`` of them."""
+    plan = steps(SPARK, until)
+    asks = wanted is None or any(isinstance(s, Lookup) and "best_record" in s.columns for s, _ in needed(plan, wanted))
+    pool = pool_of(spark, sf_dir) if asks and until not in ("body", "text") else None
+    return stepped(dealt(base_rows(spark, sf_dir)), steps(SPARK, until, pool, lambda rows: provenance.looked_up_posts(rows, spark, sf_dir)), wanted)
 
 
 def queries(d: Dialect) -> dict[str, tuple[str, str]]:
@@ -285,9 +313,9 @@ def queries(d: Dialect) -> dict[str, tuple[str, str]]:
         "primary_claims": ("text", f"select post_id, claim_type, claim, {span} as place from posts where claims is not null"),
         "evidence_caps": ("text", f"select post_id, {d.joined(shown, '|')} as evidence, {d.joined(first_help, '|')} as help_evidence, {d.joined(hits(lx.DEBUNK, 2), '|')} as debunk_evidence from posts"),
         "text_signals": ("text", signal_rows),
-        "knowledge_match": ("knowledge", "select post_id, record, similarity, knowledge, knowledge_raw from posts where claims is not null"),
+        "knowledge_match": ("knowledge", "select post_id, best_record, record, similarity, knowledge, knowledge_raw from posts where claims is not null"),
         "knowledge_counts": ("knowledge", "select coalesce(knowledge, 'yok') as knowledge, count(*) as n, round(avg(similarity), 6) as mean_similarity from posts group by coalesce(knowledge, 'yok')"),
-        "provenance_context": ("provenance", "select post_id, matched, distance, likeness, city, place, conflict, provenance_raw, conclusive from posts where media_kind <> 'yok'"),
+        "provenance_context": ("provenance", "select post_id, matched, record_id, distance, likeness, city, place, conflict, provenance_raw, conclusive from posts where media_kind <> 'yok'"),
         "media_cascade": ("media", "select post_id, has_audio, runs_media, case when conclusive then 'conclusive' when media_kind = 'yok' then 'no media' end as skipped from posts"),
         "modalities": ("media", "select post_id, concat_ws(',', case when trim(body) <> '' then 'text' end, case when media_kind in ('image', 'grid') then 'image' end, case when media_kind = 'video' then 'video' end, case when has_audio then 'audio' end) as modalities from posts"),
         "calibrated_signals": ("fusion", calibrated),
@@ -313,7 +341,7 @@ def queries(d: Dialect) -> dict[str, tuple[str, str]]:
 def query_of(name: str, stage: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = _SPARK[name][1].replace(" posts", " {posts}").replace("{posts}.", "posts.")
-        return spark.sql(sql, posts=posts(spark, sf_dir, stage))
+        return spark.sql(sql, posts=posts(spark, sf_dir, stage, names_in(_SPARK[name][1])))
 
     query.__name__ = name
     return query

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import lexicon as lx
-from ..functions.dialect import DUCKDB, SPARK, Dialect, Steps, stepped, stepped_ctes, stepped_sql
+from ..functions.dialect import DUCKDB, SPARK, Dialect, Steps, names_in, stepped, stepped_ctes, stepped_sql
 from ..operators.graph import components
 from ..scratch import materialize
 from . import posts
-from .posts import BASE, POOL, VERIFIED, VETO, knowledge_steps, normalized, quoted
+from . import knowledge
+from .posts import BASE, VERIFIED, knowledge_steps, normalized, quoted
 
 #: Minutes that a snapshot covers, share of the smaller set of terms, clusters shown.
 MINUTES, OVERLAP, SHOWN = 30, 0.5, 8
@@ -30,7 +31,7 @@ def token_steps(d: Dialect) -> Steps:
 
 
 def flagged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stepped(posts.posts(spark, sf_dir).where(FLAGGED), token_steps(SPARK)).where("n_terms > 0")
+    rows = stepped(posts.posts(spark, sf_dir, wanted={"post_id", "knowledge", "city", *names_in(FLAGGED)}).where(FLAGGED), token_steps(SPARK)).where("n_terms > 0")
     return materialize(rows.select("post_id", "verdict", "knowledge", "city", "claim", "terms", "n_terms", "term_key"))  # read several times
 
 
@@ -70,23 +71,37 @@ def claim_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon proposes a record, and vectors confirm it: it must be among the nearest records of the claim's vector.
-
-    A post's claim has the vector of its number, a record of the pool that of its place in the pool.
-    """
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    pool = vectors.where(F.col("vec_id") < len(POOL)).select(F.format_string("K%d", F.col("vec_id") + 1).alias("name"), F.col("v").alias("r"))
-    rows = posts.posts(spark, sf_dir, "text").where("claims is not null")
-    n = vectors.count()
-    own = rows.select("post_id", (F.col("post_id") % F.lit(n)).alias("vec_id")).join(vectors, "vec_id").crossJoin(F.broadcast(pool))  # the pool has nine rows
-    dot = F.aggregate(F.zip_with("v", "r", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    near = own.withColumn("cosine", F.round(dot, 4)).withColumn("k", F.row_number().over(W.partitionBy("post_id").orderBy(F.desc("cosine"), "name"))).where(F.col("k") <= VETO)
-    near = near.groupBy("post_id").agg(F.collect_set("name").alias("near"))
-    found = stepped(rows.join(near, "post_id"), knowledge_steps(SPARK, VERIFIED, "array_contains(near, best_record)"))
+    """The lexicon proposes a record, and vectors of the texts confirm it: it must be among the nearest records of the claim."""
+    pool = materialize(posts.pool_of(spark, sf_dir))
+    rows = materialize(posts.posts(spark, sf_dir, "text", ["post_id", "claims", "claims_norm"]).where("claims is not null"))
+    claims = rows.select(F.col("post_id").alias("id"), F.col("claims_norm").alias("text"))
+    best = knowledge.best_records(claims, pool)
+    asked = materialize(claims.join(best.where(F.col("similarity") >= VERIFIED), "id").select("id", "text"))  # others need no confirmation
+    known = best.join(knowledge.near_records(asked, pool), "id", "left").withColumnRenamed("id", "post_id")
+    found = rows.join(known, "post_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    found = stepped(found, knowledge_steps(SPARK, VERIFIED, "coalesce(array_contains(near, best_ord), false)"))
     return found.select("post_id", "best_record", "record", "similarity", "knowledge")
 
 
-QUERIES = {q.__name__: q for q in (claim_clusters, claim_cluster_sizes, knowledge_verified)}
+def knowledge_pool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool as it is read from its lines."""
+    joined = [F.array_join(c, " ").alias(c) for c in ("keywords", "anchors")]
+    return posts.pool_of(spark, sf_dir).select("ord", "record_id", F.md5("claim").alias("claim_md5"), "rating", *joined)
+
+
+def pool_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the record on a claim itself is found: by terms and anchors, by the vectors' first five, by both."""
+    pool = materialize(posts.pool_of(spark, sf_dir))
+    rows = posts.posts(spark, sf_dir, "text", ["post_id", "claims_norm"]).where("claims_norm is not null").where(knowledge.OF)
+    claims = materialize(rows.select(F.col("post_id").alias("id"), F.col("claims_norm").alias("text")))
+    own = claims.join(pool.select((F.col("ord") - len(knowledge.SEEDS)).alias("id"), "record_id", F.col("ord").alias("own")), "id")
+    found = own.join(knowledge.best_records(claims, pool), "id", "left").join(knowledge.near_records(claims, pool), "id", "left")
+    first, near = F.coalesce(F.col("best_record") == F.col("record_id"), F.lit(False)), F.coalesce(F.array_contains("near", F.col("own")), F.lit(False))
+    share = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
+    return found.agg(F.count("*").alias("n"), share(first, "by_terms"), share(near, "by_vectors"), share(first & near, "by_both"))
+
+
+QUERIES = {q.__name__: q for q in (claim_clusters, claim_cluster_sizes, knowledge_verified, knowledge_pool_records, pool_retrieval)}
 _FOUND = (
     stepped_sql(BASE, posts.steps(DUCKDB, "fusion")).replace("with ", "with recursive ", 1)
     + ", "
@@ -105,9 +120,15 @@ o as (select *, row_number() over (order by posts desc, cluster) as k from g)
 select 'kume_' || lpad(o.k::varchar, 2, '0') as id, o.cluster, o.claim, posts, round(posts / {MINUTES}::double * 60, 1) as spread, case when posts > 1 then round((posts - greatest(posts // 2, 1)) / greatest(posts // 2, 1)::double, 2) else 1.0 end as acceleration, w.verdict, official, places
 from o join w on w.cluster = o.cluster and w.k = 1 where o.k <= {SHOWN}""",
     "knowledge_verified": stepped_sql(BASE, posts.steps(DUCKDB, "text"))
-    + f""", pool as (select 'K' || (vec_id + 1)::varchar as name, embedding::double[] as r from embeddings where vec_id < {len(POOL)}), n as (select count(*) as n from embeddings),
-own as (select p.post_id, pool.name, round(list_dot_product(e.embedding::double[], pool.r), 4) as cosine from posts p cross join n join embeddings e on e.vec_id = p.post_id % n.n cross join pool where p.claims is not null),
-k as (select *, row_number() over (partition by post_id order by cosine desc, name) as k from own), near as (select post_id, list(name) as near from k where k <= {VETO} group by post_id), """
-    + stepped_ctes("select p.*, near.near from posts p join near using (post_id)", knowledge_steps(DUCKDB, VERIFIED, "list_contains(near, best_record)"), "kp", "k_")
+    + f", {knowledge.pool_sql('posts')}, {knowledge.best_sql('posts')}, {knowledge.near_sql('posts')}, "
+    + stepped_ctes(
+        "select p.*, b.best_record, b.best_ord, coalesce(b.similarity, 0.0::double) as similarity, b.rating, near.near from posts p left join best b using (post_id) left join near using (post_id) where claims is not null",
+        knowledge_steps(DUCKDB, VERIFIED, "coalesce(list_contains(near, best_ord), false)"), "kp", "k_",
+    )
     + " select post_id, best_record, record, similarity, knowledge from kp",
+    "knowledge_pool_records": stepped_sql(BASE, posts.steps(DUCKDB, "text")) + f", {knowledge.pool_sql('posts')} select ord, record_id, md5(claim) as claim_md5, rating, array_to_string(keywords, ' ') as keywords, array_to_string(anchors, ' ') as anchors from pool",
+    "pool_retrieval": stepped_sql(BASE, posts.steps(DUCKDB, "text"))
+    + f""", {knowledge.pool_sql('posts')}, {knowledge.best_sql('posts')}, {knowledge.near_sql('posts')},
+f as (select coalesce(b.best_record = r.record_id, false) as t, coalesce(list_contains(near.near, r.ord), false) as v from pool r left join best b on b.post_id = r.ord - {len(knowledge.SEEDS)} left join near on near.post_id = r.ord - {len(knowledge.SEEDS)} where r.ord >= {len(knowledge.SEEDS)})
+select count(*) as n, round(avg(t::int::double), 6) as by_terms, round(avg(v::int::double), 6) as by_vectors, round(avg((t and v)::int::double), 6) as by_both from f""",
 }
