@@ -63,6 +63,11 @@ def rotated(x: np.ndarray, number: int) -> np.ndarray:
     return x
 
 
+def padded(dim: int) -> int:
+    """A power of two from the dimension on, and at least 16: few coordinates have few different rotations."""
+    return 1 << max(4, int(dim - 1).bit_length())
+
+
 @functools.lru_cache(maxsize=64)
 def changes(hashes: int, choices: int) -> np.ndarray:
     """Which coordinate, from the largest down, each of a table's hashes takes, for its own bucket and all probes."""
@@ -71,16 +76,15 @@ def changes(hashes: int, choices: int) -> np.ndarray:
 
 def bucket_keys(x: np.ndarray, hashes: int, probes: int, tables: int) -> np.ndarray:
     """The 48-bit keys of ``tables * probes`` buckets of each row of unit vectors."""
-    size = 1 << max(1, int(x.shape[1] - 1).bit_length())
+    size = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
-    choices = min(NEXT, size)
-    combos = changes(hashes, choices)
+    combos = changes(hashes, NEXT)
     out = np.empty((len(x), tables * probes), np.uint64)
     for t in range(tables):
         codes, misses = np.zeros((len(x), len(combos)), np.uint64), np.zeros((len(x), len(combos)))
         for k in range(hashes):
             y = rotated(x, t * hashes + k)
-            top = np.argpartition(-np.abs(y), choices - 1, axis=1)[:, :choices]
+            top = np.argpartition(-np.abs(y), NEXT - 1, axis=1)[:, :NEXT]
             value = np.take_along_axis(y, top, 1)
             order = np.argsort(-np.abs(value), axis=1, kind="stable")
             top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
@@ -108,7 +112,7 @@ def tuned(dim: int, hashes: int, least: float, miss: float) -> tuple[int, int, i
     y = least * x + np.sqrt(1 - least * least) * z
     best: tuple | None = None
     for probes in (1, 2, 4, 8, 16, 32):
-        if probes > len(changes(hashes, min(NEXT, max(2, dim)))):
+        if probes > len(changes(hashes, NEXT)):
             break
         a, b = bucket_keys(x, hashes, probes, 1), bucket_keys(y, hashes, probes, 1)
         met = sum((a == b[:, k : k + 1]).any(axis=1) for k in range(probes)) > 0
@@ -122,7 +126,7 @@ def tuned(dim: int, hashes: int, least: float, miss: float) -> tuple[int, int, i
 
 def setting(dim: int, n: int, least: float = LEAST, miss: float = MISS) -> tuple[int, int, int]:
     """Hashes a table, probes and tables for ``n`` vectors of a length."""
-    faces = 2 << max(1, int(dim - 1).bit_length())
+    faces = 2 * padded(dim)
     hashes = 1
     while faces**hashes < SPARSE * n and hashes < 8:
         hashes += 1
