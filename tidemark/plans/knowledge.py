@@ -75,8 +75,9 @@ def best_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
     return best.where("b.similarity > 0").select("id", F.col("b.record_id").alias("best_record"), (-F.col("b.o")).alias("best_ord"), F.col("b.similarity").alias("similarity"), F.col("b.rating").alias("rating"))
 
 
-def text_vector(d: Dialect, x: str) -> str:
-    """Hashed counts of a text's trigrams with signs: a vector of what the text says, without a model."""
+def text_vector(d: Dialect, x: str) -> tuple[str, str]:
+    """Hashed counts of a text's trigrams with signs, a vector of what the text says, without a model: the expression of the hashes, and
+    that of the vector over them, which are called ``hs``."""
     places = f"sequence(1, greatest(length({x}) - 2, 1))" if d.spark else f"range(1, greatest(length({x}) - 2, 1) + 1)"
     raw = "substring(md5(substring({x}, cast(i as int), 3)), 1, 7)".replace("{x}", x)
     number = f"cast(conv({raw}, 16, 10) as bigint) % {2 * DIMS}" if d.spark else f"('0x' || {raw})::bigint % {2 * DIMS}"
@@ -85,9 +86,11 @@ def text_vector(d: Dialect, x: str) -> str:
     return f"{d.each(places, 'i', number)}", d.each(dims, "b", f"cast({count('b')} - {count(f'b + {DIMS}')} as double)")
 
 
-def with_vectors(rows: DataFrame, x: str) -> DataFrame:
+def with_vectors(rows: DataFrame, x: str, zeros: bool = False) -> DataFrame:
+    """``rows`` with the vector of a text as ``embedding``; rows whose vector has only zeros are left out, if not wanted."""
     hashes, vector = text_vector(SPARK, x)
-    return rows.withColumn("hs", F.expr(hashes)).withColumn("embedding", F.expr(vector)).drop("hs").where(F.exists("embedding", lambda v: v != 0))
+    made = rows.withColumn("hs", F.expr(hashes)).withColumn("embedding", F.expr(vector)).drop("hs")
+    return made if zeros else made.where(F.exists("embedding", lambda v: v != 0))
 
 
 def near_records(claims: DataFrame, pool: DataFrame, k: int = VETO) -> DataFrame:

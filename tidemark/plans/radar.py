@@ -1,8 +1,9 @@
 """Clusters of claims that circulate, and what official sources say of them.
 
-Claims whose key terms overlap by half of the smaller set belong together; clusters are the components of these links, so
-they don't depend on the order in which posts come. Equal sets of terms meet first, as one; only sets that share one of
-their rarest terms are compared.
+Three ways to group claims: each joins the first cluster, in the order of posts, that its key terms overlap with; density of
+the vectors of their texts, where there are vectors and enough claims; and components of all overlaps of half of the smaller set
+of terms, which don't depend on an order (equal sets meet first, as one; only sets that share one of their rarest terms
+are compared).
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as lx
 from ..functions.dialect import DUCKDB, SPARK, Dialect, Steps, names_in, stepped, stepped_ctes, stepped_sql
+from ..operators.density import density_clusters
 from ..operators.graph import components
+from ..operators.ordered import first_fit
 from ..scratch import materialize
 from . import posts
 from . import knowledge
@@ -21,6 +24,8 @@ from .posts import BASE, VERIFIED, knowledge_steps, normalized, quoted
 
 #: Minutes that a snapshot covers, share of the smaller set of terms, clusters shown.
 MINUTES, OVERLAP, SHOWN = 30, 0.5, 8
+#: Claims below which there is no density to speak of, and the members that make a cluster.
+LEAST_CLAIMS, LEAST_MEMBERS = 6, 2
 FLAGGED = f"verdict not in ('{lx.CLEAN}', '{lx.UNKNOWN}') and not rule_zero and claim is not null"
 
 
@@ -50,9 +55,25 @@ def term_clusters(claims: DataFrame) -> DataFrame:
     return claims.join(named, "term_key")
 
 
-def claim_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grouped(claims: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """``claims`` with ``cluster``, the first post of the claim's cluster, and how they were grouped: by density, if there are
+    ``vectors(post_id, v)`` and at least ``LEAST_CLAIMS`` claims, noise being clusters of one, else by terms in the order of posts."""
+    if vectors is not None and claims.count() >= LEAST_CLAIMS:
+        found = density_clusters(vectors.select(F.col("post_id").alias("id"), "v"), LEAST_MEMBERS)
+        return claims.join(found.select(F.col("id").alias("post_id"), "cluster"), "post_id"), "density"
+    found = first_fit(claims.select(F.col("post_id").alias("id"), "terms"), OVERLAP)
+    return claims.join(found.withColumnRenamed("id", "post_id"), "post_id"), "terms"
+
+
+def claim_vectors(claims: DataFrame) -> DataFrame:
+    """``(post_id, v)``: unit vectors of the claims' terms; a claim without a trigram has a vector of zeros."""
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    rows = knowledge.with_vectors(claims.select("post_id", "term_key"), "term_key", zeros=True).withColumn("length", length)
+    return rows.select("post_id", F.transform("embedding", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("v"))
+
+
+def snapshot(found: DataFrame) -> DataFrame:
     """The clusters with most posts: first claim, count, spread, acceleration, leading verdict, official status, places."""
-    found = term_clusters(flagged_claims(spark, sf_dir))
     verdicts = found.groupBy("cluster", "verdict").agg(F.count("*").alias("n"), F.min("post_id").alias("first")).groupBy("cluster").agg(F.max(F.struct("n", (-F.col("first")).alias("o"), "verdict")).alias("v"))
     spoken = F.col("knowledge") != lx.SILENT
     rows = found.groupBy("cluster").agg(
@@ -66,6 +87,34 @@ def claim_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.concat(F.lit("kume_"), F.lpad(ordinal.cast("string"), 2, "0")).alias("id"), "cluster", "claim", "posts", "spread", "acceleration", F.col("v.verdict").alias("verdict"), "official", "places")
 
 
+def claim_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What circulates most, grouped by terms in the order of posts."""
+    return snapshot(grouped(flagged_claims(spark, sf_dir))[0])
+
+
+def claim_clusters_by_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What circulates most, grouped by density of the claims' vectors."""
+    claims = flagged_claims(spark, sf_dir)
+    return snapshot(grouped(claims, claim_vectors(claims))[0])
+
+
+def claim_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the three ways agree: clusters and the largest of each, and the adjusted Rand index of each two."""
+    claims = flagged_claims(spark, sf_dir)
+    ways = {"terms": grouped(claims)[0], "density": grouped(claims, claim_vectors(claims))[0], "components": term_clusters(claims)}
+    ways = {k: v.select("post_id", F.col("cluster").alias(k)) for k, v in ways.items()}
+    rows = materialize(ways["terms"].join(ways["density"], "post_id").join(ways["components"], "post_id"))
+    pairs = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("s"), F.count("*").alias("k"), F.max("n").alias("m"))
+    out = None
+    for a, b in (("terms", "density"), ("terms", "components"), ("density", "components")):
+        one, two, both = (pairs(rows, *by) for by in ((a,), (b,), (a, b)))
+        joined = one.select(F.col("s").alias("sa"), F.col("k").alias("clusters"), F.col("m").alias("largest")).crossJoin(two.select(F.col("s").alias("sb"))).crossJoin(both.select("s")).crossJoin(rows.agg(F.count("*").alias("n")))  # single rows
+        chance = F.col("sa") * F.col("sb") / (F.col("n") * (F.col("n") - 1) / 2)
+        row = joined.select(F.lit(a).alias("way"), F.lit(b).alias("other"), "clusters", "largest", F.round(F.try_divide(F.col("s") - chance, (F.col("sa") + F.col("sb")) / 2 - chance), 6).alias("ari"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def claim_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_clusters(flagged_claims(spark, sf_dir)).groupBy("cluster").agg(F.count("*").alias("posts"), F.count_distinct("term_key").alias("kinds"))
 
@@ -101,19 +150,26 @@ def pool_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), share(first, "by_terms"), share(near, "by_vectors"), share(first & near, "by_both"))
 
 
-QUERIES = {q.__name__: q for q in (claim_clusters, claim_cluster_sizes, knowledge_verified, knowledge_pool_records, pool_retrieval)}
-_FOUND = (
+QUERIES = {q.__name__: q for q in (claim_clusters, claim_clusters_by_density, claim_grouping, claim_cluster_sizes, knowledge_verified, knowledge_pool_records, pool_retrieval)}
+_CLAIMS = (
     stepped_sql(BASE, posts.steps(DUCKDB, "fusion")).replace("with ", "with recursive ", 1)
     + ", "
     + stepped_ctes(f"select * from posts where {FLAGGED}", token_steps(DUCKDB), "c", "c_")
-    + f""", claims as (select * from c where n_terms > 0), sets as (select term_key, min(post_id) as node, any_value(terms) as terms, any_value(n_terms) as n from claims group by term_key),
+    + ", claims as (select * from c where n_terms > 0)"
+)
+_FOUND = _CLAIMS + f""", sets as (select term_key, min(post_id) as node, any_value(terms) as terms, any_value(n_terms) as n from claims group by term_key),
 e as (select a.node as a, b.node as b from sets a join sets b on a.node <> b.node and len(list_intersect(a.terms, b.terms)) >= {OVERLAP} * least(a.n, b.n)),
 r as (select node, node as root from sets union select e.b, r.root from r join e on e.a = r.node), m as (select node, min(root) as cluster from r group by node),
 found as (select claims.*, m.cluster from claims join sets using (term_key) join m on m.node = sets.node) """
-)
+#: One post after the other: it joins the first cluster that its terms overlap with, whose terms then grow, or begins one.
+_FOLDED = _CLAIMS + f""", one as (select *, row_number() over (order by post_id) as k from claims),
+fold as (select 0::bigint as k, null::bigint as post_id, null::bigint as cluster, []::struct(c bigint, t varchar[])[] as held union all
+    select k, post_id, coalesce(hit, post_id), case when hit is null then list_append(held, struct_pack(c := post_id, t := terms)) else list_transform(held, lambda x: case when x.c = hit then struct_pack(c := x.c, t := list_distinct(list_concat(x.t, terms))) else x end) end
+    from (select o.k, o.post_id, o.terms, f.held, list_extract(list_filter(f.held, lambda x: len(list_intersect(x.t, o.terms)) >= {OVERLAP} * least(len(x.t), len(o.terms))), 1).c as hit from fold f join one o on o.k = f.k + 1) n),
+found as (select claims.*, fold.cluster from claims join fold using (post_id)) """
 SQL = {
     "claim_cluster_sizes": _FOUND + "select cluster, count(*) as posts, count(distinct term_key) as kinds from found group by cluster",
-    "claim_clusters": _FOUND
+    "claim_clusters": _FOLDED
     + f""", v as (select cluster, verdict, count(*) as n, min(post_id) as first from found group by cluster, verdict), w as (select *, row_number() over (partition by cluster order by n desc, first) as k from v),
 g as (select cluster, arg_min(claim, post_id) as claim, count(*) as posts, array_to_string(list_sort(list_distinct(list(city))), ',') as places, coalesce(arg_min(knowledge, case when knowledge <> '{lx.SILENT}' then post_id end), '{lx.SILENT}') as official from found group by cluster),
 o as (select *, row_number() over (order by posts desc, cluster) as k from g)
