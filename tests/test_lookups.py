@@ -107,3 +107,27 @@ def test_lookups_that_nobody_reads_are_not_asked(spark, stage):
     """Neither the pool nor the index is there, and neither is needed."""
     df = spark.createDataFrame([(1, "Merhaba", "image", None, 1.0)], "post_id long, body string, media_kind string, fingerprint string, spread double")
     assert stepped(df, posts.steps(SPARK, stage)[len(posts.body_steps(SPARK)) :], ["post_id", "norm"]).count() == 1
+
+
+def test_isotonic_curves_of_several_signals(spark):
+    """Against the definition: the largest of the least of the means; scores beyond the grid, nulls, signals without a fitting half."""
+    import numpy as np
+
+    from tidemark.operators import isotonic
+
+    r = random.Random(8)
+    rows = [(k, round(r.random(), 2), r.random() < 0.5, int(r.random() < 0.2 + 0.6 * (j % 7 > 3))) for k in ("a", "b") for j in range(400)]
+    rows += [("a", None, True, 1), ("a", float("nan"), True, 1), ("a", -3.0, True, 0), ("a", 9.0, True, 1), ("c", 0.5, False, 1)]
+    counts = isotonic.counted(spark.createDataFrame(rows, "key string, s double, fit boolean, y int"))
+    got = isotonic.calibrated(counts).toPandas()
+    assert counts.agg(F.sum("n")).first()[0] == len(rows) - 2 and got[got.key == "c"].p.isna().all()
+    for key in ("a", "b"):
+        mine = got[got.key == key]
+        fit = mine[mine.fit].sort_values("s")
+        n, y, s = fit.n.to_numpy(), fit.y.to_numpy(), fit.s.to_numpy()
+        want = [max(min(y[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(n))) for a in range(i + 1)) for i in range(len(n))]
+        assert np.allclose(fit.p, want, atol=1e-6) and len(n) > 50
+        rest = mine[~mine.fit]
+        assert np.allclose(rest.p, np.interp(rest.s, s, want), atol=1e-6)
+        knots = isotonic.bends(isotonic.calibrated(counts).where(f"fit and key = '{key}'"), 5).orderBy("x").collect()
+        assert len(knots) <= 7 and (knots[0].x, knots[-1].x) == (0.0, 1.0) and all(p.y <= q.y for p, q in zip(knots, knots[1:]))
