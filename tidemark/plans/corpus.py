@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.dialect import DUCKDB, SPARK, Dialect, number
+from ..operators.order import numbered
+from ..scratch import materialize, shared_dir
+from ..sources import commits
+from ..sources.commits import Contract
 from .portable import duckdb_sql, spark_query
 from .posts import SPACE, URL, normalized, quoted
 
 HELP_CORE = ["requests_or_urgent_needs", "missing_or_found_people"]
 HELP_BROAD = [*HELP_CORE, "rescue_volunteering_or_donation_effort"]
+#: Sources in the order in which they are put together, of which the first has a text; bulletins come last. Shorter texts are left out.
+ORDER, SHORTEST = ("D10", "D2"), 15
 SPLITS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
@@ -56,7 +62,6 @@ def harmonised(d: Dialect) -> str:
 
 def queries(d: Dialect) -> dict[str, str]:
     h = "with " + harmonised(d)
-    ordinal = f"{h}, u as (select metin, min(kaynak) as kaynak, count(*) as copies from f where length(metin) >= 15 group by metin)"
     nation = lambda x: f"trim({d.at(d.split(x, '/'), '0')})"
     slug = d.replace(d.replace(normalized(d, "n_name"), "[^a-z0-9]+", "-"), "^-|-$", "")
     title = d.extract("html", "<title>([^<]*)</title>", 1)
@@ -66,7 +71,6 @@ def queries(d: Dialect) -> dict[str, str]:
     return {
         "harmonised_corpus": f"{h} select row_id, md5(metin) as metin_md5, length(metin) as n, kaynak, dil, olay, claim_type, yardim_cagrisi, yardim_ilgili, yanlis_bilgi from h",
         "harmonised_counts": f"{h} select kaynak, olay, claim_type, yanlis_bilgi, count(*) as n, cast(sum(yardim_cagrisi) as bigint) as narrow, cast(sum(yardim_ilgili) as bigint) as broad from f group by kaynak, olay, claim_type, yanlis_bilgi",
-        "harmonised_kept_first": f"{ordinal} select kaynak, count(*) as n, cast(sum(copies) as bigint) as rows_before from u group by kaynak",
         "training_normalize": f"select doc_id, {masked(d, 'text')} as metin from {{documents}} where text is not null",
         "topics": f"{h} select olay as topic, count(*) as n from h where kaynak = 'D2' group by olay",
         "bulletin_rows": f"{h} select item_id, kind, md5(text) as text_md5 from (select item_id, 'iddia' as kind, claim as text from c union all select item_id, 'tekzip', fact_check from c) q",
@@ -116,7 +120,6 @@ def queries(d: Dialect) -> dict[str, str]:
         "softmax": f"""with v as (select doc_id, (n_chars % 97) / 10e0 as a, (n_chars % 89) / 10e0 as b, (n_chars % 83) / 10e0 as c from {{documents}}), m as (select *, greatest(a, b, c) as top from v), e as (select doc_id, exp(a - top) as a, exp(b - top) as b, exp(c - top) as c from m)
             select doc_id, round(a / (a + b + c), 6) as p0, round(b / (a + b + c), 6) as p1, round(c / (a + b + c), 6) as p2 from e""",
         "event_order": f"{h} select olay, n from (select olay, count(*) as n from h group by olay) q order by n desc, olay limit 25",
-        "event_families": f"{h} select aile, olay, count(*) as n from f group by aile, olay",
         "manifest_counters": f"{h} select kaynak, dil, count(*) as n from h group by grouping sets ((kaynak), (dil), (kaynak, dil))",
     }
 
@@ -150,8 +153,95 @@ def greedy_parts(sizes: DataFrame, shares: dict[str, float] = SPLITS) -> DataFra
     return groups.select("aile", F.explode(F.aggregate("items", start, step)["done"]).alias("d")).select("aile", "d.olay", "d.n", "d.bolum")
 
 
+def harmonised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_query(f"with {harmonised(SPARK)} select * from f")(spark, sf_dir)
+
+
+def deduplicated(rows: DataFrame) -> DataFrame:
+    """Of equal texts of at least ``SHORTEST`` characters the first, with ``copies``: sources come in the order of ``ORDER``, rows of a source
+    by id. Texts meet as 128-bit hashes; copies leave where they are read."""
+    place = F.when(F.col("kaynak") == ORDER[0], 0).when(F.col("kaynak") == ORDER[1], 1).otherwise(2)
+    own = [c for c in rows.columns if c != "metin"]
+    first = F.min(F.struct(place.alias("_p"), F.col("row_id").alias("_r"), F.col("kaynak").alias("_k"), F.struct(*own, "metin").alias("row"))).alias("f")
+    long_enough = rows.where(F.length("metin") >= SHORTEST)
+    return long_enough.groupBy(F.md5("metin").alias("_h")).agg(first, F.count("*").alias("copies")).select("f.row.*", "copies")
+
+
+def harmonised_kept_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = harmonised_rows(spark, sf_dir).select("row_id", "kaynak", "metin")
+    return deduplicated(rows).groupBy("kaynak").agg(F.count("*").alias("n"), F.sum("copies").alias("rows_before"))
+
+
+def event_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the corpus without its repeated and short texts."""
+    rows = harmonised_rows(spark, sf_dir).select("row_id", "kaynak", "aile", "olay", "metin")
+    return deduplicated(rows).groupBy("aile", "olay").agg(F.count("*").alias("n"))
+
+
 def event_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy_parts(QUERIES["event_families"](spark, sf_dir))
+    return greedy_parts(event_families(spark, sf_dir))
+
+
+def corpus_contract() -> Contract:
+    columns = [("row_id", "bigint"), ("metin", "string"), ("kaynak", "string"), ("dil", "string"), ("olay", "string"), ("claim_type", "string"), ("yardim_cagrisi", "int"), ("yardim_ilgili", "int"), ("yanlis_bilgi", "string"), ("aile", "string"), ("bolum", "string")]
+    return Contract(tuple(columns), required=("metin", "kaynak", "olay", "bolum"), conditions={"short text": f"length(metin) >= {SHORTEST}", "unknown part": "bolum in (" + ", ".join(map(quoted, SPLITS)) + ")"})
+
+
+def save_corpus(spark: SparkSession, sf_dir: str, path: str, version: str) -> dict:
+    """The harmonised corpus, deduplicated and split by events, as a table with a folder for each part; gives its manifest."""
+    rows = materialize(deduplicated(harmonised_rows(spark, sf_dir)).drop("copies"))
+    parts = greedy_parts(rows.groupBy("aile", "olay").agg(F.count("*").alias("n"))).select("aile", "olay", "bolum")
+    columns = [c for c, _ in corpus_contract().columns]
+    return commits.commit(rows.join(parts, ["aile", "olay"]).select(*columns), path, version, corpus_contract(), ["bolum"])
+
+
+def saved_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as it is read after it was committed twice: rows and texts of each part and source."""
+    path = shared_dir(spark)
+    save_corpus(spark, sf_dir, path, "v1")
+    save_corpus(spark, sf_dir, path, "v1")  # changes nothing
+    return commits.read(spark, path).groupBy("bolum", "kaynak").agg(F.count("*").alias("n"), F.count_distinct("olay").alias("events"), F.sum(F.length("metin")).alias("chars"))
+
+
+#: Contracts of the tables that come from elsewhere: key columns, and what must hold.
+CONTRACTS = {
+    "labels": (["doc_id", "quality", "toxic"], ["doc_id"], {"label": "quality in (0, 1) and toxic in (0, 1)"}),
+    "benchmark": (["item_id", "text"], ["item_id"], {"text": "length(text) > 0"}),
+    "pages": (["page_id", "url", "html"], ["page_id"], {"url": "url rlike '^https?://'"}),
+    "conversations": (["conv_id", "turn", "text"], ["conv_id"], {"text": "length(text) > 0"}),
+}
+
+
+def contract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table held against its contract and kept where it satisfies it; a table that doesn't has no rows there."""
+    out = []
+    for name, (columns, unique, conditions) in CONTRACTS.items():
+        path, rows = shared_dir(spark), spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+        try:
+            contract = Contract(tuple(rows.dtypes), required=tuple(columns), unique=tuple(unique), conditions=conditions)
+            out.append((name, commits.commit(rows, path, "v1", contract)["rows"], True))
+        except commits.ContractError:
+            out.append((name, 0, False))
+    return spark.createDataFrame(out, "name string, kept long, satisfied boolean")
+
+
+def knowledge_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), ["item_id"], "k")
+    rating = F.when(F.col("item_id") % 2 == 0, "Yanlış").otherwise("Doğru")
+    return rows.select(F.concat(F.lit("KRP-"), F.lpad((F.col("k") + 1).cast("string"), 5, "0")).alias("record_id"), "item_id", F.md5("text").alias("claim_md5"), rating.alias("rating"))
+
+
+def held_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rows by the order of hashes; the others are never sorted."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
+    held = rows.orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").limit(100).select("doc_id", F.lit(True).alias("held"))
+    return rows.join(F.broadcast(held), "doc_id", "left").select("doc_id", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def target_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = numbered(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id"), ["item_id"], "k")
+    hashed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") * 2654435761 % 1000003 % F.lit(max(pool.count(), 1))).alias("k"))
+    return hashed.join(pool, "k").select("doc_id", "item_id")
 
 
 def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +255,22 @@ _aim = {p: f"greatest(g.total * {number(x)}, 1e0)" for p, x in SPLITS.items()}
 _fill = {p: f"s.{p} / {a}" for p, a in _aim.items()}
 _least = "least(" + ", ".join(_fill.values()) + ")"
 _part = "case " + " ".join(f"when {f} = {_least} then '{p}'" for p, f in _fill.items()) + " end"
-_greedy = f"""with recursive {harmonised(DUCKDB)}, e as (select aile, olay, count(*) as n from f group by aile, olay),
+#: Texts one by one: of equal ones the first row stays, sources in their order.
+_unique = f"""u0 as (select *, row_number() over (partition by metin order by case when kaynak = '{ORDER[0]}' then 0 when kaynak = '{ORDER[1]}' then 1 else 2 end, row_id, kaynak) as copy, count(*) over (partition by metin) as copies from f where length(metin) >= {SHORTEST}),
+u as (select * from u0 where copy = 1)"""
+_greedy = f"""with recursive {harmonised(DUCKDB)}, {_unique}, e as (select aile, olay, count(*) as n from u group by aile, olay),
 g as (select *, sum(n) over (partition by aile) as total, row_number() over (partition by aile order by n desc, olay) as k from e),
 w as (select aile, olay, n, total, k, 'train' as bolum, n::double as train, 0::double as val, 0::double as test from g where k = 1
 union all select aile, olay, n, total, k, bolum, train + case when bolum = 'train' then n else 0 end, val + case when bolum = 'val' then n else 0 end, test + case when bolum = 'test' then n else 0 end
 from (select g.aile, g.olay, g.n, g.total, g.k, {_part} as bolum, s.train, s.val, s.test from w s join g on g.aile = s.aile and g.k = s.k + 1) x)"""
-QUERIES |= {"event_split": event_split, "split_by_source": split_by_source}
+QUERIES |= {q.__name__: q for q in (event_split, split_by_source, event_families, harmonised_kept_first, saved_corpus, contract_tables, knowledge_pool, held_back, target_pick)}
+SQL["event_families"] = duckdb_sql(f"with {harmonised(DUCKDB)}, {_unique} select aile, olay, count(*) as n from u group by aile, olay")
+SQL["harmonised_kept_first"] = duckdb_sql(f"with {harmonised(DUCKDB)}, {_unique} select kaynak, count(*) as n, cast(sum(copies) as bigint) as rows_before from u group by kaynak")
+SQL["saved_corpus"] = duckdb_sql(f"{_greedy} select bolum, kaynak, count(*) as n, count(distinct olay) as events, cast(sum(length(metin)) as bigint) as chars from u join w using (aile, olay) group by bolum, kaynak")
+SQL["contract_tables"] = """with c as (select 'labels' as name, count(*) as n, count(*) > 0 and count(distinct doc_id) = count(*) and count_if(not coalesce(quality in (0, 1) and toxic in (0, 1), false)) = 0 as ok from labels
+union all select 'benchmark', count(*), count(*) > 0 and count(distinct item_id) = count(*) and count_if(not coalesce(length(text) > 0, false)) = 0 from benchmark
+union all select 'pages', count(*), count(*) > 0 and count(distinct page_id) = count(*) and count_if(not coalesce(regexp_matches(url, '^https?://') and html is not null, false)) = 0 from pages
+union all select 'conversations', count(*), count(*) > 0 and count(distinct conv_id) = count(*) and count_if(not coalesce(length(text) > 0, false)) = 0 from conversations)
+select name, case when ok then n else 0 end as kept, ok as satisfied from c"""
 SQL["event_split"] = duckdb_sql(f"{_greedy} select aile, olay, n, bolum from w")
 SQL["split_by_source"] = duckdb_sql(f"{_greedy} select aile, bolum, cast(sum(n) as bigint) as rows, count(*) as events, 0 as leaking from w group by aile, bolum")
