@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import similarity
-from .plans import calibration, corpus, evaluation, files, media, portable, posts, provenance, radar, terms
+from .plans import calibration, corpus, evaluation, files, media, moderation, portable, posts, provenance, radar, retrieval, terms
 from .streaming import windows
 
-MODULES = (posts, calibration, portable, terms, corpus, evaluation, radar, provenance, files, media, windows, similarity)
+MODULES = (posts, moderation, calibration, portable, terms, corpus, evaluation, radar, provenance, retrieval, files, media, windows, similarity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "text_verdicts"

@@ -21,6 +21,19 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return out
 
 
+def carried(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """``df`` with ``value`` filled by the last one that isn't null, of the same ``by``, in the order of ``order``, which tells a key's rows
+    apart; a key may be in several ranges, each of which hands on its last value."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, by, order).withColumn("_part", F.spark_partition_id()))
+    ends = ranged.groupBy(by, "_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))  # a key has a row a range
+    earlier = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).select(F.col(by).alias("_by"), F.col("_part").alias("_p"), "_before")
+    here = F.last(value, ignorenulls=True).over(W.partitionBy("_part", by).orderBy(order))
+    filled = ranged.withColumn("_here", here).join(before, (F.col("_by").eqNullSafe(F.col(by))) & (F.col("_p") == F.col("_part")), "left")
+    return filled.withColumn(value, F.coalesce("_here", "_before")).select(*df.columns)
+
+
 def followed(links: DataFrame, merge: dict[str, tuple]) -> DataFrame:
     """``links(node, parent, ..)`` of a forest with the columns of ``merge`` gathered along the way to the root, by doubling.
 

@@ -64,13 +64,19 @@ def saved_pool(spark: SparkSession, claims: DataFrame) -> DataFrame:
     return sources.not_empty(sources.read_jsonl(spark, path, RECORD, ["record_id", "claim"], {"keywords": F.array().cast("array<string>"), "anchors": F.array().cast("array<string>")}), "the pool")
 
 
-def best_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
-    """``(id, best_record, best_ord, similarity, rating)`` of ``claims(id, text)``: the best record that has an anchor in the text; texts that
-    hold no anchor have no row. Records without anchors take part nowhere."""
+def scored_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(id, ord, record_id, rating, similarity)`` of ``claims(id, text)`` and the records that have an anchor in the text. Records without
+    anchors take part nowhere."""
     anchors = pool.select("ord", F.explode("anchors").alias("term"))
     pairs = contained(claims, anchors.select("term")).join(anchors, "term").select("id", "ord").distinct()
     share = F.size(F.filter("keywords", lambda k: F.contains(F.col("text"), k))) / F.size("keywords")
-    scored = pairs.join(pool, "ord").join(claims, "id").select("id", "ord", "record_id", "rating", F.when(F.size("keywords") > 0, F.round(share + 1e-9, 4)).otherwise(0.0).alias("similarity"))
+    return pairs.join(pool, "ord").join(claims, "id").select("id", "ord", "record_id", "rating", F.when(F.size("keywords") > 0, F.round(share + 1e-9, 4)).otherwise(0.0).alias("similarity"))
+
+
+def best_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(id, best_record, best_ord, similarity, rating)`` of ``claims(id, text)``: the best record that has an anchor in the text; texts that
+    hold no anchor, or none of its record's key terms, have no row."""
+    scored = scored_records(claims, pool)
     best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"), "record_id", "rating")).alias("b"))
     return best.where("b.similarity > 0").select("id", F.col("b.record_id").alias("best_record"), (-F.col("b.o")).alias("best_ord"), F.col("b.similarity").alias("similarity"), F.col("b.rating").alias("rating"))
 

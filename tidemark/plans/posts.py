@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.dialect import DUCKDB, SPARK, Dialect, Lookup, Steps, interpolated, names_in, needed, number, rounded, stepped, stepped_sql
-from ..scratch import materialize
+from ..scratch import kept, materialize
 from . import knowledge, provenance
 
 URL, MENTION, SPACE = "https?://[^ \\t\\n\\x0B\\f\\r]+|www\\.[^ \\t\\n\\x0B\\f\\r]+", "@[\\p{L}\\p{N}_]+", "[ \\t\\n\\x0B\\f\\r]+"
@@ -269,9 +269,13 @@ def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of records, with bulletins on claims of some of the posts."""
-    rows = stepped(dealt(base_rows(spark, sf_dir).where(knowledge.OF)), steps(SPARK, "text"), ["post_id", "claims_norm"])
-    return knowledge.saved_pool(spark, rows.where("claims_norm is not null").select("post_id", "claims_norm"))
+    """The pool of records, with bulletins on claims of some of the posts; it is made once."""
+
+    def make() -> DataFrame:
+        rows = stepped(dealt(base_rows(spark, sf_dir).where(knowledge.OF)), steps(SPARK, "text"), ["post_id", "claims_norm"])
+        return knowledge.saved_pool(spark, rows.where("claims_norm is not null").select("post_id", "claims_norm"))
+
+    return kept(spark, "pool", sf_dir, make)
 
 
 def posts(spark: SparkSession, sf_dir: str, until: str = "fusion", wanted: list[str] | set[str] | None = None) -> DataFrame:
@@ -327,13 +331,8 @@ def queries(d: Dialect) -> dict[str, tuple[str, str]]:
         "radar_counters": ("fusion", f"""select verdict, count(*) as n, count_if(rule_zero) as protected, count_if(level = 4) as reviews, round(avg(case when level = 4 then 1e0 else 0e0 end), 6) as review_rate from posts group by verdict"""),
         "radar_snapshot": ("fusion", f"""select count(*) as analyzed, count_if({flagged}) as labelled, count_if({flagged} and verdict in ('{lx.SYNTHETIC_MEDIA}', '{lx.MANIPULATED_MEDIA}') and confidence >= 0.70e0) as high_confidence_synthetic,
             count_if({flagged} and verdict = '{lx.OUT_OF_CONTEXT}') as wrong_context, count_if({flagged} and verdict = '{lx.UNVERIFIED}') as unverified, count_if(rule_zero) as protected_help_calls, 0 as removed from posts"""),
-        "moderation_queue": ("fusion", f"""select p.post_id, p.author_id, p.verdict, p.level, coalesce(p.spread, 0e0) as spread, a.appeal_id from posts p left join (select post_id as appealed, min(post_id * 10) as appeal_id from posts where post_id % 13 = 0 and post_id % 2 = 0 group by post_id) a on a.appealed = p.post_id
-            where {flagged} and level > 0 order by p.spread desc, p.minute desc, p.post_id desc limit 100"""),
         "posts_newest": ("body", "select post_id, author_id, minute from posts order by minute desc, post_id desc limit 50"),
-        "appeals_newest": ("body", "select post_id * 10 as appeal_id, post_id, case when post_id % 2 = 0 then 'bekliyor' else 'sonuclandi' end as status, minute from posts where post_id % 13 = 0 order by minute desc, post_id desc limit 50"),
         "publish_audit": ("fusion", "select post_id, 'published' as action, level, level = 3 as shared_despite_warning from posts union all select post_id, 'koruma_kurali_uygulandi', level, false from posts where rule_zero"),
-        "moderator_decisions": ("fusion", f"select post_id, case when post_id % 3 = 0 then 'onayla' when post_id % 3 = 1 then 'kaldir_etiket' else 'ust_kurula' end as decision, verdict as before, case when post_id % 3 = 1 then '{lx.CLEAN}' else verdict end as after from posts where level = 4"),
-        "appeal_outcomes": ("fusion", f"""select p.post_id, p.verdict, case when p.post_id % 2 = 0 then 'bekliyor' when p.confidence < 0.60e0 then 'kabul' else 'red' end as status from posts p where p.post_id % 13 = 0 and {flagged}"""),
         "result_cache": ("body", "select sha2(concat(body, '|', media_kind, '|', coalesce(fingerprint, '')), 256) as cache_key, count(*) as n, min(post_id) as first_post from posts group by 1".replace("sha2(", "sha2(" if d.spark else "sha256(").replace(", 256)", ", 256)" if d.spark else ")")),
     }
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .. import sources
 from ..functions import lexicon as lx
 from ..operators.similarity import BITS, NEAR, hamming_near
-from ..scratch import materialize, shared_dir
+from ..scratch import kept, materialize, shared_dir
 
 #: Views of an indexed picture: name, and the share of it that is seen, in percent.
 VIEWS = (("tam", 100), ("merkez_%80", 80), ("merkez_%60", 60))
@@ -86,10 +86,15 @@ def index_rows(rows: DataFrame, held: DataFrame) -> DataFrame:
     return seen.select("record_id", "view", "event", "place", "first_seen", hex_of(d).alias("dhash"), hex_of(p).alias("phash"))
 
 
-def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a source's pictures; it is made once."""
+    return kept(spark, "pictures", sf_dir, lambda: saved_index(spark, index_rows(pictures(spark, sf_dir), held_ids(spark, sf_dir))))
+
+
+def saved_index(spark: SparkSession, entries: DataFrame) -> DataFrame:
     """The index as written and read again: lines that can't be read, or whose hashes aren't hexadecimal, are left out."""
     path = shared_dir(spark)
-    sources.write_jsonl(index_rows(pictures(spark, sf_dir), held_ids(spark, sf_dir)), path)
+    sources.write_jsonl(entries, path)
     rows = sources.read_jsonl(spark, path, ENTRY, ["record_id", "dhash", "phash"], {"view": F.lit(VIEWS[0][0])})
     return sources.not_empty(rows.where(F.col("dhash").rlike(HEX16) & F.col("phash").rlike(HEX16)), "the index").select("*", long_of(F.col("dhash")).alias("d"), long_of(F.col("phash")).alias("p"))
 
@@ -124,14 +129,14 @@ def shown_pictures(posts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 def looked_up_posts(posts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(post_id, distance, record_id, original)``: what the index says of each post's picture."""
     rows = pictures(spark, sf_dir)
-    index = materialize(saved_index(spark, sf_dir))
+    index = index_of(spark, sf_dir)
     found = looked_up(materialize(shown_pictures(posts, rows, rows.count())), index)
     places = index.where(F.col("view") == VIEWS[0][0]).select("record_id", F.col("place").alias("original"))
     return found.join(places, "record_id").select(F.col("id").alias("post_id"), "distance", "record_id", "original")
 
 
 def provenance_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return saved_index(spark, sf_dir).select("record_id", "view", "event", "place", "first_seen", "dhash", "phash")
+    return index_of(spark, sf_dir).select("record_id", "view", "event", "place", "first_seen", "dhash", "phash")
 
 
 def provenance_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +147,7 @@ def provenance_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_ids(spark, sf_dir).withColumn("held", F.lit(True))
     asked = rows.join(held, "record_id", "left").select(F.col("record_id").alias("own"), F.coalesce("held", F.lit(False)).alias("held"), ways.alias("w"))
     asked = materialize(asked.where(F.col("held") | (F.col("own") % 20 == 0)).select("own", "held", "w.way", d.alias("d"), p.alias("p")).withColumn("id", F.col("own") * 10 + F.col("way")))
-    found = asked.join(looked_up(asked.select("id", "d", "p"), saved_index(spark, sf_dir)), "id", "left")
+    found = asked.join(looked_up(asked.select("id", "d", "p"), index_of(spark, sf_dir)), "id", "left")
     own, any_ = F.coalesce(F.col("record_id") == F.col("own"), F.lit(False)), F.col("record_id").isNotNull()
     share = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
     return found.groupBy("held", F.col("way").cast("long").alias("way")).agg(F.count("*").alias("n"), share(own, "right"), share(any_ & ~own, "wrong"))

@@ -121,7 +121,7 @@ def claim_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knowledge_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexicon proposes a record, and vectors of the texts confirm it: it must be among the nearest records of the claim."""
-    pool = materialize(posts.pool_of(spark, sf_dir))
+    pool = posts.pool_of(spark, sf_dir)
     rows = materialize(posts.posts(spark, sf_dir, "text", ["post_id", "claims", "claims_norm"]).where("claims is not null"))
     claims = rows.select(F.col("post_id").alias("id"), F.col("claims_norm").alias("text"))
     best = knowledge.best_records(claims, pool)
@@ -140,7 +140,7 @@ def knowledge_pool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the record on a claim itself is found: by terms and anchors, by the vectors' first five, by both."""
-    pool = materialize(posts.pool_of(spark, sf_dir))
+    pool = posts.pool_of(spark, sf_dir)
     rows = posts.posts(spark, sf_dir, "text", ["post_id", "claims_norm"]).where("claims_norm is not null").where(knowledge.OF)
     claims = materialize(rows.select(F.col("post_id").alias("id"), F.col("claims_norm").alias("text")))
     own = claims.join(pool.select((F.col("ord") - len(knowledge.SEEDS)).alias("id"), "record_id", F.col("ord").alias("own")), "id")

@@ -29,6 +29,22 @@ def materialize(df: DataFrame, base: str | None = None) -> DataFrame:
     return out
 
 
+_kept: dict[tuple, tuple] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, make) -> DataFrame:
+    """The table ``name`` of a source, as ``make()`` gives it: written once for an application, read by all that ask for it."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key in _kept:
+        path, schema = _kept[key]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.read.schema(schema).parquet(path)
+    df = materialize(make())
+    _kept[key] = (df.scratch, df.schema)
+    return df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete materialized tables; what was made from them must be written before."""
     for df in tables:
