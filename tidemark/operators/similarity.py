@@ -7,6 +7,7 @@ is found again after changes: as it is, and with 4, 9 and 14 bits changed.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import materialize
+
 EVERY, K = 20, 5
 #: Rows of a block of vectors and of a block of queries, which meet in a task; and the queries that it compares at a time.
 ROWS, QUERIES_EACH, AT_ONCE = 16384, 8192, 512
+#: Lists at most, rows that centres are fitted on, and lists that a query looks through first.
+LISTS, SAMPLE, PROBES = 4096, 20_000, 8
 #: Bits of a hash and the distance that still matches. Of PARTS parts of a hash, one at least differs by RADIUS bits at most.
 BITS, NEAR, PARTS, RADIUS = 64, 10, 4, 2
 #: Views of a query and how many of its bits each changes.
@@ -62,9 +67,154 @@ def cosine_top(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class Lists:
+    """Inverted lists of unit vectors around centres, for look-ups that skip what cannot be near.
+
+    Centres are fitted on at most ``SAMPLE`` rows; every row is in the list of its nearest centre. Lists that lie near each other make
+    a block of about ``ROWS`` rows. Of a list its centre, radius and size are known to the driver, at most ``LISTS`` of them.
+    """
+
+    def __init__(self, rows: DataFrame):
+        n = rows.count()
+        self.dim = 0
+        few = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, n // SAMPLE))) == 0).select("embedding").limit(SAMPLE).collect()
+        some = unit(np.array([r.embedding for r in few], float)) if few else np.zeros((0, 1))
+        self.centres = fitted_centres(some, max(1, min(LISTS, len(some), int(n**0.5))))
+        centres = self.centres
+
+        def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                x = unit(np.stack(p["embedding"].to_list()).astype(float))
+                likeness = x @ centres.T
+                best = likeness.argmax(axis=1)
+                yield pd.DataFrame({"vec_id": p["vec_id"], "v": list(x), "list": best.astype(np.int32), "angle": angle(likeness[np.arange(len(x)), best])})
+
+        self.rows = materialize(rows.select("vec_id", "embedding").mapInPandas(listed, "vec_id long, v array<double>, list int, angle double"))
+        told = self.rows.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row a list
+        self.size, self.radius = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+        for r in told:
+            self.size[r.list], self.radius[r.list] = r.n, r.radius
+        self.block = np.zeros(len(centres), np.int32)
+        chain = chained(centres)
+        self.block[chain] = (np.cumsum(self.size[chain]) - self.size[chain]) // ROWS
+
+    def ask(self, queries: DataFrame, wanted) -> DataFrame:
+        """``(query_id, q, block, lists)`` of ``queries(query_id, q, ..)``: the lists that ``wanted(part, likeness)`` marks, by block."""
+        centres, block, size = self.centres, self.block, self.size
+
+        def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                marked = wanted(p, angle(np.stack(p["q"].to_list()) @ centres.T)) & (size > 0)
+                for b in np.unique(block[marked.any(axis=0)]).tolist():
+                    own = marked & (block == b)
+                    at = np.flatnonzero(own.any(axis=1))
+                    yield pd.DataFrame({"query_id": p["query_id"].iloc[at], "q": p["q"].iloc[at], "block": b, "lists": [np.flatnonzero(own[k]).tolist() for k in at]})
+
+        return queries.mapInPandas(plan, "query_id long, q array<double>, block int, lists array<int>")
+
+    def compare(self, asked: DataFrame, k: int) -> DataFrame:
+        """``(query_id, vec_id, cosine)``: of each question the best ``k`` of each part of a block, which meets at most ``QUERIES_EACH`` questions."""
+        block = F.element_at(F.lit(self.block.tolist()), F.col("list") + 1)
+        parts = max(1, -(-asked.count() // max(1, QUERIES_EACH * (int(self.block.max()) + 1))))
+        q = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        r = self.rows.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+            if len(q) and len(r):
+                r = r.sort_values(["list", "vec_id"])
+                x, ids, lists = np.stack(r["v"].to_list()), r["vec_id"].to_numpy(), r["list"].to_numpy()
+                v, own = np.stack(q["q"].to_list()), q["query_id"].to_numpy()
+                pairs = sorted((c, i) for i, some in enumerate(q["lists"]) for c in some)
+                cut = [0, *(j for j in range(1, len(pairs)) if pairs[j][0] != pairs[j - 1][0]), len(pairs)]
+                for a, b in zip(cut, cut[1:]):
+                    lo, hi = np.searchsorted(lists, [pairs[a][0], pairs[a][0] + 1])
+                    for begin in range(a, b, AT_ONCE):
+                        at = np.array([i for _, i in pairs[begin : min(b, begin + AT_ONCE)]])
+                        likeness = np.round(v[at] @ x[lo:hi].T, 4)
+                        likeness[own[at][:, None] == ids[lo:hi][None, :]] = -2
+                        least = np.partition(likeness, max(0, hi - lo - k), axis=1)[:, max(0, hi - lo - k)] if hi > lo else None
+                        i, j = np.nonzero((likeness >= least[:, None]) & (likeness > -2))
+                        found.append(pd.DataFrame({"query_id": own[at][i], "vec_id": ids[lo:hi][j], "cosine": likeness[i, j]}))
+            out = pd.concat(found).sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True])
+            return out.groupby("query_id").head(k)
+
+        return q.groupBy("block", "part").cogroup(r.groupBy("block", "part")).applyInPandas(best, "query_id long, vec_id long, cosine double")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def fitted_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; begins at evenly spaced rows, and a centre without rows stays."""
+    if not len(x):
+        return np.ones((1, x.shape[1]))
+    centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        some = np.linalg.norm(sums, axis=1) > 0
+        centres[some] = unit(sums[some])
+    return centres
+
+
+def chained(centres: np.ndarray) -> np.ndarray:
+    """The centres' places, each followed by the nearest that is left."""
+    likeness, left, out = centres @ centres.T, np.ones(len(centres), bool), [0]
+    left[0] = False
+    while left.any():
+        out.append(int(np.where(left, likeness[out[-1]], -np.inf).argmax()))
+        left[out[-1]] = False
+    return np.array(out)
+
+
+def cosine_top_listed(rows: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``cosine_top`` gives, exactly, and the pairs that it took: ``(result, first, asked)``.
+
+    Each query looks through the ``probes`` lists whose centres are nearest; these alone are ``first``, the approximate answer. The
+    angle of its k-th neighbour there bounds what else can count: by the triangle inequality no vector of a list is nearer than
+    the list's centre less its radius. The lists that this leaves are looked through, too. ``asked(query_id, pairs)`` has the
+    number of vectors that each query was compared with. Vectors that are spread evenly leave all lists, so that this is no
+    more than an exact search by blocks; the more they cluster, the fewer lists are left.
+    """
+    lists = Lists(rows)
+    asking = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    asking = materialize(asking.withColumn("length", F.greatest(length, F.lit(1e-300))).select("query_id", F.transform("v", lambda x: x / F.col("length")).alias("q")))
+    size, radius = lists.size, lists.radius
+
+    def nearest(_: pd.DataFrame, angles: np.ndarray) -> np.ndarray:
+        filled = np.where(size > 0, angles, np.inf)
+        some = np.argsort(filled, axis=1, kind="stable")[:, :probes]
+        out = np.zeros(angles.shape, bool)
+        np.put_along_axis(out, some, True, axis=1)
+        return out
+
+    def open_(part: pd.DataFrame, angles: np.ndarray) -> np.ndarray:
+        reach = angle(part["least"].to_numpy()[:, None] - 6e-5)  # cosines are ranked as they are rounded
+        return (angles - radius <= reach) & ~nearest(part, angles)
+
+    order = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    probed = materialize(lists.ask(asking, nearest))
+    first = materialize(lists.compare(probed, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    bound = first.where(F.col("rank") == k).select("query_id", F.col("cosine").alias("least"))
+    rest = materialize(lists.ask(asking.join(bound, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))), open_))
+    both = first.drop("rank").union(lists.compare(rest, k)) if not rest.isEmpty() else first.drop("rank")
+    result = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = F.aggregate(F.transform("lists", lambda c: F.element_at(F.lit(size.tolist()), c + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    pairs = probed.union(rest).groupBy("query_id").agg(F.sum(held).alias("pairs"))
+    return result, first, pairs
+
+
 def cosine_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    return cosine_top(rows, rows.where(F.col("vec_id") % EVERY == 0))
+    return cosine_top_listed(rows, rows.where(F.col("vec_id") % EVERY == 0))[0]
 
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +229,17 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cosine_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inverted lists save: queries, the share of all pairs that they took, and the recall of the probed lists alone."""
+    rows = vectors(spark, sf_dir)
+    queries = rows.where(F.col("vec_id") % EVERY == 0)
+    result, first, pairs = cosine_top_listed(rows, queries)
+    found = result.join(first.select("query_id", "vec_id", F.lit(1).alias("probed")), ["query_id", "vec_id"], "left")
+    recall = found.agg(F.round(F.avg(F.coalesce("probed", F.lit(0)).cast("double")), 6).alias("recall_of_probes"))
+    share = F.round(F.sum("pairs") / (F.count("*") * F.lit(max(1, rows.count()))), 6).alias("share_of_pairs")
+    return pairs.agg(F.count("*").alias("queries"), share).crossJoin(recall)  # single rows
+
+
 def sign_hash(v: Column, bits: int = BITS) -> Column:
     """A hash of 64 bits: the signs of the first numbers of a vector, the first one in the highest bit."""
     signs = F.transform(F.slice(v, 1, bits), lambda x: F.when(x > 0, 1).otherwise(0))
@@ -178,7 +339,7 @@ def similarity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each query: the best cosine, its lead over the tenth, and its distance from the mean of the best 200 in deviations."""
     rows = vectors(spark, sf_dir)
-    top = cosine_top(rows, rows.where(F.col("vec_id") % EVERY == 0), 200)
+    top = cosine_top_listed(rows, rows.where(F.col("vec_id") % EVERY == 0), 200)[0]
     one = top.groupBy("query_id").agg(F.max("cosine").alias("top1"), F.max(F.when(F.col("rank") == 10, F.col("cosine"))).alias("tenth"), F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("deviation"))
     return one.select("query_id", "top1", F.round(F.col("top1") - F.col("tenth"), 4).alias("lead"), F.round((F.col("top1") - F.col("mean")) / (F.col("deviation") + 1e-9), 4).alias("z"))
 
@@ -189,7 +350,7 @@ def low_information_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", F.lpad(F.lower(F.hex(h)), 16, "0").alias("hash"), (F.bit_count(h) < 12).alias("abstains"))
 
 
-QUERIES = {q.__name__: q for q in (cosine_top5, retrieval_recall, hamming_within_10, low_information_hashes, nearest_records, view_recall, false_matches, distance_sweep, similarity_sweep, separation)}
+QUERIES = {q.__name__: q for q in (cosine_top5, cosine_lists, retrieval_recall, hamming_within_10, low_information_hashes, nearest_records, view_recall, false_matches, distance_sweep, similarity_sweep, separation)}
 _TOP = f"""with c as (select q.vec_id as query_id, r.vec_id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 4) as cosine, r.label = q.label as same
 from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % {EVERY} = 0),
 t as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from c) """
