@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions import unicode
 from ..functions.dialect import DUCKDB, SPARK, Dialect, number
 from ..operators.order import numbered
 from ..scratch import materialize, shared_dir
@@ -231,6 +232,12 @@ def knowledge_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("KRP-"), F.lpad((F.col("k") + 1).cast("string"), 5, "0")).alias("record_id"), "item_id", F.md5("text").alias("claim_md5"), rating.alias("rating"))
 
 
+def comparable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as they are compared: case folded, decomposed, without marks; only their hash and length are kept."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    return rows.select("conv_id", "turn", unicode.comparable(F.col("text")).alias("t")).select("conv_id", "turn", F.length("t").cast("long").alias("n"), F.md5("t").alias("md5"))
+
+
 def held_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred rows by the order of hashes; the others are never sorted."""
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
@@ -263,7 +270,7 @@ g as (select *, sum(n) over (partition by aile) as total, row_number() over (par
 w as (select aile, olay, n, total, k, 'train' as bolum, n::double as train, 0::double as val, 0::double as test from g where k = 1
 union all select aile, olay, n, total, k, bolum, train + case when bolum = 'train' then n else 0 end, val + case when bolum = 'val' then n else 0 end, test + case when bolum = 'test' then n else 0 end
 from (select g.aile, g.olay, g.n, g.total, g.k, {_part} as bolum, s.train, s.val, s.test from w s join g on g.aile = s.aile and g.k = s.k + 1) x)"""
-QUERIES |= {q.__name__: q for q in (event_split, split_by_source, event_families, harmonised_kept_first, saved_corpus, contract_tables, knowledge_pool, held_back, target_pick)}
+QUERIES |= {q.__name__: q for q in (event_split, split_by_source, event_families, harmonised_kept_first, saved_corpus, contract_tables, knowledge_pool, comparable_texts, held_back, target_pick)}
 SQL["event_families"] = duckdb_sql(f"with {harmonised(DUCKDB)}, {_unique} select aile, olay, count(*) as n from u group by aile, olay")
 SQL["harmonised_kept_first"] = duckdb_sql(f"with {harmonised(DUCKDB)}, {_unique} select kaynak, count(*) as n, cast(sum(copies) as bigint) as rows_before from u group by kaynak")
 SQL["saved_corpus"] = duckdb_sql(f"{_greedy} select bolum, kaynak, count(*) as n, count(distinct olay) as events, cast(sum(length(metin)) as bigint) as chars from u join w using (aile, olay) group by bolum, kaynak")
