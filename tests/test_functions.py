@@ -2,15 +2,19 @@
 
 import math
 import os
+import re
 import subprocess
 import sys
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark import sources
+from tidemark.functions import dialect
 from tidemark.functions import lexicon as lx
 from tidemark.functions.dialect import SPARK, interpolated, stepped
 from tidemark.operators import graph, similarity
@@ -45,6 +49,23 @@ def test_verdicts_of_texts(judged):
     assert unverified.knowledge == lx.CONTRADICTS and unverified.verdict == lx.UNVERIFIED and unverified.level == 1
 
 
+PATTERNS = sorted({p for some in [*lx.LABELS.values(), lx.HELP_CALL, lx.HELP_CALL_NEGATIVES, lx.DEBUNK] for p, _ in some} | {p for some in lx.CLAIMS.values() for p in some} | {*lx.ABSOLUTE, *lx.RUMOUR, lx.MAGNITUDE})
+
+
+@given(st.sampled_from(PATTERNS).flatmap(lambda p: st.tuples(st.just(p), st.from_regex(re.compile(p, re.ASCII)))))
+@settings(max_examples=1500, deadline=None)
+def test_matches_hold_a_literal_that_they_need(case):
+    pattern, match = case
+    needs = dialect.necessary(pattern)
+    assert needs is None or any(x in match for x in needs)
+
+
+def test_literals_of_patterns():
+    known = {"herkes\\s+kac": {"herkes"}, "kacin\\b|kaciniz\\b": {"kacin"}, "a+b": None, "(?:abc)?def": {"def"}, "(?:abc|x)def": {"def"}, "(?:abc)+": {"abc"}, "abcd?": {"abc"}, "[abc]def|gh": None}
+    assert {p: (set(n) if (n := dialect.necessary(p)) else None) for p in known} == known
+    assert sum(dialect.necessary(p) is not None for p in PATTERNS) > 0.8 * len(PATTERNS)
+
+
 def test_claim_fields(judged):
     (r,) = judged(["AFAD açıkladı: İstanbul'da 7.4 büyüklüğünde İKİNCİ Büyük Deprem bekleniyor, 6 saat içinde! Kesin bilgi."])
     assert (r.city, r.magnitude, r.time_expr, r.source, r.certainty) == ("İstanbul", "7,4", "6 saat içinde", "AFAD", "mutlak")

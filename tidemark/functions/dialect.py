@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import re._parser as parser
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -131,6 +132,30 @@ def interpolated(x: str, knots: list[tuple[float, float]]) -> str:
     return rounded(f"(case {' '.join(whens)} else {number(knots[-1][1])} end)")
 
 
+def necessary(pattern: str, least: int = 3) -> frozenset[str] | None:
+    """Literals of which every match of a pattern holds at least one, as long ones as there are; none if that can't be told."""
+
+    def of(parsed) -> frozenset[str] | None:
+        found, run = [], ""
+        for kind, value in [*parsed, (None, None)]:
+            if kind is parser.LITERAL and "'" != chr(value):
+                run += chr(value)
+                continue
+            if len(run) >= least:
+                found.append(frozenset({run}))
+            run = ""
+            if kind is parser.SUBPATTERN:
+                found.append(of(value[-1]))
+            elif kind is parser.MAX_REPEAT and value[0] >= 1:
+                found.append(of(value[-1]))
+            elif kind is parser.BRANCH:
+                branches = [of(b) for b in value[1]]
+                found.append(None if None in branches else frozenset().union(*branches))
+        return max((f for f in found if f), key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+    return of(parser.parse(pattern))
+
+
 def names_in(sql: str) -> set[str]:
     """All names in an expression or query, in lower case; text in quotes has none."""
     return {n.lower() for n in re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", " ", sql))}

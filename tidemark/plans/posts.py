@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.dialect import DUCKDB, SPARK, Dialect, Lookup, Steps, interpolated, names_in, needed, number, rounded, stepped, stepped_sql
+from ..functions.dialect import DUCKDB, SPARK, Dialect, Lookup, Steps, interpolated, names_in, necessary, needed, number, rounded, stepped, stepped_sql
 from ..scratch import kept, materialize
 from . import knowledge, provenance
 
@@ -46,10 +46,9 @@ def standard_suffixes(d: Dialect, norm: str) -> str:
 
 
 def match_score(d: Dialect, norm: str, patterns: list[tuple[str, float]]) -> str:
-    """One minus the product of (1 - weight) over the patterns that match; one pattern for all settles most texts."""
+    """One minus the product of (1 - weight) over the patterns that match; literals settle most texts."""
     left = " * ".join(f"(case when {d.like(norm, p)} then {number(round(1 - w, 6))} else 1e0 end)" for p, w in patterns)
-    some = "|".join(f"(?:{p})" for p, _ in patterns)
-    return f"(case when {d.like(norm, some)} then {rounded('1e0 - ' + left)} else 0e0 end)"
+    return f"(case when {any_of(d, norm, [p for p, _ in patterns])} then {rounded('1e0 - ' + left)} else 0e0 end)"
 
 
 def first_of(d: Dialect, norm: str, patterns: list[tuple[str, str]]) -> str:
@@ -59,7 +58,14 @@ def first_of(d: Dialect, norm: str, patterns: list[tuple[str, str]]) -> str:
 
 
 def any_of(d: Dialect, norm: str, patterns: list[str]) -> str:
-    return d.like(norm, "|".join(f"(?:{p})" for p in patterns))
+    """Whether a pattern matches. Where each has literals that its matches need, only texts with one of these are looked at closer."""
+    whole = d.like(norm, "|".join(f"(?:{p})" for p in patterns))
+    needs = [necessary(p) for p in patterns]
+    if not all(needs):
+        return whole
+    literals = sorted(frozenset().union(*needs))
+    shortest = [x for x in literals if not any(y != x and y in x for y in literals)]
+    return f"(({' or '.join(d.contains(norm, quoted(x)) for x in shortest)}) and {whole})"
 
 
 def claim_text(d: Dialect, patterns: list[str]) -> str:
@@ -352,7 +358,7 @@ SQL = {name: stepped_sql(BASE, steps(DUCKDB, stage)) + sql for name, (stage, sql
 
 
 def label_scores_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicons over whole documents: how many match each label. One pattern of all settles the texts without any."""
+    """The lexicons over whole documents: how many match each label. Literals settle the texts without any."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("lang", f"{normalized(SPARK, 'text')} as norm")
     rows = stepped(rows, [{k: v for k, v in _matches(SPARK).items()}])
     return rows.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in _matches(SPARK)])
