@@ -122,28 +122,31 @@ def place_among(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull() | (group == 0), 0).otherwise((group - 1) * each + inside)
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """``docs(doc_id, text, own)`` with ``next_text`` and ``next_own`` of the row that follows by doc_id, the first's after the last.
+def with_next(docs: DataFrame, parts: int, own) -> DataFrame:
+    """``docs(doc_id, text)`` with ``own(text)``, and ``next_text`` and ``next_own`` of the row that follows by doc_id, the first's after
+    the last.
 
     Rows go to ranges of doc_id; each range also gets a copy of the next range's first row, so that the following text
-    is always in the same task, and texts are shuffled once. The bounds, one a range, are in the plan.
+    is always in the same task, and texts are shuffled once; what is derived from them isn't. The bounds, one a range, are
+    in the plan.
     """
-    rows = docs.select("doc_id", "text", "own")
+    rows = docs.select("doc_id", "text")
     bounds = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else None
     ranged = rows.withColumn("part", place_among(F.col("doc_id"), sorted(set(bounds or []))))
-    order = F.struct("doc_id", F.xxhash64("text"), "text", "own")
+    order = F.struct("doc_id", F.xxhash64("text"), "text")
     least = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).collect()  # one row a range
     firsts = {r.part: r.m["doc_id"] for r in least}
     present = sorted(firsts)
     if not present:
-        return rows.withColumns({"next_text": F.col("text"), "next_own": F.col("own")})
+        return rows.withColumns({"own": own(F.col("text")), "next_text": F.col("text"), "next_own": F.lit(None).cast("string")})
     to = {p: present[k - 1] for k, p in enumerate(present)}  # the first range's copy goes to the last
     size = present[-1] + 1
     which = F.element_at(F.lit([to.get(p, 0) for p in range(size)]), F.col("part") + 1)
     first = F.element_at(F.array(*[F.lit(firsts.get(p)).cast("long") for p in range(size)]) if None in firsts.values() else F.lit([firsts.get(p, 0) for p in range(size)]), F.col("part") + 1)
     copies = ranged.where(F.col("doc_id").eqNullSafe(first))
-    copies = copies.groupBy("part").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.text").alias("text"), F.col("o.own").alias("own"), which.alias("part"))
-    both = ranged.select("doc_id", "text", "own", "part", F.lit(0).alias("copy")).union(copies.select("doc_id", "text", "own", "part", F.lit(1)))
+    copies = copies.groupBy("part").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("doc_id"), F.col("o.text").alias("text"), which.alias("part"))
+    both = ranged.select("doc_id", "text", "part", F.lit(0).alias("copy")).union(copies.select("doc_id", "text", "part", F.lit(1)))
+    both = both.repartition("part").withColumn("own", own(F.col("text")))
     ahead = W.partitionBy("part").orderBy("copy", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     return both.withColumns({"next_text": F.lead("text").over(ahead), "next_own": F.lead("own").over(ahead)}).where("copy = 0").drop("part", "copy")
 
@@ -154,7 +157,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     table = lexicon_table([r.h for r in lexicon(rows).collect()])  # bounded by the band
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paired = with_next(rows.withColumn("own", fingerprint(F.col("text"), table)), parts)
+    paired = with_next(rows, parts, lambda text: fingerprint(text, table))
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
