@@ -98,6 +98,13 @@ def test_toxicity(spark, none):
         assert toxicity.without_toxic(docs, few).count() == 302
 
 
+def test_toxicity_samples_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (1, "c d"), (2, None), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, id_col="doc_id", text_col="text", label_col="toxic").collect()
+    assert len({r.doc_id for r in got}) == len(got) > 0
+
+
 def test_near_duplicates(docs, none):
     got = near_dedup.near_duplicates(docs).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 1), (3, 1)] + [(i, i) for i in range(4, 11)] + [(11, 11)] * 2

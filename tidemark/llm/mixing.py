@@ -27,7 +27,8 @@ BLOCK = 200
 #: A document is taken at most so many times; weights of sources repeat in this order.
 COPIES, WEIGHTS = 3, (1, 2, 3)
 SCALE = float(1 << 53)
-#: Documents of a source and power of two of sizes that may make up what the last draw leaves.
+#: Documents of a source and power of two of sizes that may make up what the last draw leaves. A source with few documents keeps
+#: a remainder of up to its smallest ones' size: 6.7 % of the target with about ten documents, 0.24 % with fifty.
 EACH = 8
 
 

@@ -3,8 +3,8 @@
 Spark tokenises each text once and keeps only the lengths of its pieces. The histogram of lengths, at most ``capacity``
 numbers whatever the input, goes to the driver, which enumerates full patterns of two to four lengths, fits their repeat
 counts to the histogram by non-negative least squares, rounds down, and packs what is left best-fit decreasing. Pairs are
-enumerated for all lengths, triples for the 48 and fours for the 12 lengths that hold the most tokens; other lengths reach
-their places through pairs and the best-fit step, so no piece is left out. The plan is a table of intervals: pieces of one length, numbered in Spark by salted ranks, fall into its slots.
+enumerated for all lengths, triples for the 48 lengths that hold the most tokens, fours for every fourth of these by length;
+other lengths reach their places through pairs and the best-fit step, so no piece is left out. The plan is a table of intervals: pieces of one length, numbered in Spark by salted ranks, fall into its slots.
 
 Null texts count as empty (a single end token); repeated rows, also of one doc_id, each get a place; an empty table
 gives no rows. Other columns of the input are left out, so their names cannot clash.

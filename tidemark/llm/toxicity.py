@@ -225,13 +225,15 @@ def usable_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> DataFrame:
-    """``(doc_id, y, text)`` of at most ``most`` labelled texts of each label, none of them held out; the least hashes are taken."""
+    """``(doc_id, y, text)`` of at most ``most`` labelled texts of each label, none of them held out; the least hashes are taken, of ids as
+    of the texts of a repeated id."""
     usable = usable_labels(labels, id_col, label_col)
     picked = None
     for y in (0, 1):  # a sort with a limit keeps a bounded heap in each task
         some = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"coalesce({text_col}, '') text").join(F.broadcast(picked), "doc_id")  # at most 2 * most ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one a sampled id
     return common.materialize(rows.select("doc_id", "y", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism))
 
 
