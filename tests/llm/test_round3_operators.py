@@ -84,6 +84,16 @@ def test_recall_at_the_threshold(dim, n):
         assert sum(v - 1 for v in keys.values()) < a.size / 20
 
 
+@pytest.mark.parametrize("few", [0, 30, 10**6])
+def test_pairs_met_in_a_lesser_bucket(few):
+    r = np.random.default_rng(3)
+    keys = np.stack([r.permutation(60)[:12] for _ in range(50)]).astype(np.uint64)
+    wanted = r.random((50, 50)) < 0.7
+    got = vector_dedup.met_before(keys, np.uint64(25), wanted, few)
+    want = np.array([[bool({x for x in a if x < 25} & set(b)) for b in keys.tolist()] for a in keys.tolist()])
+    assert (got == want)[wanted].all() and want[wanted].any() and not want[wanted].all()
+
+
 def H(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 

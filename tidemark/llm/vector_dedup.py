@@ -176,7 +176,7 @@ def compared(part: pd.DataFrame, settings: dict[int, tuple[int, int, int]], leas
             if not len(some):
                 continue
             at, x, linked = at[some], x[some], linked[np.ix_(some, some)]
-            counts = linked & ~met_before(bucket_keys(x, *settings[dim]), np.uint64(keys[begin]))
+            counts = linked & ~met_before(bucket_keys(x, *settings[dim]), np.uint64(keys[begin]), linked)
             label = np.arange(len(at))
             while True:  # the least reachable place, halved by pointers
                 nearer = np.minimum(label, np.where(linked, label[None, :], len(at)).min(axis=1))
@@ -188,17 +188,33 @@ def compared(part: pd.DataFrame, settings: dict[int, tuple[int, int, int]], leas
     return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "n", "root")})
 
 
-def met_before(keys: np.ndarray, key: np.uint64, wide: int = 2048) -> np.ndarray:
-    """Which pairs of rows share a key that is less than ``key``."""
-    row, _ = np.nonzero(keys < key)
-    codes, code, often = np.unique(keys[keys < key], return_inverse=True, return_counts=True)
-    place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[code] if len(codes) else code
-    out = np.zeros((len(keys), len(keys)), bool)
-    for begin in range(0, int((often > 1).sum()), wide):
+def met_before(keys: np.ndarray, key: np.uint64, wanted: np.ndarray, few: int = 50_000) -> np.ndarray:
+    """Which of the ``wanted`` pairs of rows share a key that is less than ``key``; the most frequent keys settle most pairs, the ``few``
+    that are left are looked at one by one."""
+    row, column = np.nonzero(keys < key)
+    codes, code, often = np.unique(keys[row, column], return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    order = order[: int((often > 1).sum())]
+    place = np.full(len(codes), -1)
+    place[order] = np.arange(len(order))
+    place, out = place[code], np.zeros((len(keys), len(keys)), bool)
+    begin, wide = 0, 64
+    while begin < len(order):
+        open_ = wanted & ~out
+        left = int(open_.sum())
+        if not left:
+            break
+        if left <= few:
+            i, j = np.nonzero(open_)
+            for k in range(0, left, 2048):
+                a, b = keys[i[k : k + 2048]], keys[j[k : k + 2048]]
+                out[i[k : k + 2048], j[k : k + 2048]] = ((a[:, :, None] == b[:, None, :]) & (a < key)[:, :, None]).any(axis=(1, 2))
+            break
         mine = (place >= begin) & (place < begin + wide)
-        has = np.zeros((len(keys), wide), np.float32)
+        has = np.zeros((len(keys), min(wide, len(order) - begin)), np.float32)
         has[row[mine], place[mine] - begin] = 1
         out |= has @ has.T > 0
+        begin, wide = begin + wide, min(2048, 4 * wide)
     return out
 
 
