@@ -94,8 +94,7 @@ def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isotonic_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most ``KNOTS`` break points of the curve, evenly spaced by rank; the curve has one row for each distinct score."""
     curve = isotonic_curve(spark, sf_dir)
-    curve.createOrReplaceTempView("tidemark_curve")
-    return spark.sql(_knots("tidemark_curve"))
+    return spark.sql(_knots("{curve}"), curve=curve)
 
 
 def _knots(curve: str) -> str:
