@@ -183,6 +183,14 @@ def test_fingerprints_and_their_likeness(spark):
     assert not near or np.mean(near) > 0.3
 
 
+def test_lexicon_by_both_ways(spark):
+    """Texts with copies are known to all tasks, or all texts are shuffled: the terms are the same."""
+    rows = [(k, text(k % 40, 30 + k % 7)) for k in range(120)] + [(500, None), (501, ""), (502, text(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    some = [sorted(r.h for r in fingerprints.lexicon(docs, few=few).collect()) for few in (0, 1000)]
+    assert some[0] == some[1] and len(some[0]) > 50
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     """Also where one of them is the edited text of a text that has no term of the lexicon."""
     first, second = "aa bb cc dd ee ff gg hh ", "lex1 lex2 lex3 lex4 zz"

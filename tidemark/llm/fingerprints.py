@@ -28,6 +28,8 @@ from . import common
 LOW, HIGH = 0.002, 0.1
 SUBSETS = 16
 BITS = 12
+#: Texts with copies whose hashes, 16 bytes each, are broadcast.
+FEW = 1_000_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -35,11 +37,23 @@ def term_hashes(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: F.xxhash64(t))
 
 
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``(h)``: the hashes of the terms of the band."""
+def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH, few: int = FEW) -> DataFrame:
+    """``(h)``: the hashes of the terms of the band.
+
+    Terms are counted over distinct texts, of which most have no copy: only the texts that have one are shuffled, as one of each
+    in a task. Which these are is broadcast, 16 bytes a text, up to ``few`` of them; beyond, all texts are shuffled.
+    """
     text = F.coalesce(text_col, F.lit(""))
-    texts = docs.groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")).agg(F.first(text).alias("text"))  # copies leave in the tasks
-    n = docs.select(F.xxhash64(text), F.xxhash64(text, F.lit(1))).distinct().count()
+    keys = [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
+    copies = docs.groupBy(*keys).agg(F.count("*").alias("n")).groupBy(F.col("n") > 1).agg(F.count("*").alias("texts")).collect()  # two rows
+    n, repeated = sum(r.texts for r in copies), sum(r.texts for r in copies if r[0])
+    rows = docs.select(*keys, text.alias("text"))
+    if repeated <= few:
+        known = F.broadcast(docs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
+        again = rows.join(known, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        texts = rows.join(known, ["h1", "h2"], "left_anti").select("text").union(again.select("text"))
+    else:
+        texts = rows.groupBy("h1", "h2").agg(F.first("text").alias("text")).select("text")
     terms = texts.select(F.explode(F.array_distinct(term_hashes(F.col("text")))).alias("h"))
     least = max(2.0, low * n)
     return terms.groupBy("h").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= max(least, high * n)) & (F.col("h") != F.xxhash64(F.lit("")))).select("h")
