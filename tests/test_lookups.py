@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.dialect import SPARK, stepped
+from tidemark.operators import similarity
 from tidemark.operators.containment import contained
 from tidemark.plans import knowledge, posts, provenance
 
@@ -88,6 +89,16 @@ def test_pictures_are_found_by_the_better_hash(spark):
     assert {v for _, v, *_ in want.values()} >= {"tam", "merkez_%80"} and {k for *_, k, _ in want.values()} == {"dHash", "pHash"}
 
 
+def test_keys_of_hashes_are_never_broadcast(spark):
+    """The driver would hold hundreds of keys for each hash; Spark judges them by the size of the hashes."""
+    rows = spark.range(50).select(F.col("id").alias("vec_id"), F.xxhash64("id").alias("h"))
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.lit("v").alias("view"), F.col("h").bitwiseXOR(F.lit(3)).alias("h"))
+    found = similarity.hamming_near(rows, queries)
+    assert {(r.query_id, r.vec_id, r.distance) for r in found.collect()} >= {(k, k, 2) for k in range(50)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_hexadecimal_hashes_keep_their_highest_bit(spark):
     rows = spark.createDataFrame([(x,) for x in (0, 1, -1, -(2**63), 2**63 - 1, 0x1234_5678_9ABC_DEF0)], "h long")
     assert all(r.h == r.back for r in rows.withColumn("back", provenance.long_of(provenance.hex_of(F.col("h")))).collect())
