@@ -1,6 +1,7 @@
 """Look-ups in tables: terms in texts, records of claims, pictures in an index; and steps without what nobody reads."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ def test_records_of_claims(spark):
     assert got == {k: v for k, v in want.items() if v[1]} and len(got) > 100
 
 
+def test_pairs_are_told_apart_without_holding_them(spark):
+    """A record meets a text once, whichever of its anchors are there; empty and repeated anchors count for nothing."""
+    pool = spark.createDataFrame([(1, "A", "x", "Karma", ["sel"], ["sel", "van", "sel"]), (2, "B", "x", "Karma", ["van", "yol"], ["", "yol", "van"]), (3, "C", "x", "Karma", ["sel"], [""])], knowledge.RECORD)
+    claims = spark.createDataFrame([(7, "van sel"), (8, "van yol"), (9, "yok")], "id long, text string")
+    found = knowledge.scored_records(claims, pool)
+    assert sorted((r.id, r.ord, r.similarity) for r in found.collect()) == [(7, 1, 1.0), (7, 2, 0.5), (8, 1, 0.0), (8, 2, 1.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"keys=\[id#\d+L, ord#", plan)
+
+
 def test_bulletins_have_rare_anchors(spark):
     rows = [(100 * k, f"ortak kelime{k} ve {'nadir' if k == 7 else 'bilinen'}") for k in range(100)] + [(9000000, "...")]
     got = {x.record_id: x for x in knowledge.bulletins(spark.createDataFrame(rows, "post_id long, claims_norm string")).collect()}

@@ -67,10 +67,14 @@ def saved_pool(spark: SparkSession, claims: DataFrame) -> DataFrame:
 def scored_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
     """``(id, ord, record_id, rating, similarity)`` of ``claims(id, text)`` and the records that have an anchor in the text. Records without
     anchors take part nowhere."""
-    anchors = pool.select("ord", F.explode("anchors").alias("term"))
-    pairs = contained(claims, anchors.select("term")).join(anchors, "term").select("id", "ord").distinct()
+    own = F.filter(F.array_distinct("anchors"), lambda a: a != "")
+    anchors = pool.withColumn("anchors", own).select("*", F.posexplode("anchors").alias("at", "term"))
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = contained(claims, anchors.select("term")).join(claims, "id").repartition(parts, F.xxhash64("id"))  # few rows that make many
+    # a pair counts at the first of the record's anchors that the text holds, so that no task holds all its pairs to tell them apart
+    pairs = held.join(anchors, "term").where(~F.exists(F.slice("anchors", 1, F.col("at")), lambda a: F.contains(F.col("text"), a)))
     share = F.size(F.filter("keywords", lambda k: F.contains(F.col("text"), k))) / F.size("keywords")
-    return pairs.join(pool, "ord").join(claims, "id").select("id", "ord", "record_id", "rating", F.when(F.size("keywords") > 0, F.round(share + 1e-9, 4)).otherwise(0.0).alias("similarity"))
+    return pairs.select("id", "ord", "record_id", "rating", F.when(F.size("keywords") > 0, F.round(share + 1e-9, 4)).otherwise(0.0).alias("similarity"))
 
 
 def best_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
