@@ -57,6 +57,19 @@ def test_pairs_are_told_apart_without_holding_them(spark):
     assert "REPARTITION_BY_NUM" in plan and not re.search(r"keys=\[id#\d+L, ord#", plan)
 
 
+def test_records_are_never_broadcast(spark):
+    """Records with their terms outgrow what Spark judges them by; a frequent anchor's records are dealt, and pairs aren't sorted."""
+    more = [(100 + k, f"B{k}", f"sel {k}", "Karma", ["sel", f"yer{k}x"], ["sel"]) for k in range(3 * knowledge.MET)]
+    pool = spark.createDataFrame(more, knowledge.RECORD)
+    claims = spark.createDataFrame([(7, "sel yer600x"), (8, "sel"), (9, "yok")], "id long, text string")
+    scored, best = knowledge.scored_records(claims, pool), knowledge.best_records(claims, pool)
+    assert scored.count() == 2 * len(more)
+    assert sorted(map(tuple, best.collect())) == [(7, "B600", 700, 1.0, "Karma"), (8, "B0", 100, 0.5, "Karma")]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (scored, best)]
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert not re.search(r"SortAggregate\(key=\[id#", plans[1])
+
+
 def test_bulletins_have_rare_anchors(spark):
     rows = [(100 * k, f"ortak kelime{k} ve {'nadir' if k == 7 else 'bilinen'}") for k in range(100)] + [(9000000, "...")]
     got = {x.record_id: x for x in knowledge.bulletins(spark.createDataFrame(rows, "post_id long, claims_norm string")).collect()}

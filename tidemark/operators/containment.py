@@ -19,7 +19,7 @@ def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     Texts are indexed by their substrings of up to three letters. A term is looked up by the rarest of its own substrings
     in the texts, one only, and what is found there is verified; a term with a substring that no text has isn't looked up at
-    all. Nothing is broadcast by this operator, and texts travel only to their candidates. Null and empty terms and null
+    all. Nothing is broadcast, since substrings are many times what Spark judges them by, and texts travel only to their candidates. Null and empty terms and null
     texts are left out.
     """
     terms = terms.where("term <> ''").distinct()
@@ -30,7 +30,7 @@ def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
     index = texts.where("text is not null").select("id", F.explode(every).alias("gram"))
     own = F.filter(F.concat(*[F.when(F.least(F.length("term"), F.lit(LONGEST)) == n, grams(F.col("term"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]), lambda g: g != "")
     asked = terms.select("term", F.explode(own).alias("gram"))
-    often = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = asked.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0")
-    met = index.join(rarest.select("term", F.col("r.gram").alias("gram")), "gram").select("id", "term")
-    return met.join(texts, "id").where(F.contains("text", "term")).select("id", "term")
+    often = index.join(asked.select("gram").distinct().hint("merge"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = asked.join(often.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0")
+    met = index.join(rarest.select("term", F.col("r.gram").alias("gram")).hint("merge"), "gram").select("id", "term")
+    return met.join(texts.hint("merge"), "id").where(F.contains("text", "term")).select("id", "term")

@@ -23,6 +23,8 @@ SEEDS = [
 ]
 #: Key terms and anchors of a bulletin; the share of bulletins that an anchor may be in; ratings of bulletins, by conversation.
 KEYS, ANCHORS, RARE = 8, 3, 0.02
+#: Records of an anchor that a text meets in one place; and what one ten thousandth of likeness counts beside any place in the pool.
+MET, STEP = 256, "100000000000000000000"
 RATINGS = ("YANLIŞ", "Doğru", "Karma")
 #: Bulletins are on the claims of every second conversation.
 OF = "post_id div 100 % 2 = 0"
@@ -66,13 +68,20 @@ def saved_pool(spark: SparkSession, claims: DataFrame) -> DataFrame:
 
 def scored_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
     """``(id, ord, record_id, rating, similarity)`` of ``claims(id, text)`` and the records that have an anchor in the text. Records without
-    anchors take part nowhere."""
+    anchors take part nowhere.
+
+    Records with their terms are many times what Spark judges them by, so they are never broadcast; those of a frequent anchor are
+    dealt into parts of about ``MET``, which its texts meet one by one.
+    """
     own = F.filter(F.array_distinct("anchors"), lambda a: a != "")
     anchors = pool.withColumn("anchors", own).select("*", F.posexplode("anchors").alias("at", "term"))
     parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = contained(claims, anchors.select("term")).join(claims, "id").repartition(parts, F.xxhash64("id"))  # few rows that make many
+    often = anchors.groupBy("term").agg(F.ceil(F.count("*") / MET).cast("int").alias("parts"))
+    anchors = anchors.join(often.hint("merge"), "term").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")).drop("parts")
+    held = contained(claims, anchors.select("term")).join(claims.hint("merge"), "id").join(often.hint("merge"), "term")
+    held = held.select("id", "text", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(parts, "term", "part")  # few rows that make many
     # a pair counts at the first of the record's anchors that the text holds, so that no task holds all its pairs to tell them apart
-    pairs = held.join(anchors, "term").where(~F.exists(F.slice("anchors", 1, F.col("at")), lambda a: F.contains(F.col("text"), a)))
+    pairs = held.join(anchors.hint("merge"), ["term", "part"]).where(~F.exists(F.slice("anchors", 1, F.col("at")), lambda a: F.contains(F.col("text"), a)))
     share = F.size(F.filter("keywords", lambda k: F.contains(F.col("text"), k))) / F.size("keywords")
     return pairs.select("id", "ord", "record_id", "rating", F.when(F.size("keywords") > 0, F.round(share + 1e-9, 4)).otherwise(0.0).alias("similarity"))
 
@@ -80,9 +89,14 @@ def scored_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
 def best_records(claims: DataFrame, pool: DataFrame) -> DataFrame:
     """``(id, best_record, best_ord, similarity, rating)`` of ``claims(id, text)``: the best record that has an anchor in the text; texts that
     hold no anchor, or none of its record's key terms, have no row."""
-    scored = scored_records(claims, pool)
-    best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"), "record_id", "rating")).alias("b"))
-    return best.where("b.similarity > 0").select("id", F.col("b.record_id").alias("best_record"), (-F.col("b.o")).alias("best_ord"), F.col("b.similarity").alias("similarity"), F.col("b.rating").alias("rating"))
+    place = F.lit(STEP).cast("decimal(38,0)")
+    # one number orders pairs by likeness, then by place, so that the best is held by hash and pairs are never sorted
+    key = F.round(F.col("similarity") * 10_000).cast("decimal(5,0)") * F.lit(STEP).cast("decimal(21,0)") - F.col("ord").cast("decimal(19,0)")
+    best = scored_records(claims, pool).where("similarity > 0").groupBy("id").agg(F.max(key.cast("decimal(38,0)")).alias("k"))
+    steps = F.round(F.col("k") / place).cast("decimal(5,0)")
+    told = best.select("id", (steps * F.lit(STEP).cast("decimal(21,0)") - F.col("k")).cast("long").alias("best_ord"), (steps.cast("double") / 10_000).alias("similarity"))
+    named = pool.select(F.col("ord").alias("best_ord"), F.col("record_id").alias("best_record"), "rating").dropDuplicates(["best_ord"])
+    return told.join(named.hint("merge"), "best_ord").select("id", "best_record", "best_ord", "similarity", "rating")
 
 
 def text_vector(d: Dialect, x: str) -> tuple[str, str]:
