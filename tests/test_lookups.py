@@ -70,6 +70,16 @@ def test_records_are_never_broadcast(spark):
     assert not re.search(r"SortAggregate\(key=\[id#", plans[1])
 
 
+def test_records_with_the_same_claim_meet_once(spark):
+    """Of records with one claim only the first k can be among the nearest k; vectors are worked out in many tasks."""
+    pool = spark.createDataFrame([(k, f"R{k}", "baraj yikildi" if k < 40 else f"sel {k}", "Karma", [], []) for k in range(60)], knowledge.RECORD)
+    kept = knowledge.pool_vectors(pool, 3)
+    assert sorted(r.vec_id for r in kept.collect()) == [0, 1, 2, *range(40, 60)]
+    claims = spark.createDataFrame([(7, "baraj yikildi"), (8, "baraj yikildi"), (9, "sel 45")], "id long, text string")
+    near = {r.id: set(r.near) for r in knowledge.near_records(claims, pool, 3).collect()}
+    assert near[7] == near[8] == {0, 1, 2} and 45 in near[9] and len(near[9]) == 3
+
+
 def test_bulletins_have_rare_anchors(spark):
     rows = [(100 * k, f"ortak kelime{k} ve {'nadir' if k == 7 else 'bilinen'}") for k in range(100)] + [(9000000, "...")]
     got = {x.record_id: x for x in knowledge.bulletins(spark.createDataFrame(rows, "post_id long, claims_norm string")).collect()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .. import sources
@@ -117,11 +118,25 @@ def with_vectors(rows: DataFrame, x: str, zeros: bool = False) -> DataFrame:
     return made if zeros else made.where(F.exists("embedding", lambda v: v != 0))
 
 
+def pool_vectors(pool: DataFrame, k: int) -> DataFrame:
+    """``(vec_id, embedding)``, written, of the records that may be among a text's nearest ``k``: of those with the same claim the first ``k``.
+    Few files hold the pool and vectors are dear, so that records are dealt to all tasks first."""
+    order = W.partitionBy("claim").orderBy("ord")
+    first = pool.select("ord", "claim").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return materialize(with_vectors(spread(first.select(F.col("ord").alias("vec_id"), "claim")), "claim").select("vec_id", "embedding"))
+
+
+def spread(rows: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Rows, few by their size, dealt to all tasks that there may be."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def near_records(claims: DataFrame, pool: DataFrame, k: int = VETO) -> DataFrame:
     """``(id, near)`` of ``claims(id, text)``: the places in the pool of the ``k`` records whose texts' vectors are nearest."""
     texts = claims.groupBy("text").agg(F.min("id").alias("first"))
-    asked = with_vectors(texts.select((-1 - F.col("first")).alias("vec_id"), "text"), "text").select("vec_id", "embedding")
-    top = cosine_top(with_vectors(pool.select(F.col("ord").alias("vec_id"), "claim"), "claim").select("vec_id", "embedding"), asked, k)
+    asked = materialize(with_vectors(spread(texts.select((-1 - F.col("first")).alias("vec_id"), "text")), "text").select("vec_id", "embedding"))
+    top = cosine_top(pool_vectors(pool, k), asked, k)
     found = top.groupBy((-1 - F.col("query_id")).alias("first")).agg(F.collect_set("vec_id").alias("near"))
     return claims.join(texts, "text").join(found, "first").select("id", "near")
 

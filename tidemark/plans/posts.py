@@ -279,7 +279,8 @@ def pool_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make() -> DataFrame:
         rows = stepped(dealt(base_rows(spark, sf_dir).where(knowledge.OF)), steps(SPARK, "text"), ["post_id", "claims_norm"])
-        return knowledge.saved_pool(spark, rows.where("claims_norm is not null").select("post_id", "claims_norm"))
+        pool = knowledge.saved_pool(spark, rows.where("claims_norm is not null").select("post_id", "claims_norm"))
+        return knowledge.spread(pool, "ord")  # so that all tasks read a part of it
 
     return kept(spark, "pool", sf_dir, make)
 

@@ -60,8 +60,7 @@ def ranked(asked: DataFrame, pool: DataFrame, k: int = K) -> dict[str, DataFrame
     """``(number, ord, rank, score)`` of the first ``k`` records by each way."""
     texts = asked.select("number", F.expr(posts.normalized(SPARK, "question")).alias("text"))
     queries = knowledge.with_vectors(texts.select((-1 - F.col("number")).alias("vec_id"), "text"), "text").select("vec_id", "embedding")
-    rows = knowledge.with_vectors(pool.select(F.col("ord").alias("vec_id"), "claim"), "claim").select("vec_id", "embedding")
-    near = cosine_top(rows, queries, k).select((-1 - F.col("query_id")).alias("number"), F.col("vec_id").alias("ord"), "rank", F.col("cosine").alias("score"))
+    near = cosine_top(knowledge.pool_vectors(pool, k), queries, k).select((-1 - F.col("query_id")).alias("number"), F.col("vec_id").alias("ord"), "rank", F.col("cosine").alias("score"))
     by_terms = knowledge.scored_records(texts.select(F.col("number").alias("id"), "text"), pool).where("similarity > 0")
     order = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "ord"))
     return {"vectors": near, "terms": by_terms.withColumn("rank", order).where(F.col("rank") <= k).select(F.col("id").alias("number"), "ord", "rank", F.col("similarity").alias("score"))}
