@@ -5,6 +5,8 @@ import math
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import common, fingerprints, lm, mixing, near_dedup, packing, paragraph_dedup, quality, suffix_dedup, token_counts, toxicity
@@ -372,3 +374,28 @@ def test_slices_are_bounded_by_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 50, "", "c" * 5, "d" * 5])], names=["i", "t"])
     cut = [b.column(0).to_pylist() for b in common.slices([batch, batch.slice(0, 0)], 2, 20)]
     assert cut == [[0, 1], [2], [3, 4], [5]]
+
+
+def test_words_are_told_apart_by_a_mark():
+    """Ids are those of the whole text, without offsets; words that hold the mark are told apart by offsets."""
+    enc = packing.WordIds(public_tokenizers.path(packing.MODEL))
+    whole = enc.tokenizer
+
+    class Watched:
+        asked = 0
+
+        def encode(self, *args, **more):
+            self.asked += 1
+            return whole.encode(*args, **more)
+
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+    enc.tokenizer = Watched()
+    plain = ["It's 1st, don't; Don'T", "é ́x ǅ東京 a\tb c\x0b\r\n\n d", "<|endoftext|>x <|startoftext|> …``", None, "", " "]
+    odd = [f"a{packing.MARK}b {packing.MARK} c", packing.MARK * 3]
+    for texts, often in ((plain, 0), (odd, 1)):
+        ids, begins = enc.encode(pa.array(texts))
+        for text, a, b in zip(texts, begins, begins[1:]):
+            assert ids[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+        assert enc.tokenizer.asked == often

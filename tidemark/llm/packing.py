@@ -32,6 +32,8 @@ MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Bytes of words that a worker keeps; beyond this the store is begun anew.
 KEPT = 4 << 20
+#: Stands between words as one token, so that their ids are told apart without offsets.
+MARK = "\x01"
 
 
 class WordIds:
@@ -45,22 +47,32 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {"": 0}
         self.begins, self.ids, self.size = [np.zeros(2, np.int64)], [np.zeros(0, np.uint32)], 0
 
+    def ids_of(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and where each word's end."""
+        got = self.tokenizer.encode_batch_fast([f" {MARK} ".join(block)], add_special_tokens=False)[0]
+        ids = np.array(got.ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark[0])
+        if len(self.mark) == 1 and len(marks) == len(block) - 1:  # no word holds the mark
+            return np.delete(ids, marks), np.append(marks - np.arange(len(marks)), len(ids) - len(marks))
+        got = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
+        begins = np.array([o[0] for o in got.offsets], np.int64)
+        return np.array(got.ids, np.uint32), np.searchsorted(begins, np.cumsum([len(w) + 1 for w in block]))
+
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 500):
             block = words[at : at + 500]
-            got = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            begins = np.array([o[0] for o in got.offsets], np.int64)
-            ends = np.cumsum([len(w) + 1 for w in block])
-            self.begins.append(self.begins[-1][-1] + np.searchsorted(begins, ends))
-            self.ids.append(np.array(got.ids, np.uint32))
+            ids, ends = self.ids_of(block)
+            self.begins.append(self.begins[-1][-1] + ends)
+            self.ids.append(ids)
             self.number.update(zip(block, range(len(self.number), len(self.number) + len(block))))
-            self.size += int(ends[-1])
+            self.size += sum(map(len, block)) + len(block)
         self.begins, self.ids = [np.concatenate(self.begins)], [np.concatenate(self.ids)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
