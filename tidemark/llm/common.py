@@ -48,6 +48,11 @@ def stored(key, make):
     return _store[key]
 
 
+def forget() -> None:
+    """Let go of what this worker has kept for an earlier stage; for stages that keep nothing themselves."""
+    _store.clear()
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

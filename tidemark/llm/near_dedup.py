@@ -87,6 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     for each position of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         band = np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD
         for b in common.slices(batches, 500):
             h1, h2, keys, sketch = [], [], [], []

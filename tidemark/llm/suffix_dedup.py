@@ -78,6 +78,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 def chunks(batches: Iterator[pa.RecordBatch], length: int, copies: common.PairFiles, gone: list | None = None) -> Iterator[tuple]:
     """``(doc ids, text hashes, starts, data, owner, ends)`` of some documents' bytes, joined, without those of copies;
     ``gone`` takes these up as ``(doc id, text hash, bytes)``."""
+    common.forget()
     for b in common.slices(batches, 5000):
         ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), common.bytes_of(b.column(2))
         copied = copies.find(np.array(ids, np.int64), np.array(hashes, np.int64)) >= 0
@@ -328,6 +329,7 @@ def with_cut(docs: DataFrame, results: list[str], length: int = LENGTH, *, id_co
     text_at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for b in common.slices(batches, 1000):
             size, removed, count, digest, kept = [], [], [], [], []
             spans = files.spans_of(*(b.column(len(names) + k).to_numpy() for k in range(2)))
