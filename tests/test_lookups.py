@@ -154,6 +154,12 @@ def test_lookups_that_nobody_reads_are_not_asked(spark, stage):
     assert stepped(df, posts.steps(SPARK, stage)[len(posts.body_steps(SPARK)) :], ["post_id", "norm"]).count() == 1
 
 
+def test_answers_of_lookups_are_written_before_rows_meet_them(spark):
+    rows = posts.posts(spark, "/root/testdata/sf0.001", "fusion", ["post_id", "verdict"])
+    joins = re.findall(r"\w*Join\b", rows._jdf.queryExecution().executedPlan().toString())
+    assert set(joins) == {"SortMergeJoin"} and len(joins) == 1  # of the pictures' answers; those of the claims were joined and written before
+
+
 def test_isotonic_curves_of_several_signals(spark):
     """Against the definition: the largest of the least of the means; scores beyond the grid, nulls, signals without a fitting half."""
     import numpy as np

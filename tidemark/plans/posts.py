@@ -139,6 +139,15 @@ def knowledge_steps(d: Dialect, least: float = MATCH, allowed: str = "true") ->
     ]
 
 
+def answered(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``found(post_id, ..)``, which is written first.
+
+    Spark plans a query anew after each of its stages. A look-up has a dozen, and the steps after it have the longest expressions of
+    all; in one query the driver would hold and translate these a dozen times. An answer is many times its file, so it isn't broadcast.
+    """
+    return rows.join(materialize(found).hint("merge"), "post_id", "left")
+
+
 def pool_lookup(pool: DataFrame | None) -> Lookup:
     """The best record of the pool; its likeness is 0 where there is none."""
 
@@ -146,7 +155,7 @@ def pool_lookup(pool: DataFrame | None) -> Lookup:
         rows = materialize(df)  # asked and joined to the answer
         claims = rows.where("claims_norm is not null").select(F.col("post_id").alias("id"), F.col("claims_norm").alias("text"))
         best = knowledge.best_records(claims, pool).withColumnRenamed("id", "post_id")
-        return rows.join(best, "post_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+        return answered(rows, best).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
     columns = ("best_record", "best_ord", "similarity", "rating")
     picked = "b.best_record, b.best_ord, coalesce(b.similarity, 0.0::double) as similarity, b.rating"
@@ -177,7 +186,7 @@ def index_lookup(found) -> Lookup:
 
     def joined(df: DataFrame) -> DataFrame:
         rows = materialize(df)
-        return rows.join(found(rows), "post_id", "left")
+        return answered(rows, found(rows))
 
     return Lookup(
         ("distance", "record_id", "original"), ("post_id", "media_kind"), joined, lambda p: f"{provenance.INDEX_SQL}, {provenance.posts_sql(p)}",
