@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -44,3 +45,20 @@ def test_comparable_texts(spark):
     texts = ["İZMİR Çok GÜZEL Straße ﬁnal ½ ㎏ Ⅷ ｆｕｌｌ", "Bak: https://a.b/c?d ve @ali_1  \t　son ", "한국어 Ελλάς ΣΑΣ", "Iğdır ıslak", "  "]
     got = {r.k: r.n for r in rows_of(spark, texts).select("k", unicode.comparable(F.col("t")).alias("n")).collect()}
     assert [got[k] for k in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_beyond_16_bits_and_odd_spaces(spark):
+    """Letters beyond 16 bits are folded and taken apart, too; links end and names go on as in the library; letters from signs are dotted."""
+    texts = ["𝐃𝐞𝐩𝐫𝐞𝐦 𝟙𝟚 𐐀𐐁 a𝅥", "https://a.b/c son www.x.y　z", "ℐ ℹ 🄸", "e" + "\U0001e8d0́" * 2]
+    got = {r.k: r for r in rows_of(spark, texts).select("k", unicode.comparable(F.col("t")).alias("n"), unicode.nfkd(F.col("t")).alias("d"), unicode.casefold(F.col("t")).alias("c")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].n == plain(t).replace("I", "i") and got[k].d == unicodedata.normalize("NFKD", t) and got[k].c == t.casefold()
+
+
+def test_long_texts_are_not_taken_apart(spark):
+    """Eight million letters; as expressions over single letters they took minutes."""
+    rows = spark.range(0, 4000, 1, 4).select(F.concat(F.lit("Çığ düştü, yardım! " * 105), F.col("id").cast("string")).alias("t"))
+    began = time.time()
+    got = rows.select(F.length(unicode.comparable(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0]
+    took = time.time() - began
+    assert got == sum(len(plain("Çığ düştü, yardım! " * 105 + str(k))) for k in range(4000)) and took < 40

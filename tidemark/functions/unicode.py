@@ -1,120 +1,67 @@
-"""Unicode forms as expressions: case folding, compatibility decomposition with marks in canonical order, and without marks.
+"""Unicode forms: case folding, compatibility decomposition with marks in canonical order, and without marks.
 
-The tables follow from the standard library's; they are pages of 256 code points, so that a character is found by its number, and
-are constants of the plan. Code points beyond 16 bits stay as they are.
+Built-in functions have none of these. The standard library has them for whole texts, so Python runs in the tasks, on Arrow
+batches; as expressions over single characters they took a hundred times as long. All code points count, those beyond 16 bits, too.
 """
 
 from __future__ import annotations
 
 import functools
-import json
+import re
+import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-LAST = 0x10000
-HANGUL = (0xAC00, 0xD7A3)
 SURROGATES = range(0xD800, 0xE000)
+URL, MENTION, SPACE = re.compile(r"https?://\S+|www\.\S+"), re.compile(r"@\w+"), re.compile(r"\s+")
+DOTTED = str.maketrans("ıİI", "iii")
 
 
-def pages(value) -> list[list | None]:
-    """``value(character)``, or null where it is none, by page; pages without a value are null."""
-    out: list[list | None] = []
-    for high in range(0, LAST, 256):
-        page = [None if c in SURROGATES else value(chr(c)) for c in range(high, high + 256)]
-        out.append(page if any(x is not None for x in page) else None)
-    return out
-
-
-def table(value, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(pages(value), ensure_ascii=False, separators=(",", ":"))), f"array<array<{kind}>>")
-
-
-def looked_up(found: Column, char: Column) -> Column:
-    """What the table has for a character, null if nothing."""
-    code = F.ascii(char)
-    place = F.element_at(found, F.least(F.shiftright(code, 8), F.lit(255)) + 1)
-    return F.when(code < LAST, F.element_at(place, code.bitwiseAND(255) + 1))
-
-
-def ranges(keep) -> str:
-    """The inside of a pattern's class of the characters that ``keep`` tells."""
-    out, begin = [], None
-    for c in range(LAST + 1):
-        inside = c < LAST and c not in SURROGATES and keep(chr(c))
-        if inside and begin is None:
-            begin = c
-        elif not inside and begin is not None:
-            out.append(f"\\u{begin:04X}" if begin == c - 1 else f"\\u{begin:04X}-\\u{c - 1:04X}")
-            begin = None
-    return "".join(out)
-
-
-def _decomposed(c: str) -> str | None:
-    if HANGUL[0] <= ord(c) <= HANGUL[1]:
-        return None
-    x = unicodedata.normalize("NFKD", c)
-    return x if x != c else None
+@functools.cache
+def marks() -> re.Pattern:
+    """Runs of characters that combine with the one before."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
 
 
-def _folded(c: str) -> str | None:
-    return x if (x := c.casefold()) != c else None
+def unmarked(t: str) -> str:
+    return t if t.isascii() else marks().sub("", t)
 
 
-@functools.cache
-def classes() -> dict[str, str]:
-    """Patterns of the characters that each step changes."""
-    marks = ranges(lambda c: unicodedata.combining(c) != 0)
-    return {"marks": marks, "changed": ranges(lambda c: _decomposed(c) is not None) + "\\uAC00-\\uD7A3", "cased": ranges(lambda c: _folded(c) is not None)}
+def compared(t: str) -> str:
+    t = MENTION.sub(" <kullanici> ", URL.sub(" <url> ", t.casefold()))
+    return SPACE.sub(" ", unmarked(unicodedata.normalize("NFKD", t)).translate(DOTTED)).strip()
 
 
-def characters(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+def _each(change):
+    """``change(text)`` of each text of a column, null of null."""
 
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else change(t) for t in texts], dtype=object)
 
-def hangul(code: Column) -> Column:
-    """A syllable's two or three letters, by arithmetic."""
-    at = code - HANGUL[0]
-    part = lambda first, n, k: F.element_at(F.lit([chr(first + i) for i in range(n)]), (k + 1).cast("int"))
-    last = F.element_at(F.lit([""] + [chr(0x11A8 + i) for i in range(27)]), (at % 28 + 1).cast("int"))
-    return F.concat(part(0x1100, 19, F.floor(at / 588)), part(0x1161, 21, F.floor(at % 588 / 28)), last)
+    return run
 
 
-def by_character(x: Column, pattern: str, change) -> Column:
-    """``x`` with ``change`` of each character that the pattern's class holds; texts without one aren't taken apart."""
-    one = lambda c: F.when(c.rlike(f"^[{pattern}]"), change(c)).otherwise(c)
-    return F.when(x.rlike(f"[{pattern}]"), F.array_join(F.transform(characters(x), one), "")).otherwise(x)
+_casefold, _nfkd, _unmarked, _compared = map(_each, (str.casefold, functools.partial(unicodedata.normalize, "NFKD"), unmarked, compared))
 
 
 def casefold(x: Column) -> Column:
-    found = table(_folded, "string")
-    return by_character(x, classes()["cased"], lambda c: looked_up(found, c))
+    return _casefold(x)
 
 
 def nfkd(x: Column) -> Column:
     """The compatibility decomposition: characters may become several, and marks that follow each other stand in canonical order."""
-    found, order = table(_decomposed, "string"), table(lambda c: unicodedata.combining(c) or None, "int")
-    marks = classes()["marks"]
-    syllable = lambda c: F.ascii(c).between(*HANGUL)
-    apart = by_character(x, classes()["changed"], lambda c: F.when(syllable(c), hangul(F.ascii(c))).otherwise(looked_up(found, c)))
-
-    def ordered(run: Column) -> Column:
-        told = F.transform(characters(run), lambda c, i: F.struct(F.coalesce(looked_up(order, c), F.lit(0)).alias("o"), i.alias("i"), c.alias("c")))
-        return F.array_join(F.transform(F.array_sort(told), lambda t: t["c"]), "")
-
-    runs = F.regexp_extract_all(apart, F.lit(f"(?s)[^{marks}][{marks}]*|^[{marks}]+"), F.lit(0))
-    sorted_ = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) > 1, ordered(r)).otherwise(r)), "")
-    return F.when(apart.rlike(f"[{marks}][{marks}]"), sorted_).otherwise(apart)
+    return _nfkd(x)
 
 
 def without_marks(x: Column) -> Column:
-    return F.regexp_replace(x, f"[{classes()['marks']}]+", "")
+    return _unmarked(x)
 
 
 def comparable(x: Column) -> Column:
-    """A text as it is compared: case folded, links and names masked, decomposed without marks, the dotless i dotted, white space as one."""
-    t = F.regexp_replace(casefold(x), "https?://\\S+|www\\.\\S+", " <url> ")
-    t = F.regexp_replace(t, "@[\\p{L}\\p{N}_]+", " <kullanici> ")
-    t = F.translate(without_marks(nfkd(t)), "ı", "i")
-    return F.trim(F.regexp_replace(t, "[\\s\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+", " "))
+    """A text as it is compared: case folded, links and names masked, decomposed without marks, every I dotted, white space as one."""
+    return _compared(x)
