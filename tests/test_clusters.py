@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.operators import density, order
+from tidemark.operators import density, order, ordered
 from tidemark.operators.ordered import first_fit
 
 
@@ -43,6 +43,36 @@ def test_ordered_clusters_of_nothing(spark):
     assert first_fit(spark.createDataFrame([], "id long, terms array<string>")).count() == 0
 
 
+def test_ordered_clusters_of_windows(spark, monkeypatch):
+    """Few sets of terms, repeated often, so that they change to clusters that grow; windows of few sets, one after the other."""
+    monkeypatch.setattr(ordered, "KINDS", 12, raising=False)
+    r = random.Random(4)
+    kinds = [[f"w{min(int(r.expovariate(0.12)), 24)}" for _ in range(r.randrange(1, 7))] for _ in range(60)]
+    rows = [(k, kinds[min(int(r.expovariate(12 / (k + 9))), 59)]) for k in range(700)]
+    got = dict(map(tuple, first_fit(spark.createDataFrame(rows, "id long, terms array<string>")).collect()))
+    assert got == plain_fold(rows)
+    homes = {}
+    for i, terms in rows:
+        homes.setdefault(frozenset(terms), set()).add(got[i])
+    assert sum(len(h) > 1 for h in homes.values()) > 3
+
+
+def test_ordered_clusters_settle_at_once(spark, monkeypatch):
+    """A chain in which each row depends on the one before, with many copies: tables that are written don't grow with its length."""
+    written, write = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df: written.append(1) or write(df))
+    rows = [(3 * k, [f"w{k}", f"w{k + 1}"]) for k in range(40)] + [(1000 + k, [f"w{k % 40}", f"w{k % 40 + 1}"]) for k in range(200)]
+    got = dict(map(tuple, first_fit(spark.createDataFrame(rows, "id long, terms array<string>")).collect()))
+    assert got == plain_fold(rows) and set(got.values()) == {0} and len(written) < 25
+
+
+def test_ordered_rows_of_one_id(spark):
+    """Rows of one id are rows of their own, one after the other."""
+    rows = [(1, ["b", "a"]), (1, ["c", "d"]), (2, ["a"]), (2, ["d", "x"]), (2, ["q"]), (3, ["q", "x"]), (3, ["q", "x"])]
+    got = sorted(map(tuple, first_fit(spark.createDataFrame(rows, "id long, terms array<string>")).collect()))
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 1), (2, 2), (3, 1), (3, 1)]
+
+
 def plain_density(ids, x, least, samples):
     """The hierarchy by union-find over all pairs, walked node by node."""
     n = len(ids)
