@@ -172,6 +172,20 @@ def test_density_clusters(spark, monkeypatch, case, block):
         assert sum(list(got.values()).count(y) >= 10 for y in set(got.values()) if not y[1]) == 3
 
 
+@pytest.mark.parametrize("seed, least, samples, block", [(5, 2, 2, 8), (6, 3, 5, 1024)])
+def test_density_of_copies(spark, monkeypatch, seed, least, samples, block):
+    """Points of a grid, some of them often, so that most distances are equal; only distinct ones are compared."""
+    monkeypatch.setattr(density, "BLOCK", block)
+    met, pairs = [], density.block_pairs
+    monkeypatch.setattr(density, "block_pairs", lambda points: met.append(points.count()) or pairs(points))
+    r = np.random.default_rng(seed)
+    x = np.concatenate([r.integers(0, 5, (40, 2)), np.repeat(r.integers(0, 9, (6, 2)), r.integers(1, 12, 6), axis=0)]).astype(float)
+    ids = r.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "id long, v array<double>")
+    got = {r.id: (r.cluster, r.noise) for r in density.density_clusters(df, least, samples).collect()}
+    assert got == plain_density(ids, x, least, samples) and met == [len({tuple(row) for row in x})] * 2
+
+
 def test_density_of_few(spark):
     df = spark.createDataFrame([(4, [1.0])], "id long, v array<double>")
     assert [tuple(r) for r in density.density_clusters(df).collect()] == [(4, 4, True)] and density.density_clusters(df.limit(0)).count() == 0

@@ -2,6 +2,8 @@
 
 ``hierarchy`` and ``clusters`` work on tables of any size: each step is a join, a grouping or a sort.
 
+* Points with equal vectors meet as one, their first, which knows how many they are. All other points of a vector hang on the tree of
+  the first ones by an edge as long as their core distance, whose other end is known without looking at them.
 * The minimum spanning tree is found in one pass over pairs of blocks of points. A block pair gives the spanning tree of its own
   distances; an edge that isn't in it is on a cycle of lesser ones, so the trees of all pairs hold one of the whole. What is
   left, fewer edges than points times blocks, is reduced by Boruvka's rounds of least edges of components.
@@ -47,7 +49,8 @@ def matrix(part: pd.DataFrame) -> np.ndarray:
 
 
 def core_distances(points: DataFrame, samples: int) -> DataFrame:
-    """``(id, core)``: the distance to the ``samples - 1``-th nearest other point; to the farthest if there are fewer."""
+    """``(id, core)`` of ``points(id, v, n)``, each of which stands for ``n`` equal ones: the distance to the ``samples - 1``-th nearest other
+    point; to the farthest if there are fewer."""
     k = max(1, samples - 1)
 
     def nearest(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -56,9 +59,16 @@ def core_distances(points: DataFrame, samples: int) -> DataFrame:
         for a, b in [(sides[0], sides[-1])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]:
             if len(a) and len(b):
                 d = distances(matrix(a), matrix(b))
+                many = np.repeat(b["n"].to_numpy()[None, :], len(a), axis=0)
                 if a is b:
-                    np.fill_diagonal(d, np.inf)
-                near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
+                    np.fill_diagonal(d, LEAST)
+                    many[np.diag_indices(len(a))] -= 1
+                    d[many == 0] = np.inf
+                some = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                some = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, axis=1), axis=1), axis=1)
+                upto = np.take_along_axis(many, some, axis=1).cumsum(axis=1)
+                farther = np.column_stack([np.take_along_axis(d, some, axis=1), np.full(len(a), np.inf)])
+                near = np.column_stack([farther[np.arange(len(a)), (upto <= t).sum(axis=1)] for t in range(k)])
                 out.append(pd.DataFrame({"id": a["id"].to_numpy(), "near": near.tolist()}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "near": []})
 
@@ -88,28 +98,39 @@ def least_tree(w: np.ndarray) -> Iterator[tuple[int, int, float]]:
         yield int(via[at]), at, float(least)
 
 
-def spanning_tree(points: DataFrame) -> DataFrame:
-    """``(a, b, w)``, a < b: a minimum spanning tree of ``points(id, v, core)`` by the greatest of both cores and the distance."""
+def spanning_tree(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, w)``, a < b: the minimum spanning tree of ``points(id, v, n, core)`` by the greatest of both cores and the distance, of equal
+    edges by their ends; and ``(id, to)`` of those with ``n > 1``: what all points equal to one hang on.
+
+    Edges between equal points are as long as their core, none of theirs is shorter. So of a point's equal ones each but the
+    first has a single edge in the whole tree, to the least point that is as near: of the others of that length, the greatest of a
+    cycle is always another one. These are first points of their vectors.
+    """
 
     def tree(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        ids, core, own, x = part["id"].to_numpy(), part["core"].to_numpy(), part["own"].to_numpy(), matrix(part)
+        ids, core, own, many, x = part["id"].to_numpy(), part["core"].to_numpy(), part["own"].to_numpy(), part["n"].to_numpy(), matrix(part)
         w = np.maximum(np.maximum(distances(x, x), core[:, None]), core[None, :])
         if key[0] != key[1]:
             w[own[:, None] == own[None, :]] = np.inf
-        rows = [(ids[min(p, q)], ids[max(p, q)], d) for p, q, d in least_tree(w)]
-        return pd.DataFrame(rows, columns=["a", "b", "w"])
-
-    edges = materialize(block_pairs(points).groupBy("i", "j").applyInPandas(tree, "a long, b long, w double"))
+        rows = [(ids[min(p, q)], ids[max(p, q)], d, False) for p, q, d in least_tree(w)]
+        near = np.tril(w == core[:, None], -1) & (many > 1)[:, None]
+        rows += [(ids[p], ids[near[p].argmax()], core[p], True) for p in np.flatnonzero(near.any(axis=1))]
+        return pd.DataFrame(rows, columns=["a", "b", "w", "hangs"])
+
+    met = materialize(block_pairs(points).groupBy("i", "j").applyInPandas(tree, "a long, b long, w double, hangs boolean"))
+    found = met.where("hangs").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to"))
+    hangs = points.where("n > 1").select("id").join(found, "id", "left").select("id", F.coalesce("to", "id").alias("to"))
+    edges = met.where("not hangs").select("a", "b", "w")
     if edges.count() < points.count():  # one block: a tree already
-        return edges
+        return edges, hangs
     kept, open_ = None, edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v"))
     while True:
         ends = open_.select(F.col("u").alias("x"), F.struct("w", "a", "b").alias("e"), "u", "v").union(open_.select("v", F.struct("w", "a", "b"), "u", "v"))
         chosen = ends.groupBy("x").agg(F.min(F.struct("e", "u", "v")).alias("m")).select("m.e.a", "m.e.b", "m.e.w", "m.u", "m.v").distinct()
         chosen = materialize(chosen)
         if chosen.isEmpty():
-            return kept if kept is not None else edges
+            return (kept if kept is not None else edges), hangs
         kept = chosen.select("a", "b", "w") if kept is None else kept.union(chosen.select("a", "b", "w"))
         roots = components(chosen.select(F.col("u").alias("a"), F.col("v").alias("b")))
         for c in ("u", "v"):
@@ -259,17 +280,28 @@ def _below(links: DataFrame) -> DataFrame:
 
 
 def density_clusters(points: DataFrame, least: int = 2, samples: int | None = None) -> DataFrame:
-    """``(id, cluster, noise)`` of ``points(id, v)`` with distinct ids and vectors of one length.
+    """``(id, cluster, noise)`` of ``points(id, v)`` with vectors of one length.
 
     ``cluster`` is the least id of the point's cluster; a point in none is noise, and a cluster of its own. ``samples`` is the number of
     points, itself included, that a core distance reaches to. Fewer than two points are noise; one cluster of all is none.
     """
-    points = materialize(points.select("id", "v"))
+    return density_clusters_of_kinds(points.select("id", F.col("v").alias("kind")), points.select(F.col("v").alias("kind"), "v").distinct(), least, samples)
+
+
+def density_clusters_of_kinds(rows: DataFrame, vectors: DataFrame, least: int = 2, samples: int | None = None) -> DataFrame:
+    """The same of ``rows(id, kind)``, whose vectors are in ``vectors(kind, v)``; only distinct vectors are compared."""
+    vectors = materialize(vectors.select("kind", "v"))
+    first = vectors.groupBy("v").agg(F.min("kind").alias("first"))
+    points = numbered(rows.join(vectors.join(first, "v").select("kind", "first"), "kind").select("id", F.col("first").alias("kind")), ["id", "kind"], "at")
     if points.count() < 2:
         return points.select("id", F.col("id").alias("cluster"), F.lit(True).alias("noise"))
-    cores = core_distances(points, samples or least)
-    tree = spanning_tree(materialize(points.join(cores, "id")))
-    clusters, fallen = condensed(tree, least)
-    found = materialize(fallen.join(lasting(clusters), "cluster").select("id", "kept"))
+    heads = materialize(points.groupBy("kind").agg(F.min("at").alias("id"), F.count("*").alias("n")))
+    compared = materialize(heads.join(vectors, "kind").select("id", "v", "n"))
+    cored = materialize(compared.join(core_distances(compared, samples or least), "id"))
+    tree, hangs = spanning_tree(cored)
+    to = hangs.join(cored.select("id", "core"), "id").join(heads.select("id", "kind"), "id")
+    copies = points.select("at", "kind").join(to, "kind").where("at != id").select(F.col("to").alias("a"), F.col("at").alias("b"), F.col("core").alias("w"))
+    clusters, fallen = condensed(materialize(tree.union(copies)), least)
+    found = materialize(fallen.join(lasting(clusters), "cluster").select(F.col("id").alias("at"), "kept").join(points.select("at", "id"), "at").select("id", "kept"))
     names = found.where("kept is not null").groupBy("kept").agg(F.min("id").alias("name"))
     return found.join(names, "kept", "left").select("id", F.coalesce("name", "id").alias("cluster"), F.col("name").isNull().alias("noise"))

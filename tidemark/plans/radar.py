@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as lx
 from ..functions.dialect import DUCKDB, SPARK, Dialect, Steps, names_in, stepped, stepped_ctes, stepped_sql
-from ..operators.density import density_clusters
+from ..operators.density import density_clusters_of_kinds
 from ..operators.graph import components
 from ..operators.ordered import first_fit
 from ..scratch import materialize
@@ -57,19 +57,20 @@ def term_clusters(claims: DataFrame) -> DataFrame:
 
 def grouped(claims: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, str]:
     """``claims`` with ``cluster``, the first post of the claim's cluster, and how they were grouped: by density, if there are
-    ``vectors(post_id, v)`` and at least ``LEAST_CLAIMS`` claims, noise being clusters of one, else by terms in the order of posts."""
+    ``vectors(term_key, v)`` and at least ``LEAST_CLAIMS`` claims, noise being clusters of one, else by terms in the order of posts."""
     if vectors is not None and claims.count() >= LEAST_CLAIMS:
-        found = density_clusters(vectors.select(F.col("post_id").alias("id"), "v"), LEAST_MEMBERS)
+        found = density_clusters_of_kinds(claims.select(F.col("post_id").alias("id"), F.col("term_key").alias("kind")), vectors.select(F.col("term_key").alias("kind"), "v"), LEAST_MEMBERS)
         return claims.join(found.select(F.col("id").alias("post_id"), "cluster"), "post_id"), "density"
     found = first_fit(claims.select(F.col("post_id").alias("id"), "terms"), OVERLAP)
     return claims.join(found.withColumnRenamed("id", "post_id"), "post_id"), "terms"
 
 
 def claim_vectors(claims: DataFrame) -> DataFrame:
-    """``(post_id, v)``: unit vectors of the claims' terms; a claim without a trigram has a vector of zeros."""
+    """``(term_key, v)``: unit vectors of the claims' distinct terms; terms without a trigram have a vector of zeros."""
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    rows = knowledge.with_vectors(claims.select("post_id", "term_key"), "term_key", zeros=True).withColumn("length", length)
-    return rows.select("post_id", F.transform("embedding", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("v"))
+    kinds = knowledge.spread(claims.select("term_key").distinct(), "term_key")
+    rows = knowledge.with_vectors(kinds, "term_key", zeros=True).withColumn("length", length)
+    return rows.select("term_key", F.transform("embedding", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0)).alias("v"))
 
 
 def snapshot(found: DataFrame) -> DataFrame:
